@@ -30,11 +30,11 @@ PROSE = ".,;:!?'()-\""
 
 
 def byte_classes() -> np.ndarray:
-    """Per byte: 1 for ASCII capitals, 2 for symbols, 4 for digits, 8 for bytes that begin no character."""
+    """Per byte: 1 for ASCII capitals, 2 for symbols, 4 for digits, 16 for white space."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
         c = chr(b)
-        out[b] = (1 if "A" <= c <= "Z" else 2 if "!" <= c <= "~" and not c.isalnum() and c not in PROSE else 4 if "0" <= c <= "9" else 0) if b < 128 else 8 * (b < 192)
+        out[b] = (1 if "A" <= c <= "Z" else 2 if "!" <= c <= "~" and not c.isalnum() and c not in PROSE else 4 if "0" <= c <= "9" else 16 if c == " " or 9 <= b <= 13 else 0) if b < 128 else 0
     return out
 
 
@@ -44,7 +44,7 @@ def different(split: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, starts = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
     n = len(starts) - 1
     row = np.repeat(np.arange(n), np.diff(starts))
-    real = np.array([x != "" for x in coded.dictionary.to_pylist()], bool)[codes] if len(codes) else np.zeros(0, bool)
+    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)
     codes, row = codes[real], row[real]
     pairs = np.unique(row * (len(coded.dictionary) + 1) + codes)
     again = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
@@ -67,10 +67,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
     def per_text(hits: np.ndarray) -> np.ndarray:
         return np.diff(np.searchsorted(np.flatnonzero(hits), offsets)).astype(float)
 
-    chars = per_text(kinds != 8)
+    chars = pc.utf8_length(texts).to_numpy().astype(float)
     words, distinct, repeated = different(pc.utf8_split_whitespace(texts))
     lines, distinct_lines, _ = different(pc.split_pattern(texts, "\n"))
-    spaces = chars - per_text(kinds != 8) + per_text((data == 32) | ((data >= 9) & (data <= 13)))
+    spaces = per_text(kinds == 16)
     share = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
     return np.stack(
         [chars, share(chars - spaces, words), share(per_text((kinds == 1) | accented), chars), share(per_text(kinds == 2), chars), share(per_text(kinds == 4), chars),
