@@ -83,8 +83,6 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        if len(self.chunks) > REMEMBER:
-            self.chunks.clear()
         if len(self.cores) > REMEMBER:
             self.cores.clear()
         plain = {w: self.pattern.findall(w.lower()) for w in words if self.safe.fullmatch(w) and "<|" not in w}
@@ -110,6 +108,8 @@ class Encoder:
         starts = split.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(split.values)
         words = coded.dictionary.to_pylist()
+        if len(self.chunks) > REMEMBER:  # not in learn(): this batch's known words must stay
+            self.chunks.clear()
         if missing := [w for w in words if w not in self.chunks and w]:
             self.learn(missing)
         found = [self.chunks[w] if w else b"" for w in words]
