@@ -87,14 +87,14 @@ def split_level(units: DataFrame, root: Node, nodes: list[Node], target: float)
         low, high = (by_node(open_, lambda n, k=k: F.lit(going[n.first][k])) for k in ("low", "high"))
         along = along.where((F.col("key") >= low) & (F.col("key") <= high))
         bins = along.withColumn("low", low).withColumn("width", by_node(open_, lambda n: F.lit(width(n))))
-        sums = bins.groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("w").alias("w")).collect()
+        sums = bins.groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
         after = {}
         for first, x in going.items():
-            step, at, rows = width(x["node"]), x["below"], sorted((r.bin, r.w) for r in sums if r.node == first)
-            for b, w in rows:
+            step, at, rows = width(x["node"]), x["below"], sorted((r.bin, r.w, r.n) for r in sums if r.node == first)
+            for b, w, n in rows:
                 if at + w >= x["goal"] or b == rows[-1][0]:
                     start, end = x["low"] + b * step, min(x["low"] + (b + 1) * step - 1, x["high"])
-                    if w <= FINE * target or start == end:
+                    if w <= FINE * target or n == 1 or start == end:
                         x["node"].cut = end if at + w - x["goal"] <= x["goal"] - at else start - 1
                     else:
                         x.update(low=start, high=end, below=at)
