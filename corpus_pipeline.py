@@ -26,7 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the nearest labelled examples predict to be toxic."""
     docs = docs.select(*COLUMNS)
-    index = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), Workspace(spark))
+    work = Workspace(spark)
+    index = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), work)
+    work.clear()
     return toxicity.score(docs, index).where("predicted = 0").select(*COLUMNS)
 
 
@@ -34,8 +36,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each class of near duplicates: that with the smallest id. Rows without an id all stay."""
     table(spark, sf_dir, "documents")
     docs = docs.select(*COLUMNS)
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), Workspace(spark))
+    work = Workspace(spark)
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), work)
     keep = Workspace(spark).write(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
+    work.clear()
     kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
     if keep.where("rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
@@ -46,14 +50,23 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeats each document as often as the mix takes it; documents that it doesn't take go."""
     table(spark, sf_dir, "documents")
     docs = docs.select(*COLUMNS)
-    key = ["doc_id", "source", "size"]
-    mixed = mixing.mix(docs.select("doc_id", "text", "source"), Workspace(spark))
-    # rows that agree in id, source and size share their epochs, as evenly as they go
-    epochs = mixed.groupBy(*key).agg(F.sum("epochs").alias("epochs"), F.count("*").alias("alike")).where("epochs > 0")
-    sized = docs.withColumn("size", mixing.words_of(text_of())).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars", "lang")))
-    same = [sized[k].eqNullSafe(epochs[k]) for k in key]
+    work = Workspace(spark)
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), work)
+    # rows that agree in id, source and size share their epochs, as evenly as they go; keys without nulls let one shuffle do
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"key_{c}") for c in ("doc_id", "source", "size")]
+    names = [f"key_{c}" for c in ("doc_id", "source", "size")]
+    epochs = mixed.groupBy(*key, F.col("doc_id").isNull().alias("no_id"), F.col("source").isNull().alias("no_source")).agg(F.sum("epochs").alias("epochs"), F.count("*").alias("alike")).where("epochs > 0")
+    epochs = Workspace(spark).write(epochs, "epochs")
+    work.clear()
+    names += ["no_id", "no_source"]
+    sized = docs.withColumn("size", mixing.words_of(text_of())).select(*COLUMNS, *key, F.col("doc_id").isNull().alias("no_id"), F.col("source").isNull().alias("no_source"))
+    joined = sized.join(epochs, names)
+    place = F.lit(1)
+    if epochs.where("alike > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy(*names).orderBy("n_chars", "lang"))
     times = F.expr("cast(epochs div alike + if(place <= epochs % alike, 1, 0) as int)")
-    return sized.join(epochs, same).select(*(sized[c] for c in COLUMNS), times.alias("times")).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    times = joined.withColumn("place", place).select(*COLUMNS, times.alias("times")).where("times > 0")
+    return times.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,13 +125,15 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     state, now = None, work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that the join meets two plain shuffles and Spark can split a star's center
+        least = work.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = work.write(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        work.drop(least)
+        least = work.write(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")))
         after = work.write(small.distinct(), "small")
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        work.drop(now, large)
+        work.drop(now, large, least)
         now = after
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -241,6 +243,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, threshold: float = THRESHO
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = work.write(dealt.mapInArrow(verifier(threshold), "a long, b long, texts long, documents long"), "links")
 
+    work.drop(sets, members)
     counted = links.groupBy("a").agg(F.sum("texts").alias("n_text_links"), F.sum("documents").alias("linked"))
     rooted = components(links.select("a", "b"), work)
     found = texts.drop("bands", "n_grams").join(counted.withColumnRenamed("a", "rep"), "rep", "left").join(rooted.withColumnRenamed("node", "rep"), "rep", "left")

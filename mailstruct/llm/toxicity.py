@@ -249,5 +249,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
 
 def op8_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = train(docs, table(spark, sf_dir, "labels"), Workspace(spark))
+    work = Workspace(spark)
+    index = train(docs, table(spark, sf_dir, "labels"), work)
+    work.clear()
     return score(docs, index).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence")
