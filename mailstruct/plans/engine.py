@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.config import EngineOptions
@@ -79,6 +79,60 @@ def with_text(attachments: DataFrame, options: EngineOptions) -> DataFrame:
     return attachments.withColumn("text_content", extract("content_type", "payload"))
 
 
+def detector_bodies(parts: DataFrame) -> DataFrame:
+    """email_id, layer_seq, body: the text that scored detection reads. Plain parts in order, a line end after each; without
+    any, the last markup part with its tags as blanks; a layer of one part is read as it is. Cut at 3,000 characters.
+    """
+    some = parts.where("text is not null and text <> ''").where(~F.col("multipart") | F.col("filename").isNull())
+    plain, markup = F.col("content_type") == "text/plain", F.col("content_type") == "text/html"
+    rows = some.groupBy(*KEY).agg(
+        F.bool_or("multipart").alias("multipart"),
+        summary.ordered(F.when(plain, F.col("text")), "part_seq").alias("plain"),
+        F.max(F.when(markup, F.struct("part_seq", "text"))).alias("markup"),
+    )
+    joined = F.concat(F.array_join("plain", "\n"), F.when(F.col("multipart"), F.lit("\n")).otherwise(F.lit("")))
+    bare = F.when(F.col("multipart"), F.regexp_replace("markup.text", "<[^>]+>", " ")).otherwise(F.col("markup.text"))
+    body = F.when(F.size("plain") > 0, joined).otherwise(F.coalesce(bare, F.lit("")))
+    return rows.select(*KEY, F.left(body, F.lit(carrier.BODY_HEAD)).alias("body"))
+
+
+def resolved(links: DataFrame, options: EngineOptions) -> DataFrame:
+    """expanded_url of shortened links by the supplied resolver, each different link once; without one nothing is looked up."""
+    resolver = options.url_resolver if options.urls.enable_expansion else None
+    if resolver is None:
+        return links
+
+    @F.pandas_udf("string")
+    def look_up(found: pd.Series) -> pd.Series:
+        def one(url):
+            try:
+                return resolver(url)
+            except Exception:  # noqa: BLE001  a link that can't be resolved stays
+                return None
+
+        return found.map(one)
+
+    known = links.where("is_shortened").select(F.col("original_url").alias("short")).distinct().withColumn("long", look_up("short"))
+    return urls.expand(links, known)
+
+
+def invariants(parsed: Parsed) -> DataFrame:
+    """rule, broken: how many rows break each rule; all are 0 for a sound result."""
+    rules = {
+        "layer without key": (parsed.layers, F.col("layer_seq").isNull() | F.col("email_id").isNull()),
+        "negative depth": (parsed.layers, F.col("layer_depth") < 0),
+        "carrier without vendor": (parsed.layers, F.col("is_carrier") & F.col("vendor").isNull()),
+    }
+    counts = [t.agg(F.lit(name).alias("rule"), F.count_if(broken).alias("broken")) for name, (t, broken) in rules.items()]
+    own = parsed.layers.select(*KEY)
+    for name, t in (("attachment", parsed.attachments), ("image", parsed.images), ("link", parsed.urls)):
+        counts.append(t.join(own, KEY, "left_anti").agg(F.lit(f"{name} without layer").alias("rule"), F.count("*").alias("broken")))
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @dataclass
 class Parsed:
     """The tables of a parsed corpus; see SURVEY for their columns."""
@@ -158,6 +212,11 @@ class Engine:
         rows = out.select(*KEY, "layer_depth", "final_text", F.posexplode(urls.process(found)).alias("pos", "u")).select(*KEY, "layer_depth", "pos", "u.*", "final_text")
         return rows.withColumn("source", F.lit("body_text")).withColumn("context_snippet", urls.context(F.col("final_text"), F.col("original_url"))).drop("final_text")
 
+    def observed(self, layers: DataFrame) -> tuple[DataFrame, Observation]:
+        """layers, and counters that are known once an action has run over them."""
+        counters = Observation("layers")
+        return layers.observe(counters, F.count("*").alias("layers"), F.count_if("is_carrier").alias("carriers"), F.max("layer_depth").alias("deepest")), counters
+
     def parse(self, mails: DataFrame) -> Parsed:
         """All tables. The parse is kept until release(), since every table reads it; it spills to disk."""
         all_parts = self.parts(mails).persist(StorageLevel.MEMORY_AND_DISK)
@@ -170,7 +229,7 @@ class Engine:
         bad = bad.select("email_id", errors.error(F.col("type"), F.substring_index("error", ": ", -1)).alias("error"))
         fine = lambda rows: rows.join(crowded.select("email_id"), "email_id", "left_anti")
         layers, attachments, images = fine(self.layers(parts)), fine(attachments), fine(self.images(parts))
-        found = self.layer_urls(layers, attachments, images)
+        found = resolved(self.layer_urls(layers, attachments, images), self.options)
         references = relate.nested_references(layers, attachments)
         exact = relate.exact_references(layers)
         if self.options.modes.relations == "exact":

@@ -11,7 +11,7 @@ from mailstruct import config
 from mailstruct.functions import carrier, errors, html, text, urls
 from mailstruct.operators import dedup, relate, summary
 from mailstruct.plans import render
-from mailstruct.plans.engine import Engine
+from mailstruct.plans.engine import Engine, detector_bodies
 from mailstruct.plans.fixtures import cte, fixture
 from mailstruct.sources import requests
 from mailstruct.sources.mime import email_parts
@@ -679,6 +679,11 @@ def eml_body(spark: SparkSession, d: str) -> DataFrame:
     return engine.layers(engine.parts(single(spark, d)).where("error is null")).select("email_id", "final_text", "has_plain", "has_html")
 
 
+@query("eml_detector_body", ONE + "SELECT email_id, left(plain_text, 3000) AS body FROM o WHERE plain_text <> ''")
+def eml_detector_body(spark: SparkSession, d: str) -> DataFrame:
+    return detector_bodies(email_parts(single(spark, d))).select("email_id", "body")
+
+
 def nested(spark: SparkSession, d: str) -> DataFrame:
     """One mail for each e-mail: a multipart of its first layer's body, the other layers as attached files, a message within a message, and an image."""
     one = as_mail(F.col("subject"), F.col("plain_text"), F.lit("X-C: c"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.functions import errors
+from mailstruct.sources.documents import mail_of_msg
 
 #: Fields that may hold a mail in base64, in order; the first that is present decides, even if it is bad.
 FIELDS = ("email_data", "data", "email_content")
@@ -56,3 +58,26 @@ def from_stream(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataF
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path)
     return files.select(F.xxhash64("path").alias("email_id"), "path", "modificationTime", "content", F.col("length").alias("size"))
+
+
+def with_outlook(files: DataFrame) -> DataFrame:
+    """files (path, content, error) with the content of .msg files as RFC 5322 bytes; a file that can't be converted gets an error."""
+
+    @F.pandas_udf("content binary, problem string")
+    def convert(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        def one(path, data):
+            if not (path or "").lower().endswith(".msg"):
+                return data, None
+            try:
+                return mail_of_msg(bytes(data)), None
+            except ImportError as e:
+                return None, f"DependencyError: {e}"
+            except Exception as e:  # noqa: BLE001  a damaged file becomes a row
+                return None, f"EmailParsingError: {e}"
+
+        return pd.DataFrame([one(p, c) for p, c in zip(paths, contents, strict=True)], columns=["content", "problem"])
+
+    out = files.withColumn("_c", convert("path", "content"))
+    problem = F.col("_c.problem")
+    found = errors.error(F.element_at(F.split(problem, ": "), 1), F.regexp_replace(problem, "^[A-Za-z]+: ", ""))
+    return out.withColumn("content", F.col("_c.content")).withColumn("error", F.coalesce("error", F.when(problem.isNotNull(), found))).drop("_c")

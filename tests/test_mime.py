@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 
 from mailstruct.config import EngineOptions, Modes, Security
 from mailstruct.plans import render
-from mailstruct.plans.engine import Engine
+from mailstruct.plans.engine import Engine, detector_bodies, invariants
 from mailstruct.sources.mime import email_rows, read_message, repaired
+from mailstruct.sources.requests import with_outlook
 
 
 def mail(subject="s", body="b", kind="text/plain", message_id="<m@x>", more=""):
@@ -163,3 +164,28 @@ def test_attachment_limit(spark):
     mails = spark.createDataFrame([(1, content.encode())], "email_id long, content binary")
     got = Engine(spark, EngineOptions(security=Security(max_attachments=3))).parse(mails)
     assert got.errors.first().error.code == 413 and got.layers.count() == 0
+
+
+def test_resolver_invariants_and_counters(spark):
+    mails = spark.createDataFrame([(1, mail(body="http://bit.ly/a http://bit.ly/b http://x.example/c").encode())], "email_id long, content binary")
+    engine = Engine(spark, EngineOptions(url_resolver=lambda u: "http://long" if u.endswith("a") else u))
+    got = engine.parse(mails)
+    assert [r.expanded_url for r in got.urls.orderBy("pos").collect()] == ["http://long", "Not Applicable", "Not Applicable"]
+    assert {r.broken for r in invariants(got).collect()} == {0}
+    layers, counters = engine.observed(got.layers)
+    layers.collect()
+    assert counters.get == {"layers": 1, "carriers": 0, "deepest": 0}
+
+
+def test_detector_body(spark):
+    corpus = {1: multi([plain("a"), plain("b")]), 2: multi([plain("<p>x</p>", "text/html")]), 3: mail(body="c" * 4000)}
+    parts = Engine(spark).parts(spark.createDataFrame([(k, v.encode()) for k, v in corpus.items()], "email_id long, content binary"))
+    got = {r.email_id: r.body for r in detector_bodies(parts).collect()}
+    assert got[1].split() == ["a", "b"] and got[2].strip() == "x" and len(got[3]) == 3000
+
+
+def test_outlook_files_without_the_library(spark):
+    files = spark.createDataFrame([("a.msg", b"x", None), ("b.eml", b"y", None)], "path string, content binary, error struct<type: string, message: string, code: int, details: string>")
+    got = {r.path: r for r in with_outlook(files).collect()}
+    assert got["b.eml"].error is None and bytes(got["b.eml"].content) == b"y"
+    assert got["a.msg"].error.type in ("DependencyError", "EmailParsingError")
