@@ -158,9 +158,9 @@ MARKS = "|".join(text.QUOTE_MARKS)
 WRAPPER_SQL = (
     cte("mail_layers")
     + rf""", l AS (SELECT email_id, layer_seq, plain_text, string_split(plain_text, chr(10)) AS lines FROM mail_layers),
-m AS (SELECT *, list_position(list_transform(lines, lambda x: (contains(lower(x), 'original message') OR contains(lower(x), 'forwarded message')) AND regexp_matches(x, {quoted(MARKS)}, 'i')), true) AS at FROM l),
-w AS (SELECT *, CASE WHEN at IS NOT NULL THEN {stripped("array_to_string(lines[1:at - 1], chr(10))")} END AS wrapper FROM m)
-SELECT email_id, layer_seq, nullif(wrapper, '') AS wrapper_content, CASE WHEN wrapper <> '' THEN array_to_string(lines[at:at + 4], chr(10)) END AS quoted_content_preview,
+m AS (SELECT *, list_position(list_transform(lines, lambda x: (contains(lower(x), 'original message') OR contains(lower(x), 'forwarded message')) AND regexp_matches(x, {quoted(MARKS)}, 'i')), true) AS mark FROM l),
+w AS (SELECT *, CASE WHEN mark IS NOT NULL THEN {stripped("array_to_string(lines[1:mark - 1], chr(10))")} END AS wrapper FROM m)
+SELECT email_id, layer_seq, nullif(wrapper, '') AS wrapper_content, CASE WHEN wrapper <> '' THEN array_to_string(lines[mark:mark + 4], chr(10)) END AS quoted_content_preview,
   CASE WHEN plain_text = '' THEN NULL WHEN wrapper <> '' THEN concat('Carrier email with ', length(wrapper), ' chars wrapper content') ELSE concat('Carrier email with ', length(plain_text), ' chars total content') END AS content_summary FROM w"""
 )
 
