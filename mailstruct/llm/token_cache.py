@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +61,9 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "word_bpe_49k.jso
     content = normalised(text_of(text), tokenizer)
     digested = docs.select(*keep, F.octet_length(text_of(text)).cast("long").alias("n_bytes"), content.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
     counts = fill_cache(digested, cache, tokenizer)
-    # two runs that fill one cache at a time may append a digest twice
-    counts = counts.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # two runs that fill one cache at a time may append a digest twice; written, so that the join meets two plain shuffles
+    # and Spark can split a digest that fills many rows
+    counts = Workspace(docs.sparkSession).write(counts.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "counts")
     return digested.drop("content").join(counts, "digest", "left").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
