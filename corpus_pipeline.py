@@ -40,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), work)
     keep = Workspace(spark).write(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
     work.clear()
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if keep.where("rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id is null")).select(*COLUMNS)
@@ -60,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     work.clear()
     names += ["no_id", "no_source"]
     sized = docs.withColumn("size", mixing.words_of(text_of())).select(*COLUMNS, *key, F.col("doc_id").isNull().alias("no_id"), F.col("source").isNull().alias("no_source"))
-    joined = sized.join(epochs, names)
+    joined = sized.join(epochs.hint("merge"), names)
     place = F.lit(1)
     if epochs.where("alike > 1").limit(1).count():
         place = F.row_number().over(Window.partitionBy(*names).orderBy("n_chars", "lang"))

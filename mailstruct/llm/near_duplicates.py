@@ -122,22 +122,25 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
     Alternating large and small stars; each round is written, so lineage stays short.
     """
-    state, now = None, work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    now = work.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not is_star_forest(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join meets two plain shuffles and Spark can split a star's center
         least = work.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = work.write(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        work.drop(least)
+        work.drop(now, least)
         least = work.write(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b")))
-        after = work.write(small.distinct(), "small")
-        seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        work.drop(now, large, least)
-        now = after
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = seen
+        now = work.write(small.distinct(), "small")
+        work.drop(large, least)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node of edges (a > b) has one parent, which has none."""
+    if edges.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    return not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
 
 
 def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,8 @@ def near_duplicates(docs: DataFrame, work: Workspace, threshold: float = THRESHO
     blocks = F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
     placed = members.join(load.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # one row of a document for each text: repeated rows are equal, and other texts under the id have another digest
-    reps = docs.join(placed.select("rep", "root", "n", "block", "blocks", "n_grams"), F.col("doc_id") == F.col("rep")).drop("doc_id")
+    # merged at every size: texts move once, and no set of candidates is ever broadcast
+    reps = docs.join(placed.select("rep", "root", "n", "block", "blocks", "n_grams").hint("merge"), F.col("doc_id") == F.col("rep")).drop("doc_id")
     sets = reps.mapInArrow(gram_rows, "grams binary, rep long, root long, n long, block int, blocks int, n_grams long")
     sets = work.write(sets.dropDuplicates(["rep"]), "sets") if has_repeats(signed) else work.write(sets, "sets")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("block"), other).alias("i"), F.greatest(F.col("block"), other).alias("j"), (other < F.col("block")).cast("int").alias("side")))
