@@ -1,32 +1,37 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled rows. Terms are those that tell the sample's labels apart (chi square); their
-document frequencies are counted over all documents. A document's nearest examples by exact TF-IDF cosine come from a
-block-max inverted index: examples lie in blocks of 64, each term keeps its largest weight in each block, and a block is
-read only if the bound that these maxima give reaches the k-th best similarity so far. Neighbours vote with weights that
-fall with their distance, and a monotone map fitted on leave-one-out votes of the examples turns votes into probabilities.
-
-The index has a bound that parameters state (SAMPLE examples, TERMS terms), so each task holds a copy of it.
+Examples are a bounded sample of labelled rows, and all of their terms count. A term weighs by TF-IDF, with document
+frequencies over all documents, times one and the square root of its chi square against the examples' labels: terms that
+tell labels apart lead the search, and no term is without weight. A document's nearest examples by exact cosine of whole
+weight vectors: the most frequent terms' part comes from a matrix product in single precision, that of all other terms from
+an inverted index, and what can be among the nearest within that precision is worked out again in full. Neighbours vote
+with weights that fall with their distance, and a monotone map fitted on leave-one-out votes of the examples turns votes
+into probabilities.
+
+The index is bounded by the texts of SAMPLE examples; it is broadcast, and each Python worker holds a copy of it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.llm.common import Workspace, fold, table, text_of
 from mailstruct.llm.rules import labelled
 
-SAMPLE, TERMS, LEAST_ROWS, LEAST_CHI, BLOCK, NEIGHBOURS, THRESHOLD = 12_000, 1024, 5, 30.0, 64, 15, 0.5
+SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
+#: Terms held as a matrix, vectors multiplied with it at once, and the bound of what single precision is off by.
+FREQUENT, TOGETHER, SLACK = 512, 256, 1e-4
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -63,45 +68,99 @@ class Terms:
         return pairs // (len(self.names) + 1), pairs % (len(self.names) + 1), tf
 
 
-@dataclass
+def spans(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries of rows `of` of a table whose row i lies in starts[i]:starts[i + 1], and each row's count."""
+    n = starts[of + 1] - starts[of]
+    return np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 class Index:
-    vocabulary: list[str]
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    block_max: np.ndarray
-    knots: tuple[np.ndarray, np.ndarray]
-    prior: float
+    """Examples by their terms (terms, weights in row_starts), the same by term (rows, own in term_starts), and the frequent terms as a matrix.
+
+    Only the examples' terms and their occurrences are sent, compressed; the rest is derived where it arrives.
+    """
+
+    SENT = ("row_starts", "terms", "tf", "idf", "ids", "labels")
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row_starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, prior: float):
+        self.vocabulary, self.idf, self.ids, self.labels, self.row_starts, self.terms, self.tf = vocabulary, idf, ids, labels, row_starts, terms, tf
+        self.prior, self.knots = prior, (np.zeros(1), np.array([prior]))
+        self.derive()
+
+    def __getstate__(self) -> dict:
+        packed = {c: pickle.dumps(getattr(self, c)) for c in self.SENT} | {"vocabulary": "\n".join(self.vocabulary).encode("utf-8", "surrogatepass")}
+        return {c: (len(x), pa.compress(x, "zstd", asbytes=True)) for c, x in packed.items()} | {"prior": self.prior, "knots": self.knots}
+
+    def __setstate__(self, state: dict) -> None:
+        self.prior, self.knots = state["prior"], state["knots"]
+        for c in self.SENT:
+            setattr(self, c, pickle.loads(pa.decompress(state[c][1], state[c][0], "zstd")))
+        text = pa.decompress(state["vocabulary"][1], state["vocabulary"][0], "zstd").to_pybytes().decode("utf-8", "surrogatepass")
+        self.vocabulary = text.split("\n") if text else []
+        self.derive()
+
+    def derive(self) -> None:
+        size, sizes = len(self.ids), np.diff(self.row_starts)
+        row = np.repeat(np.arange(size), sizes)
+        w = (1 + np.log(self.tf)) * self.idf[self.terms]
+        self.weights = w / np.sqrt(np.bincount(row, w * w, size))[row]
+        by = np.argsort(self.terms, kind="stable")
+        self.rows, self.own = row[by], self.weights[by]
+        self.term_starts = np.searchsorted(self.terms[by], np.arange(len(self.vocabulary) + 1))
+        n = np.diff(self.term_starts)
+        often = np.argsort(-n, kind="stable")[:FREQUENT]
+        often = often[n[often] > size // 100]
+        self.dense = np.zeros(len(self.vocabulary))
+        self.column = np.full(len(self.vocabulary), -1)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), size), np.float32)
+        at = self.column[self.terms]
+        self.matrix[at[at >= 0], row[at >= 0]] = self.weights[at >= 0]
+
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(zip(np.split(self.rows, self.term_starts[1:-1]), np.split(self.own, self.term_starts[1:-1]), strict=True))
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def frequent_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to each vector's similarity with each example, in single precision."""
+        out = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.column[terms]
+            out[i, at[at >= 0]] = weights[at >= 0]
+        return out @ self.matrix
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each vector; with but, that of vector i leaves example but + i out."""
+        for first in range(0, len(vectors), TOGETHER):
+            some = vectors[first : first + TOGETHER]
+            for i, ((terms, weights), part) in enumerate(zip(some, self.frequent_part(some), strict=True)):
+                yield self.nearest(terms, weights, k, but + first + i if but >= 0 else -1, part)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, ties to the smaller id; but is an example that takes no part."""
-        bound = weights @ self.block_max[terms] + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(len(self.ids))
-        floor, done = 0.0, 0
-        for upto in (4, len(order)):
-            # bounds fall along order, so the blocks that can still reach floor are a prefix
-            upto = min(upto, int(np.searchsorted(-bound[order], -max(floor, 1e-8), side="right")))
-            if upto > done:
-                wanted = np.zeros(len(order), bool)
-                wanted[order[done:upto]] = True
-                for t, w in zip(terms, weights, strict=True):
-                    rows, own = self.postings[t]
-                    some = wanted[rows // BLOCK]
-                    score[rows[some]] += w * own[some]
-                done = upto
-            if but >= 0:
-                score[but] = 0
-            if len(score) > k:
-                floor = max(0.0, np.partition(score, -k)[-k] - 1e-9)
-        found = np.flatnonzero(score > max(floor, 1e-8) - 1e-9) if floor else np.flatnonzero(score > 1e-8)
-        found = found[np.lexsort((self.ids[found], -np.round(score[found], 12)))][:k]
-        return found, np.minimum(score[found], 1.0)
+        size = len(self.ids)
+        if not len(terms) or not size:
+            return np.empty(0, np.int64), np.empty(0)
+        score = self.frequent_part([(terms, weights)])[0] if part is None else part
+        rare = self.column[terms] < 0
+        at, counts = spans(self.term_starts, terms[rare])
+        score += np.bincount(self.rows[at], np.repeat(weights[rare], counts) * self.own[at], size).astype(np.float32)
+        if but >= 0:
+            score[but] = -1
+        # single precision is off by less than SLACK; whatever can be among the k best is worked out again in full
+        floor = max(0.0, np.partition(score, -k)[-k] - 2 * SLACK) if size > k else 0.0
+        found = np.flatnonzero(score >= floor) if floor else np.flatnonzero(score > 0)
+        at, counts = spans(self.row_starts, found)
+        self.dense[terms] = weights
+        exact = np.bincount(np.repeat(np.arange(len(found)), counts), self.dense[self.terms[at]] * self.weights[at], len(found))
+        self.dense[terms] = 0
+        found, exact = found[exact > 1e-8], exact[exact > 1e-8]
+        best = np.lexsort((self.ids[found], -np.round(exact, 12)))[:k]
+        return found[best], np.minimum(exact[best], 1.0)
 
     def vote(self, found: np.ndarray, similarity: np.ndarray) -> float:
         weight = 1 / (1.05 - similarity)
@@ -124,55 +183,52 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
+def relevance(vocabulary: list[str], examples: pd.DataFrame) -> np.ndarray:
+    """How much each term tells the examples' labels apart: 1 and the root of its chi square, so that no term is without weight."""
+    n, positive = float(len(examples)), float(examples.y.sum())
+    if not 0 < positive < n:
+        return np.ones(len(vocabulary))
+    flat = np.concatenate(examples.terms.map(np.asarray).tolist()).astype(np.int64)
+    seen = np.bincount(flat, minlength=len(vocabulary)).astype(float)
+    a = np.bincount(flat, np.repeat(examples.y.to_numpy(float), examples.terms.map(len)), len(vocabulary))
+    odds = a * (n - positive - (seen - a)) - (seen - a) * (positive - a)
+    spread = seen * (n - seen) * positive * (n - positive)
+    return 1 + np.sqrt(np.divide(n * odds * odds, spread, out=np.zeros(len(vocabulary)), where=spread > 0))
+
+
 def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
-    """examples: doc_id, y, terms, tf; those without terms only count for the prior."""
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    bare = examples[examples.terms.map(len) == 0]
-    # neighbours in the index share their heaviest term, which makes block maxima tight
-    some = examples[examples.terms.map(len) > 0].copy()
-    index = Index(vocabulary, idf, np.empty(0, np.int64), np.empty(0), [], np.zeros((len(vocabulary), 0)), (np.zeros(1), np.zeros(1)), float((bare.y.sum() + 0.5) / (len(bare) + 1)))
-    if some.empty:
-        index.knots = (np.zeros(1), np.array([index.prior]))
-        return index
-    some["w"] = [index.vector(np.asarray(t, np.int64), np.asarray(n, float)) for t, n in zip(some.terms, some.tf, strict=True)]
-    some["top"] = [int(t[int(np.argmax(w))]) for t, w in zip(some.terms, some.w, strict=True)]
-    some = some.sort_values(["top", "doc_id"]).reset_index(drop=True)
-    index.ids, index.labels = some.doc_id.to_numpy(np.int64), some.y.to_numpy(float)
-    rows = np.repeat(np.arange(len(some)), some.terms.map(len))
-    terms, weights = np.concatenate(some.terms.map(np.asarray).tolist()).astype(np.int64), np.concatenate(some.w.tolist())
-    index.block_max = np.zeros((len(vocabulary), (len(some) + BLOCK - 1) // BLOCK))
-    np.maximum.at(index.block_max, (terms, rows // BLOCK), weights)
-    by = np.argsort(terms, kind="stable")
-    cuts = np.searchsorted(terms[by], np.arange(1, len(vocabulary)))
-    index.postings = list(zip(np.split(rows[by], cuts), np.split(weights[by], cuts), strict=True))
-    votes = np.full(len(some), np.nan)
-    for i, (t, w) in enumerate(zip(some.terms, some.w, strict=True)):
-        found, similarity = index.nearest(np.asarray(t, np.int64), w, NEIGHBOURS, but=i)
-        if len(found):
-            votes[i] = index.vote(found, similarity)
+    """examples: doc_id, y, terms, tf; the prior is the share of toxic examples."""
+    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(vocabulary, examples)
+    prior = float((examples.y.sum() + 0.5) / (len(examples) + 1))
+    some = examples[examples.terms.map(len) > 0].sort_values("doc_id")
+    flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32) for c in ("terms", "tf")]
+    row_starts = np.concatenate([[0], np.cumsum(some.terms.map(len).to_numpy(np.int64))])
+    index = Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
+    vectors = [(index.terms[a:b], index.weights[a:b]) for a, b in zip(row_starts[:-1], row_starts[1:], strict=True)]
+    votes = np.array([index.vote(*near) if len(near[0]) else np.nan for near in index.nearest_all(vectors, NEIGHBOURS, but=0)])
     known = ~np.isnan(votes)
-    index.knots = monotone(votes[known], index.labels[known]) if known.any() else (np.zeros(1), np.array([index.prior]))
+    if known.any():
+        index.knots = monotone(votes[known], index.labels[known])
     return index
 
 
-def label_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, rows with it, toxic rows with it) of each batch."""
+def text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each batch."""
     for batch in batches:
         terms = Terms(None)
-        rows, numbers, _ = terms.counts(batch.column("text"))
-        y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)[rows]
-        n, toxic = np.bincount(numbers, minlength=len(terms.names)), np.bincount(numbers, y, len(terms.names))
-        yield pa.RecordBatch.from_arrays([pa.array(terms.names, pa.string()), pa.array(n, pa.int64()), pa.array(toxic.astype(np.int64))], ["term", "n", "toxic"])
+        terms.counts(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(terms.names, pa.string())], ["term"])
 
 
 def term_rows(vocabulary: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch's number of documents with each term; term -1 counts documents."""
-        terms = Terms(vocabulary)
+        """Each partition's number of documents with each term; term -1 counts documents."""
+        terms, n, rows = Terms(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            n = Counter(terms.counts(batch.column("text"))[1].tolist())
-            n[-1] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+            n += np.bincount(terms.counts(batch.column("text"))[1], minlength=len(vocabulary))
+            rows += batch.num_rows
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], rows))], ["term", "n"])
 
     return count
 
@@ -192,41 +248,34 @@ def example_rows(vocabulary: list[str]):
 def train(docs: DataFrame, labels: DataFrame, work: Workspace, target: str = "toxic", sample: int = SAMPLE) -> Index:
     """The index of at most sample labelled rows of docs (doc_id, text) outside the held-out fold."""
     rows = work.write(labelled(docs, labels, target, sample).select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "text"), "examples")
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    a, seen = F.col("toxic").cast("double"), F.col("n").cast("double")
-    odds = a * (n - positive - (seen - a)) - (seen - a) * (positive - a)
-    chi = n * odds * odds / (seen * (n - seen) * positive * (n - positive))
-    found = rows.mapInArrow(label_terms, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    found = found.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-    vocabulary = sorted(r.term for r in found.orderBy(F.desc("chi"), "term").limit(TERMS).collect()) if 0 < positive < n else []
+    found = rows.mapInArrow(text_terms, "term string").distinct().toArrow()
+    vocabulary = sorted(found.column("term").to_pylist())
     df, n_docs = np.zeros(len(vocabulary)), 0
     if vocabulary:
-        for r in docs.select(text_of().alias("text")).mapInArrow(term_rows(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            if r.term < 0:
-                n_docs = r.n
-            else:
-                df[r.term] = r.n
-    examples = rows.mapInArrow(example_rows(vocabulary), "doc_id long, y long, terms array<long>, tf array<long>").toPandas()
+        counts = docs.select(text_of().alias("text")).mapInArrow(term_rows(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        terms, n = (counts.column(c).to_numpy() for c in ("term", "n"))
+        n_docs = int(n[terms < 0].sum())
+        df[terms[terms >= 0]] = n[terms >= 0]
+    examples = rows.mapInArrow(example_rows(vocabulary), "doc_id long, y long, terms array<long>, tf array<long>").toArrow().to_pandas()
     return build(vocabulary, df, n_docs, examples)
 
 
-def scorer(index: Index, names: list[str]):
+def scorer(held: Broadcast[Index], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
         terms, known = Terms(index.vocabulary), {}
         for batch in batches:
             rows, numbers, tf = terms.counts(pc.fill_null(batch.column("text"), ""))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            score, evidence = np.empty(batch.num_rows), []
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                key = (numbers[a:b].tobytes(), tf[a:b].tobytes())
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    found, near = index.nearest(numbers[a:b], index.vector(numbers[a:b], tf[a:b]), NEIGHBOURS) if b > a and len(index.ids) else ([], [])
-                    p = index.calibrated(index.vote(found, near)) if len(found) else index.prior
-                    known[key] = p, [{"example": int(index.ids[j]), "similarity": float(s), "label": int(index.labels[j])} for j, s in zip(found[:3], near[:3], strict=True)]
-                score[i], why = known[key]
-                evidence.append(why)
+            keys = [hashlib.blake2b(numbers[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(known) > 50_000:
+                known.clear()
+            new = {key: (a, b) for key, a, b in zip(keys, cuts[:-1], cuts[1:], strict=True) if key not in known}
+            vectors = [(numbers[a:b], index.vector(numbers[a:b], tf[a:b])) for a, b in new.values()]
+            for key, (found, near) in zip(new, index.nearest_all(vectors, NEIGHBOURS), strict=True):
+                p = index.calibrated(index.vote(found, near)) if len(found) else index.prior
+                known[key] = p, [{"example": int(index.ids[j]), "similarity": float(s), "label": int(index.labels[j])} for j, s in zip(found[:3], near[:3], strict=True)]
+            score, evidence = np.array([known[key][0] for key in keys], float), [known[key][1] for key in keys]
             arrays = [batch.column(c) for c in names] + [pa.array(score), pa.array(evidence, pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "score", "evidence"])
 
@@ -238,12 +287,13 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFr
     similarity and label) and predicted.
 
     Null texts count as empty; texts without any of the index's terms, empty ones too, get the share of toxic examples
-    among those without terms, and no evidence. Equal texts get equal scores; columns of docs named like the results are
+    and no evidence. Equal texts get equal scores; columns of docs named like the results are
     replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "evidence", "predicted")]
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(scorer(index, keep), f"{shape}, score double, evidence array<struct<example: long, similarity: double, label: int>>")
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    out = docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(scorer(held, keep), f"{shape}, score double, evidence array<struct<example: long, similarity: double, label: int>>")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -454,6 +454,16 @@ def test_toxicity_odd_cases(spark, odd, empty, work):
     assert toxicity.score(empty, toxicity.train(empty.select("doc_id", "text"), labels, work)).collect() == []
 
 
+def test_every_term_is_searched(spark, work):
+    # an exact copy of a toxic example that shares no frequent term with others is found at similarity 1
+    rows = [(i, prose(i, 40)) for i in range(60)] + [(100, "seldom heard syllables"), (101, "Seldom heard, syllables")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)] + [(100, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels, work)).collect()}
+    assert got[101].evidence[0].example == 100 and got[101].evidence[0].similarity == pytest.approx(1)
+    assert all(r.evidence for r in got.values())
+
+
 # --- 9: mixing
 
 
