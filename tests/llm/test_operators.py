@@ -464,6 +464,17 @@ def test_every_term_is_searched(spark, work):
     assert all(r.evidence for r in got.values())
 
 
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.01"])
+def test_toxic_documents_leave_the_stage(spark, data):
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, table(spark, data, "documents"), data).select("doc_id").collect()}
+    toxic = {0: set(), 1: set()}
+    for r in table(spark, data, "labels").where("toxic is not null").collect():
+        toxic[r.toxic].add(r.doc_id)
+    assert len(toxic[1] & kept) <= 0.2 * len(toxic[1]) and len(toxic[0] & kept) >= 0.9 * len(toxic[0])
+
+
 # --- 9: mixing
 
 
