@@ -692,7 +692,7 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
         x["layer_seq"] % 2 == 1,
         F.concat(F.lit('\n--b\nContent-Type: application/octet-stream; name="l'), x["layer_seq"].cast("string"), F.lit('.eml"\nContent-Disposition: attachment\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.encode(x["mail"], "UTF-8"))),
     ).otherwise(F.concat(F.lit("\n--b\nContent-Type: message/rfc822\n\n"), x["mail"]))
-    rest = F.array_join(F.transform(F.slice("layers", 2, 1000), part), "")
+    rest = F.array_join(F.transform(F.slice("layers", 2, F.size("layers")), part), "")
     head = F.lit('Subject: outer\nMessage-ID: <outer>\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 8bit\n\n')
     image = F.lit('\n--b\nContent-Type: image/png; name="p.png"\nContent-ID: <c1>\nContent-Disposition: inline; filename="p.png"\nContent-Transfer-Encoding: base64\n\naW1n\n--b--\n')
     return lists.select("email_id", F.encode(F.concat(head, F.element_at("layers", 1)["plain_text"], rest, image), "UTF-8").alias("content"))
