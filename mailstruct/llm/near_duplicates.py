@@ -178,8 +178,9 @@ def verifier(threshold: float):
         sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         size, both = np.array([len(s) for s in sets], float), overlaps(sets)
         linked = both / np.maximum(size[:, None] + size[None] - both, 1) >= threshold
+        # a block whose partner is empty has side 0 only, and its own links are found within itself
         side = np.array([r["side"] for r in rows])
-        linked &= (side[:, None] != side[None]) if side.any() else ~np.eye(len(rows), dtype=bool)
+        linked &= (side[:, None] != side[None]) if rows[0]["i"] != rows[0]["j"] else ~np.eye(len(rows), dtype=bool)
         copies = np.array([r["n"] for r in rows], np.int64)
         texts, documents, out, seen = linked.sum(1), linked @ copies, [], np.zeros(len(rows), bool)
         for i in np.argsort([r["rep"] for r in rows], kind="stable"):

@@ -293,6 +293,15 @@ def test_components_of_a_long_path(spark, work):
     assert dict(near_duplicates.components(edges, work).collect()) == {**{i: 0 for i in range(1, 51)}, 101: 100}
 
 
+def test_empty_blocks_count_no_link_again(spark, work, monkeypatch):
+    # two blocks for each pair of near copies: both texts often lie in one, next to an empty block
+    monkeypatch.setattr(near_duplicates, "BLOCK_GRAMS", 400)
+    rows = [(2 * i + k, prose(1000 + i, 300) + " tail" * k) for i in range(12) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs, work).collect()
+    assert len(got) == 24 and all(r.n_links == r.n_text_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in got)
+
+
 # --- 6: nearest neighbours
 
 
