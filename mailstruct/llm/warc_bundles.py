@@ -34,7 +34,7 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | str, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 record; a revisit has no block, but states its payload's digest and length."""
     uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{digest}"]
@@ -101,7 +101,7 @@ class Bundler:
     def reset(self) -> None:
         self.parts, self.frames, self.done, self.open, self.size, self.index = [], [], 0, [], 0, []
 
-    def add(self, page_id: int, data: bytes) -> dict | None:
+    def add(self, page_id: int | None, data: bytes) -> dict | None:
         self.index.append({"page_id": page_id, "frame": len(self.frames), "offset": self.size, "length": len(data)})
         self.open.append(data)
         self.size += len(data)
@@ -141,7 +141,9 @@ def bundle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeated = (page_id, digest) == last
             last = (page_id, digest)
             refers = first if first is not None and (first != page_id or repeated) and len(payload) >= least else None
-            if full := bundler.add(page_id, record(page_id, url, payload, digest, refers)):
+            # a page without an id gets one from its place; its index entry stays null
+            name = page_id if page_id is not None else f"none:{bundler.next}.{len(bundler.index)}"
+            if full := bundler.add(page_id, record(name, url, payload, digest, refers)):
                 yield pa.RecordBatch.from_pylist([full], ARROW_BUNDLES)
     if full := bundler.finish():
         yield pa.RecordBatch.from_pylist([full], ARROW_BUNDLES)
@@ -151,16 +153,17 @@ def write_bundles(pages: DataFrame, work: Workspace, least: int = 0) -> DataFram
     """The bundles of all pages (page_id, url, html), written and read again.
 
     Payloads of at least so many bytes are stored once. Null html is an empty payload and a null url an empty one; a
-    repeated row revisits its first; rows without page_id are refused, since nothing could refer to them.
+    repeated row revisits its first. Rows without page_id are records under a generated id: they revisit an equal payload
+    of a page with an id, and are stored in full if there is none, since nothing could refer to them.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), text_of("html").alias("html"))
-    pages = pages.withColumn("page_id", F.coalesce("page_id", F.raise_error(F.lit("a page has no page_id")).cast("long")))
     digest = F.sha1(F.encode("html", "UTF-8"))
     keys = work.write(pages.select("page_id", digest.alias("digest")), "keys")
     # only payloads that occur again; the group with a third of all rows is reduced before the shuffle
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    again = keys.join(firsts, "digest").distinct()
-    rows = pages.withColumn("digest", digest).join(again, ["page_id", "digest"], "left")
+    again = keys.join(firsts, "digest").distinct().select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id")
+    rows = pages.withColumn("digest", digest)
+    rows = rows.join(again, rows.page_id.eqNullSafe(again.again_id) & (rows.digest == again.again_digest), "left").drop("again_id", "again_digest")
     if keys.groupBy("page_id", "digest").count().where("count > 1").limit(1).count():
         # repeated rows must meet in one task, also if Spark splits or broadcasts a side of the join
         rows = rows.repartition("page_id", "digest")
@@ -186,7 +189,8 @@ def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if r["frame"] != frame:
                     frame, plain = r["frame"], memoryview(read_frame(view, r["frame"]))
                 head, block, after = parse_record(plain, r["offset"])
-                if number(head["WARC-Record-ID"]) != r["page_id"] or after - r["offset"] != r["length"]:
+                named = head["WARC-Record-ID"]
+                if (None if named.startswith("<urn:page:none:") else number(named)) != r["page_id"] or after - r["offset"] != r["length"]:
                     raise ValueError(f"bundle {bundle_id} does not hold record {r['page_id']} where its index says")
                 stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 refers = number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None

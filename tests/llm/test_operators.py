@@ -379,6 +379,21 @@ def test_pages(spark, work, monkeypatch):
     assert len(index) == len(rows)
 
 
+def test_pages_without_id(spark, work):
+    rows = [(None, "u", "<a>"), (None, "u", "<a>"), (4, "v", "<a>"), (None, None, None), (None, "w", "only"), (None, "w", "only"), (5, "w", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bundles = warc_bundles.write_bundles(pages, work)
+    got = warc_bundles.read_bundles(bundles).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter(
+        [(None, "revisit", 4, 3), (None, "revisit", 4, 3), (4, "response", None, 3), (None, "response", None, 0), (None, "response", None, 4), (None, "response", None, 4), (5, "response", None, 1)]
+    )
+    names = []
+    for b in bundles.collect():
+        view = memoryview(b.content)
+        names += [warc_bundles.parse_record(memoryview(warc_bundles.read_frame(view, r.frame)), r.offset)[0]["WARC-Record-ID"] for r in b.records]
+    assert len(set(names)) == len(rows)
+
+
 def test_op7_sql(spark):
     import duckdb
 
