@@ -514,12 +514,13 @@ def back_ref(spark: SparkSession, d: str) -> DataFrame:
     return relate.parent_references(references(spark, d)).select(*LAYER, "parent_seq", "via_attachment")
 
 
-def chained(spark: SparkSession, d: str) -> DataFrame:
+def chained(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
+    """Chains of the first link on each image, for the attachments that kept holds for."""
     parents = relate.parent_references(references(spark, d)).select(*LAYER, "parent_depth", "via_attachment")
     layers = mails(spark, d).join(parents, LAYER, "left")
     images = fixture(spark, d, "mail_images").where("ocr_text is not null").select(*LAYER, "idx", F.struct("filename", F.slice(urls.extract(F.col("ocr_text")), 1, 1).alias("urls_from_ocr")).alias("image"))
     embedded = images.groupBy(*LAYER).agg(summary.ordered(F.col("image"), "idx").alias("embedded_images"))
-    return relate.content_chains(layers, attachments(spark, d).where("idx % 10 = 0").join(embedded, LAYER))
+    return relate.content_chains(layers, attachments(spark, d).where(kept).join(embedded, LAYER))
 
 
 CHAIN_SQL = (
@@ -533,14 +534,28 @@ FROM mail_layers l JOIN parents p USING (email_id, layer_seq) JOIN mail_attachme
 )
 
 
+#: The attachments that CHAIN_SQL asks for; content_chain_whole and chain_text_whole take all of them.
+TENTH = "idx % 10 = 0"
+
+
 @query("content_chain", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, url FROM ch")
 def content_chain(spark: SparkSession, d: str) -> DataFrame:
-    return chained(spark, d).select(*LAYER, "idx", "image_idx", F.element_at("chain", 6)["value"].alias("url"))
+    return chained(spark, d, TENTH).select(*LAYER, "idx", "image_idx", F.element_at("chain", 6)["value"].alias("url"))
 
 
 @query("chain_text", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, concat('layer(', parent_depth, ') \u2192 attachment(', left(via_attachment, 30), ') \u2192 nested_email(', layer_depth, ') \u2192 attachment(', left(filename, 30), ') \u2192 embedded_image(', left(image, 30), ') \u2192 url(', left(url, 30), ')') AS description FROM ch")
 def chain_text(spark: SparkSession, d: str) -> DataFrame:
-    return chained(spark, d).select(*LAYER, "idx", "image_idx", summary.chain_text(F.col("chain")).alias("description"))
+    return chained(spark, d, TENTH).select(*LAYER, "idx", "image_idx", summary.chain_text(F.col("chain")).alias("description"))
+
+
+@query("content_chain_whole")
+def content_chain_whole(spark: SparkSession, d: str) -> DataFrame:
+    return chained(spark, d).select(*LAYER, "idx", "image_idx", "url_idx", F.element_at("chain", 6)["value"].alias("url"))
+
+
+@query("chain_text_whole")
+def chain_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    return chained(spark, d).select(*LAYER, "idx", "image_idx", "url_idx", summary.chain_text(F.col("chain")).alias("description"))
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------
