@@ -515,10 +515,10 @@ def back_ref(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chained(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
-    """Chains of the first link on each image, for the attachments that kept holds for."""
+    """Chains of all links on all images, for the attachments that kept holds for."""
     parents = relate.parent_references(references(spark, d)).select(*LAYER, "parent_depth", "via_attachment")
     layers = mails(spark, d).join(parents, LAYER, "left")
-    images = fixture(spark, d, "mail_images").where("ocr_text is not null").select(*LAYER, "idx", F.struct("filename", F.slice(urls.extract(F.col("ocr_text")), 1, 1).alias("urls_from_ocr")).alias("image"))
+    images = fixture(spark, d, "mail_images").where("ocr_text is not null").select(*LAYER, "idx", F.struct("filename", urls.extract(F.col("ocr_text")).alias("urls_from_ocr")).alias("image"))
     embedded = images.groupBy(*LAYER).agg(summary.ordered(F.col("image"), "idx").alias("embedded_images"))
     return relate.content_chains(layers, attachments(spark, d).where(kept).join(embedded, LAYER))
 
