@@ -2,19 +2,23 @@
 
 Every vector is projected on m random lines; each line keeps its projections sorted. A query counts, line by line, which
 vectors fall in a window centred on its own projection. Windows grow by virtual rehashing: the radius is multiplied and only
-the new ends of each window are read. Vectors that collide on enough lines are verified by their exact distance, all of them;
-the search ends when the k-th best verified distance is within the radius, up to which the lines were dimensioned to find
-every vector with the stated probability, or when no vector is left.
+the new ends of each window are read. Vectors that collide on at least a threshold of lines are verified by their exact
+distance, all of them and no others. The search ends when the k-th best verified distance (or a bound on it that is known
+already) is within the radius: lines and threshold are dimensioned so that every vector within the radius is verified but
+for a stated chance, and one RATIO times as far is so for a stated share only.
 
-Rows are dealt into blocks by a hash of their ids, each with its own sorted lines, and queries meet every block. A block
-gives its best k, and the best k of these are the answer, so a block is all that a task holds.
+Rows lie in slabs along the widest direction of a bounded sample, and slabs in blocks with sorted lines of their own. A
+query first searches its home slab. The k-th distance found there bounds its search elsewhere: slabs farther away along the
+direction are not visited, since no projection is longer than the distance, and windows in the others grow to that bound at
+most. How many slabs that spares is a matter of the vectors; README has figures.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +28,13 @@ from pyspark.sql.window import Window
 
 from mailstruct.llm.common import Workspace, table
 
-K, EVERY, BLOCK, QUERIES, SEED = 10, 100, 2048, 1024, 5
-#: Radius growth, window width for radius 1, chance to miss a vector within the radius, share of far vectors let through.
-GROWTH, WIDTH, MISS, FAR = 1.25, 2.0, 0.03, 0.2
-#: Queries that are answered at a time.
-TOGETHER = 64
+K, EVERY, SEED = 10, 100, 5
+#: Vectors of a block, queries that meet a block in one task, rows that slabs are cut by, and slabs at most.
+BLOCK, QUERIES, PILOT, SLABS = 4096, 1024, 4096, 256
+#: Window width for radius 1, growth of the radius, chance to miss a vector within the radius, share of vectors RATIO times as far let through.
+WIDTH, GROWTH, MISS, RATIO, FAR = 2.0, 1.12, 0.2, 1.2, 0.02
+#: Vectors of a block whose exact distances tell a query where to begin.
+BEGIN = 32
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -36,13 +42,31 @@ def collision(distance: float, width: float = WIDTH) -> float:
     return math.erf(width / (2 * math.sqrt(2) * distance))
 
 
-def dimension(growth: float = 3.0, width: float = WIDTH, miss: float = MISS, far: float = FAR) -> tuple[int, int]:
-    """(lines, threshold): by Hoeffding's bound a vector within the radius reaches the threshold but for miss, and one beyond growth times the radius does so for far at most."""
-    near, beyond = collision(1.0, width), collision(growth, width)
-    a, b = math.sqrt(math.log(1 / miss)), math.sqrt(math.log(1 / far))
-    lines = math.ceil((a + b) ** 2 / (2 * (near - beyond) ** 2))
-    share = (b * near + a * beyond) / (a + b)
-    return lines, math.floor(share * lines)
+def at_least(lines: int, p: float) -> np.ndarray:
+    """Probabilities that 0, 1, ... of so many lines collide, or more."""
+    n = np.arange(lines + 1)
+    log = np.array([math.lgamma(lines + 1) - math.lgamma(i + 1) - math.lgamma(lines - i + 1) for i in n])
+    return np.cumsum(np.exp(log + n * math.log(p) + (lines - n) * math.log1p(-p))[::-1])[::-1]
+
+
+@lru_cache
+def dimension(ratio: float = RATIO, width: float = WIDTH, miss: float = MISS, far: float = FAR) -> tuple[int, int]:
+    """(lines, threshold): the fewest lines for which one threshold keeps both promises, by the binomial distribution."""
+    near, beyond, lines = collision(1.0, width), collision(ratio, width), 8
+    while True:
+        found = np.flatnonzero((1 - at_least(lines, near) <= miss) & (at_least(lines, beyond) <= far))
+        if len(found):
+            return lines, int(found[-1])
+        lines += 1
+
+
+def directions(lines: int, dim: int) -> np.ndarray:
+    """Gaussian lines in groups of dim that are orthogonal to each other: each is as random alone, and counts vary less."""
+    random, out = np.random.default_rng(SEED), []
+    for _ in range(-(-lines // dim)):
+        q, r = np.linalg.qr(random.standard_normal((dim, dim)))
+        out.append((q * np.sign(np.diag(r))).T * np.sqrt(random.chisquare(dim, dim))[:, None])
+    return np.concatenate(out)[:lines]
 
 
 @dataclass
@@ -60,95 +84,100 @@ class Lines:
     @staticmethod
     def build(ids: np.ndarray, vectors: np.ndarray) -> Lines:
         m, threshold = dimension()
-        directions = np.random.default_rng(SEED).standard_normal((m, vectors.shape[1]))
-        projected = directions @ vectors.T
+        along = directions(m, vectors.shape[1])
+        projected = along @ vectors.T
         order = np.argsort(projected, axis=1, kind="stable")
         sorted_ = np.take_along_axis(projected, order, 1)
         shift = np.arange(m) * (4 * float(np.abs(projected).max()) + 1)
-        return Lines(ids, vectors, directions, shift, (sorted_ + shift[:, None]).ravel(), order.ravel(), threshold)
+        return Lines(ids, vectors, along, shift, (sorted_ + shift[:, None]).ravel(), order.ravel(), threshold)
+
+    def distances(self, query: np.ndarray, some: np.ndarray) -> np.ndarray:
+        gap = self.vectors[some] - query
+        return np.sqrt((gap * gap).sum(1))
+
+    def nearest(self, query: np.ndarray, own: int, k: int, bound: float = math.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Positions and distances of the k nearest found, ties to the smaller id, and how many vectors were verified.
 
-    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the positions and distances of the k nearest found, ties to the smaller id."""
-        n, m, many = len(self.ids), len(self.shift), len(queries)
+        With a bound only vectors within it are looked for.
+        """
+        n, m = len(self.ids), len(self.shift)
         first = np.arange(m) * n
-        center = queries @ self.directions.T + self.shift
+        center = self.directions @ query + self.shift
         low = np.clip(np.searchsorted(self.values, center), first, first + n)
         high = low.copy()
-        count = np.zeros(many * n, np.int32)
-        tested = self.ids[None] == own[:, None]
-        distance = np.full((many, n), np.inf)
-        kth, open_ = np.full(many, np.inf), ~tested.all(1)
-        # the first radius: on the median line, about k values lie within it
-        side = np.minimum(np.abs(self.values[np.clip(low + k, first, first + n - 1)] - center), np.abs(self.values[np.clip(low - k, first, first + n - 1)] - center))
-        radius = np.maximum(np.median(side, axis=1), 1e-9)
-        while open_.any():
-            q = np.flatnonzero(open_)
-            half = radius[q, None] * WIDTH / 2
-            a = np.minimum(np.clip(np.searchsorted(self.values, center[q] - half, side="left"), first, first + n), low[q])
-            b = np.maximum(np.clip(np.searchsorted(self.values, center[q] + half, side="right"), first, first + n), high[q])
-            begin, size = np.concatenate([a, high[q]], 1).ravel(), np.concatenate([low[q] - a, b - high[q]], 1).ravel()
-            low[q], high[q] = a, b
-            at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            row = np.repeat(np.repeat(np.arange(len(q)), 2 * m), size)
-            count = count.reshape(many, n)
-            count[q] += np.bincount(row * n + self.order[at], minlength=len(q) * n).reshape(len(q), n).astype(np.int32)
-            fresh_q, fresh_v = np.nonzero((count[q] >= self.threshold) & ~tested[q])
-            fresh_q = q[fresh_q]
-            tested[fresh_q, fresh_v] = True
-            for some in range(0, len(fresh_q), 1 << 15):
-                x, y = fresh_q[some : some + (1 << 15)], fresh_v[some : some + (1 << 15)]
-                gap = self.vectors[y] - queries[x]
-                distance[x, y] = np.sqrt((gap * gap).sum(1))
-            kth[q] = np.partition(distance[q], min(k, n) - 1, axis=1)[:, min(k, n) - 1] if n >= k else np.inf
-            open_[q] = (kth[q] > radius[q]) & ~tested[q].all(1)
-            radius[q] = np.where(np.isinf(kth[q]), radius[q] * GROWTH, np.minimum(radius[q] * GROWTH, np.maximum(kth[q], radius[q] * 1.0001)))
-        out = []
-        for d in distance:
-            there = np.flatnonzero(np.isfinite(d))
-            best = there[np.lexsort((self.ids[there], d[there]))][:k]
-            out.append((best, d[best]))
-        return out
-
-
-FOUND = "query_id long, vec_id long, score double"
-
-
-def searcher(k: int):
+        count, open_ = np.zeros(n, np.int64), self.ids != own
+        some = np.unique(np.linspace(0, n - 1, min(n, BEGIN)).astype(np.int64))
+        found = some[open_[some]]
+        open_[found] = False
+        distance = self.distances(query, found)
+        # half the least distance met, or the bound; rounding moves projections of equal vectors by less than the last
+        radius = max(min(float(distance.min(initial=math.inf)), bound) / 2, 1e-9 * (1 + float(np.linalg.norm(query))))
+        if not math.isfinite(radius):
+            return found, distance, 0
+        while True:
+            half = radius * WIDTH / 2
+            a = np.minimum(np.clip(np.searchsorted(self.values, center - half, side="left"), first, first + n), low)
+            b = np.maximum(np.clip(np.searchsorted(self.values, center + half, side="right"), first, first + n), high)
+            ends = [self.order[x:y] for x, y in zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist(), strict=True) if x < y]
+            low, high = a, b
+            if ends:
+                count += np.bincount(np.concatenate(ends), minlength=n)
+            fresh = np.flatnonzero((count >= self.threshold) & open_)
+            open_[fresh] = False
+            found, distance = np.concatenate([found, fresh]), np.concatenate([distance, self.distances(query, fresh)])
+            enough = min(bound, float(np.partition(distance, k - 1)[k - 1])) if len(distance) >= k else bound
+            if radius >= enough or not open_.any():
+                break
+            radius = min(radius * GROWTH, max(enough, radius * 1.0001))
+        best = np.lexsort((self.ids[found], distance))[:k]
+        return found[best], distance[best], len(found)
+
+
+def placer(plan: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """Adds each vector's place along its length's direction, and its slab between the edges."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, flat = batch.column("dim").to_numpy(), batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            starts, along, slab = np.cumsum(dims) - dims, np.zeros(len(dims)), np.zeros(len(dims), np.int32)
+            for dim in set(np.unique(dims).tolist()) & plan.keys():
+                rows = np.flatnonzero(dims == dim)
+                along[rows] = flat[starts[rows][:, None] + np.arange(dim)] @ plan[dim][0]
+                slab[rows] = np.searchsorted(plan[dim][1], along[rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along), pa.array(slab)], [*batch.schema.names, "along", "slab"])
+
+    return place
+
+
+FOUND = "query_id long, vec_id long, score double, verified long"
+
+
+def searcher(k: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (dim, block, part, is_query): a block's vectors, then the queries that meet it."""
-        key, lines = None, None
-        ids, vectors, asked, asked_ids, out = [], [], [], [], []
-
-        def answer() -> None:
-            nonlocal lines
-            if asked and ids:
-                lines = lines or Lines.build(np.array(ids, np.int64), np.array(vectors))
-                for own, (place, distance) in zip(asked_ids, lines.nearest(np.array(asked), np.array(asked_ids, np.int64), k), strict=True):
-                    out.extend((own, int(lines.ids[p]), float(d)) for p, d in zip(place, distance, strict=True))
-            asked.clear()
-            asked_ids.clear()
+        """Rows come sorted by (dim, slab, block, part, is_query): a block's vectors, then the queries that meet it."""
+        key, lines, ids, vectors, out = None, None, [], [], []
 
         def found() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[], [], []]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "vec_id", "score", "verified"])
 
         for batch in batches:
             flat, at = batch.column("embedding").flatten().to_numpy(zero_copy_only=False), 0
-            for dim, block, part, is_query, vec_id in zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "part", "is_query", "vec_id")), strict=True):
-                if (dim, block, part) != key:
-                    answer()
-                    key, lines = (dim, block, part), None
-                    ids.clear()
-                    vectors.clear()
-                (asked_ids if is_query else ids).append(vec_id)
-                (asked if is_query else vectors).append(flat[at : at + dim].copy())
-                at += dim
-                if len(asked) >= TOGETHER:
-                    answer()
+            for *now, is_query, vec_id, bound in zip(*(batch.column(c).to_pylist() for c in ("dim", "slab", "block", "part", "is_query", "vec_id", "bound")), strict=True):
+                if now != key:
+                    key, lines, ids, vectors = now, None, [], []
+                vector = flat[at : at + now[0]]
+                at += now[0]
+                if not is_query:
+                    ids.append(vec_id)
+                    vectors.append(vector.copy())
+                elif ids:
+                    lines = lines or Lines.build(np.array(ids, np.int64), np.array(vectors))
+                    place, distance, verified = lines.nearest(vector, vec_id, k, math.inf if bound is None else bound)
+                    out.append((vec_id, None, None, verified))
+                    out.extend((vec_id, int(lines.ids[p]), float(d), 0) for p, d in zip(place, distance, strict=True))
             yield found()
-        answer()
-        yield found()
 
     return search
 
@@ -159,26 +188,74 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def slabs_of(rows: DataFrame, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each vector length the direction along which a sample is widest, and the edges between slabs of about a block."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).select("dim", "embedding").toArrow()
+    dims, plan = np.array(sample.column("dim").to_pylist(), np.int64), {}
+    sizes = {r.dim: r["count"] for r in rows.where(F.col("dim").isin(np.unique(dims).tolist())).groupBy("dim").count().collect()} if len(dims) else {}
+    vectors = sample.column("embedding").to_pylist()
+    for dim, n in sizes.items():
+        some = np.array([vectors[i] for i in np.flatnonzero(dims == dim)], float)
+        slabs = min(SLABS, -(-n // block), len(some))
+        if slabs > 1:
+            along = np.linalg.svd(some - some.mean(0), full_matrices=False)[2][0]
+            plan[dim] = along, np.quantile(some @ along, np.arange(1, slabs) / slabs)
+    return plan
+
+
 def neighbours(vectors: DataFrame, work: Workspace, k: int = K, every: int = EVERY, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id every divides, by Euclidean distance.
+    """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id every divides, by Euclidean distance;
+    and verified, how many exact distances the query took.
 
-    All other rows are candidates; rows with the query's own id are not. Unusable vectors and rows without id take no part;
-    vectors of another length are not compared. Repeated rows of one vec_id count once. Fewer candidates give fewer rows, an
-    empty table none. Equal vectors are all verified, so ties go to the smaller ids however many there are.
+    All other rows are candidates; rows with the query's own id are not. Unusable vectors (null, zero, with null or
+    non-finite components) and rows without id take no part; vectors of another length are not compared. A vec_id names one
+    vector: of rows that repeat it, that with the smallest components counts. Fewer candidates give fewer rows, an empty
+    table none. Equal vectors are all verified, so ties go to the smaller ids however many there are. Other columns are not read.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = work.write(rows.withColumn("dim", F.size("embedding")), "vectors")
+    rows = work.write(rows.withColumn("dim", F.size("embedding").cast("long")), "vectors")
     if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
-        rows = work.write(rows.dropDuplicates(["vec_id", "embedding"]), "distinct")
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.sum((F.col("vec_id") % every == 0).cast("int")) / queries).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(sizes), "dim")  # a row for each vector length
-    part = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.greatest(F.lit(1), F.col("parts"))).cast("int")
-    asked = rows.where(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    held = rows.where("parts > 0").select("dim", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    dealt = held.unionAll(asked).repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "part", "is_query", "vec_id")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = dealt.mapInArrow(searcher(k), FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+        rows = work.write(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding").cast("long")), "distinct")
+    plan = slabs_of(rows, block)
+    placed = work.write(rows.select("dim", "vec_id", "embedding").mapInArrow(placer(plan), "dim long, vec_id long, embedding array<double>, along double, slab int"), "placed")
+    # a row for each slab: SLABS at most for each vector length
+    cells = placed.groupBy("dim", "slab").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("along").alias("from"), F.max("along").alias("to"))
+    cells = work.write(cells, "cells")
+    asked = placed.where(F.col("vec_id") % every == 0)
+
+    def search(met: DataFrame) -> DataFrame:
+        """met: the queries (dim, slab, vec_id, embedding, bound), once for each slab that they visit."""
+        parts = met.groupBy("dim", "slab").agg(F.ceil(F.count("*") / queries).cast("int").alias("parts")).join(cells, ["dim", "slab"])
+        parts = small(work.write(parts, "parts"))
+        number = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        out = ["is_query", "vec_id", "bound", "embedding"]
+        held = placed.join(parts, ["dim", "slab"]).select("dim", "slab", number(0, "blocks").alias("block"), each("parts").alias("part"), F.lit(False).alias("is_query"), "vec_id", F.lit(None).cast("double").alias("bound"), "embedding")
+        met = met.join(parts, ["dim", "slab"]).select("dim", "slab", each("blocks").alias("block"), number(1, "parts").alias("part"), F.lit(True).alias("is_query"), "vec_id", "bound", "embedding")
+        dealt = held.unionAll(met).repartition("dim", "slab", "block", "part").sortWithinPartitions("dim", "slab", "block", "part", "is_query", "vec_id")
+        return dealt.select("dim", "slab", "block", "part", *out).mapInArrow(searcher(k), FOUND)
+
+    by = Window.partitionBy("query_id")
+    best = by.orderBy(F.col("vec_id").isNull(), "score", "vec_id")
+    found = search(asked.select("dim", "slab", "vec_id", "embedding", F.lit(None).cast("double").alias("bound")))
+    if plan:
+        home = work.write(found, "home")
+        bounds = home.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        # one row more than the distance's rounding, since the slabs' ends are sums in another order
+        reach = F.coalesce(F.col("bound"), F.lit(math.inf)) + 1e-9
+        away = asked.withColumnRenamed("slab", "at").join(bounds, "vec_id", "left").join(small(cells), "dim")
+        away = away.where((F.col("slab") != F.col("at")) & (F.col("along") - reach <= F.col("to")) & (F.col("along") + reach >= F.col("from")))
+        found = home.unionAll(search(work.write(away.select("dim", "slab", "vec_id", "embedding", "bound"), "away")))
+    ranked = found.select("*", F.row_number().over(best).alias("rank"), F.sum("verified").over(by).alias("all_verified"))
+    ranked = ranked.where((F.col("rank") <= k) & F.col("vec_id").isNotNull())
+    return ranked.select("query_id", "rank", "vec_id", "score", F.col("all_verified").alias("verified"))
+
+
+def small(cells: DataFrame) -> DataFrame:
+    """cells, to be broadcast if they are few, as they are but for very many different vector lengths."""
+    return F.broadcast(cells) if cells.count() <= 100_000 else cells
 
 
 def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
