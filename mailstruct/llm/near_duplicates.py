@@ -1,21 +1,23 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents with equal words are one text. Each text's signature is cut into bands; rows and bands are chosen for a target
-recall at the threshold. Texts that share a band hash are candidates: they are linked in stars (never in pairs), and the
-connected candidates are verified against each other on their full sets of word n-grams. Candidates of one component are
-dealt into blocks, and pairs of blocks are verified by matrix products, which give each text its number of links and a
-spanning forest, so no task holds more than two blocks and no pair of texts ever becomes a row.
+Documents with equal words are one text, named by a digest of them. Each text's signature is cut into bands; rows and bands
+are chosen for a target recall at the threshold. Texts meet in the buckets of their band hashes; buckets with the same members
+are one. Members of a bucket are compared pair by pair on a byte of each of their hashes, which drops all pairs but for those
+that may well reach the threshold (a second bound on recall), so texts that share some boilerplate do not grow together. What
+is left is verified on full sets of word n-grams: connected texts are dealt into blocks, and pairs of blocks are verified by
+matrix products, which give each text its number of links and a spanning forest. So no task holds more than two blocks, texts
+move once, and no pair of texts ever becomes a row but for the pairs of buckets of at most SMALL texts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.llm.common import Workspace, table, text_of
@@ -23,6 +25,8 @@ from mailstruct.llm.common import Workspace, table, text_of
 WORDS, THRESHOLD, RECALL, HASHES, SEED = 5, 0.8, 0.9999, 256, 11
 #: A block of candidates has about so many texts, and about so many n-grams.
 BLOCK_TEXTS, BLOCK_GRAMS = 96, 1_000_000
+#: Buckets up to so many texts are compared together; larger ones are dealt into blocks of so many sketches.
+SMALL, BLOCK_SKETCHES = 16, 512
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -38,6 +42,15 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
     return best
 
 
+def least_equal(hashes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many of so many hashes a pair at the threshold has equal at least, but for a chance of 1 - recall."""
+    below, n = 0.0, -1
+    while below <= 1 - recall:
+        n += 1
+        below += math.comb(hashes, n) * threshold**n * (1 - threshold) ** (hashes - n)
+    return n
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -88,8 +101,12 @@ def grams(words: np.ndarray, starts: np.ndarray, n: int = WORDS) -> tuple[np.nda
     return out, first
 
 
-def signer(bands: int, rows: int):
+SIGNED = "digest binary, n_grams long, bands array<long>, sketch binary"
+
+
+def signer(bands: int, rows: int, key: pa.DataType):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replaces texts by digest, number of n-grams, band hashes and sketch; texts without words have no bands."""
         import xxhash
 
         random = np.random.default_rng(SEED)
@@ -100,23 +117,96 @@ def signer(bands: int, rows: int):
             found, first = grams(words, starts)
             some = np.flatnonzero(np.diff(first) > 0)
             folded = (found >> np.uint64(32)).astype(np.uint32)
-            keys = np.zeros((len(some), bands), np.uint64)
+            keys, sketch = np.zeros((len(some), bands), np.uint64), np.zeros((len(some), bands * rows), np.uint8)
             with np.errstate(over="ignore"):
                 for band in range(bands):
                     h = np.full(len(some), band + 1, np.uint64)
                     for k in range(band * rows, (band + 1) * rows):
                         least = np.minimum.reduceat((folded ^ plus[k]) * times[k], first[some]) if len(some) else folded
+                        sketch[:, k] = mixed(least.astype(np.uint64)) & np.uint64(255)
                         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + least)
                     keys[:, band] = h
             digests = [xxhash.xxh3_128_digest(words[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            cuts = np.zeros(batch.num_rows + 1, np.int32)
+            cuts, sketches = np.zeros(batch.num_rows + 1, np.int32), [b""] * batch.num_rows
             cuts[some + 1] = bands
+            for i, row in zip(some, sketch, strict=True):
+                sketches[i] = row.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(cuts, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(first), pa.int64()), lists], ["doc_id", "digest", "n_grams", "bands"])
+            named = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"digest": pa.array(digests, pa.binary()), "n_grams": pa.array(np.diff(first), pa.int64()), "bands": lists, "sketch": pa.array(sketches, pa.binary())}
+            del named["text"]
+            yield pa.RecordBatch.from_arrays([named["doc_id"].cast(key), *list(named.values())[1:]], list(named))
 
     return sign
 
 
+def alike(least: int):
+    """Of rows (bucket, i, j, side, digest, sketch) that come by bucket, i and j: edges (a, b) between sketches with so many equal bytes."""
+
+    def equal(sketches: np.ndarray) -> np.ndarray:
+        return np.stack([(sketches == one).sum(1) >= least for one in sketches])
+
+    def large(digests: list[bytes], sketches: np.ndarray, side: np.ndarray | None) -> list[tuple[bytes, bytes]]:
+        """A spanning forest of the pairs that are alike; with sides, of those between them."""
+        near = equal(sketches)
+        if side is not None:
+            near &= side[:, None] != side[None]
+        out, seen = [], np.zeros(len(digests), bool)
+        for i in range(len(digests)):
+            front = np.array([i])
+            while len(front) and not seen[i]:
+                reached = near[front].any(0) & ~seen
+                reached[front] = False
+                out += [(digests[j], digests[front[int(near[front, j].argmax())]]) for j in np.flatnonzero(reached)]
+                seen[front] = True
+                front = np.flatnonzero(reached)
+        return out
+
+    def compare(table: pa.Table, width: int) -> pa.RecordBatch:
+        digests = table.column("digest").to_pylist()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(digests), width)
+        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+        sizes, edges = np.diff(np.append(starts, len(keys))), []
+        for size in range(2, SMALL + 1):
+            where = starts[(sizes == size) & (keys[starts, 1] == keys[starts, 2])]
+            a, b = np.triu_indices(size, 1)
+            a, b = (where[:, None] + a).ravel(), (where[:, None] + b).ravel()
+            for at in range(0, len(a), 1 << 15):
+                x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                close = (sketches[x] == sketches[y]).sum(1) >= least
+                edges += [(digests[i], digests[j]) for i, j in zip(x[close].tolist(), y[close].tolist(), strict=True)]
+        for start, size in zip(starts, sizes, strict=True):
+            across = keys[start, 1] != keys[start, 2]
+            if size > SMALL or (across and size > 1):
+                some = slice(start, start + size)
+                edges += large(digests[some], sketches[some], table.column("side").to_numpy()[some] if across else None)
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            now, last = pa.Table.from_batches(held), batch.num_rows - 1
+            # all but the group that the batch ends with, which may go on
+            open_ = pc.and_(pc.and_(pc.equal(now.column("bucket"), batch.column("bucket")[last]), pc.equal(now.column("i"), batch.column("i")[last])), pc.equal(now.column("j"), batch.column("j")[last]))
+            done = now.filter(pc.invert(open_))
+            if done.num_rows:
+                yield compare(done, len(batch.column("sketch")[0].as_py()))
+                held = now.filter(open_).combine_chunks().to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held), len(held[0].column("sketch")[0].as_py()))
+
+    return run
+
+
+def blocks_of(group: list[str], block: Column, blocks: Column, *keep: str) -> Callable[[DataFrame], DataFrame]:
+    """Deals the rows of each group to all pairs (i, j) of its blocks; side tells the two blocks of a pair apart."""
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j"), (other < block).cast("int").alias("side")))
+    return lambda rows: rows.select(*group, *keep, F.explode(pairs).alias("p")).select(*group, "p.i", "p.j", "p.side", *keep).repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, root): root is the smallest node of node's component, for the nodes of edges (a, b) that aren't roots.
 
@@ -173,91 +263,114 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verifier(threshold: float):
-    def close(rows: list[dict]) -> list[tuple]:
-        """(a, b, texts, documents): each text's links found here, and b, the smallest text that it is connected with."""
-        sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    """Of rows (root, i, j, side, node, n, grams) that come by root, i and j: each text's links found there, and b, the first text that it is connected with."""
+
+    def close(nodes: list[bytes], copies: np.ndarray, grams: list[bytes], side: np.ndarray, across: bool) -> list[tuple]:
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
         size, both = np.array([len(s) for s in sets], float), overlaps(sets)
         linked = both / np.maximum(size[:, None] + size[None] - both, 1) >= threshold
-        # a block whose partner is empty has side 0 only, and its own links are found within itself
-        side = np.array([r["side"] for r in rows])
-        linked &= (side[:, None] != side[None]) if rows[0]["i"] != rows[0]["j"] else ~np.eye(len(rows), dtype=bool)
-        copies = np.array([r["n"] for r in rows], np.int64)
-        texts, documents, out, seen = linked.sum(1), linked @ copies, [], np.zeros(len(rows), bool)
-        for i in np.argsort([r["rep"] for r in rows], kind="stable"):
-            reach = np.zeros(len(rows), bool)
+        linked &= (side[:, None] != side[None]) if across else ~np.eye(len(nodes), dtype=bool)
+        texts, documents, out, seen = linked.sum(1), linked @ copies, [], np.zeros(len(nodes), bool)
+        for i in sorted(np.flatnonzero(texts).tolist(), key=nodes.__getitem__):
+            reach = np.zeros(len(nodes), bool)
             front = np.array([i])
             while len(front) and not seen[i]:
                 reach[front] = True
                 front = np.flatnonzero(linked[front].any(0) & ~reach)
-            for j in np.flatnonzero(reach & ~seen):
-                if texts[j]:
-                    out.append((rows[j]["rep"], rows[i]["rep"], int(texts[j]), int(documents[j])))
+            out += [(nodes[j], nodes[i], int(texts[j]), int(documents[j])) for j in np.flatnonzero(reach & ~seen)]
             seen |= reach
         return out
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], []
+        key, rows, found = None, ([], [], [], []), []
+
+        def end() -> None:
+            if len(rows[0]) > 1:
+                # a block whose partner is empty has side 0 only, and its own links are found within itself
+                found.extend(close(rows[0], np.array(rows[1], np.int64), rows[2], np.array(rows[3]), key[1] != key[2]))
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["root"], r["i"], r["j"]) != key:
-                    found += close(rows) if len(rows) > 1 else []
-                    key, rows = (r["root"], r["i"], r["j"]), []
-                rows.append(r)
-            if found:
-                yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "texts", "documents"), f, strict=True)) for f in found])
-                found = []
-        found += close(rows) if len(rows) > 1 else []
-        if found:
-            yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "texts", "documents"), f, strict=True)) for f in found])
+            for *now, node, n, grams, side in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "n", "grams", "side")), strict=True):
+                if now != key:
+                    end()
+                    key, rows = now, ([], [], [], [])
+                for column, x in zip(rows, (node, n, grams, side), strict=True):
+                    column.append(x)
+            yield batch_of(found)
+            found = []
+        end()
+        yield batch_of(found)
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["a", "b", "texts", "documents"])
 
     return verify
 
 
+def candidates_of(texts: DataFrame, work: Workspace, least: int) -> DataFrame:
+    """Edges (a, b) between texts (digest, bands, sketch) that share a bucket and have so many equal bytes of their sketches.
+
+    Edges connect all such texts; of a large bucket they are a spanning forest.
+    """
+    banded = texts.select("digest", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("digest").alias("least"), *(F.bit_xor(F.xxhash64(F.lit(k), "digest")).alias(f"x{k}") for k in (0, 1))).where("size > 1")
+    buckets = work.write(buckets.groupBy("size", "least", "x0", "x1").agg(F.min("band").alias("band")).select("band", "size"), "buckets")
+    members = work.write(banded.join(buckets, "band"), "bucket_members")
+    members = members.join(texts.select("digest", "sketch"), "digest").select(F.col("band").alias("bucket"), "digest", "sketch", F.ceil(F.col("size") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    dealt = blocks_of(["bucket"], block, F.col("blocks"), "digest", "sketch")(members)
+    return dealt.mapInArrow(alike(least), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, work: Workspace, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """For every row of docs (doc_id long, text): doc_id, class_id, n_links, copy_id, n_copies, n_text_links.
+    """For every row of docs (doc_id, text): doc_id, class_id, n_links, copy_id, n_copies, n_text_links.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles reaches the threshold; words are
     runs between white space, in lower case. class_id is the smallest doc_id among all documents connected by links,
     copy_id that among documents with equal words, of which there are n_copies. n_links counts all other linked documents,
     copies among them; n_text_links the linked texts. Null texts count as empty; empty texts are copies of each other and
-    link to nothing else; texts of one to four words have one shingle. Repeated rows are copies. doc_id names a document:
-    rows that repeat it with another text join that document's class. Rows without doc_id keep a class of their copies.
+    link to nothing else; texts of one to four words have one shingle. Very long texts are compared whole. Repeated rows are
+    copies. Rows go by their own text, also if they share a doc_id. Rows without doc_id take part; class_id and copy_id are
+    null only where no document has an id. doc_id may be of any type that has an order. An empty table gives an empty
+    result; other columns are not read.
     """
-    bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    signed = work.write(docs.mapInArrow(signer(bands, rows), "doc_id long, digest binary, n_grams long, bands array<long>"), "signed")
-    texts = work.write(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "texts")
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    banded = texts.where("rep is not null").select("rep", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
-    edges = banded.join(stars, "band").where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+    bands, rows = choose_bands(threshold, recall)
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.select("doc_id", text_of().alias("text"))
+    # a row of a text is found again by its id and these
+    raw = [F.xxhash64(F.lit(k), "text").alias(f"raw{k}") for k in (0, 1)]
+    signed = docs.select("doc_id", *raw, "text").mapInArrow(signer(bands, rows, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, raw0 long, raw1 long, {SIGNED}")
+    signed = work.write(signed, "signed")
+    texts = work.write(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "raw0", "raw1")).alias("carrier"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_grams", "bands", "sketch"))), "texts")
+
+    edges = candidates_of(texts, work, least_equal(bands * rows, threshold, recall))
     candidates = components(edges, work)
-    candidates = candidates.unionAll(candidates.select(F.col("root").alias("node"), "root").distinct())
-    members = work.write(candidates.join(texts.drop("bands"), F.col("node") == F.col("rep")).drop("node"), "members")
+    candidates = work.write(candidates.unionAll(candidates.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    members = work.write(candidates.join(texts.select(F.col("digest").alias("node"), "carrier", "n", "n_grams"), "node"), "members")
 
     load = members.groupBy("root").agg(F.count("*").alias("t"), F.sum("n_grams").alias("g"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(load.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # one row of a document for each text: repeated rows are equal, and other texts under the id have another digest
+    placed = members.join(load.select("root", blocks.alias("blocks")), "root").select("node", "root", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("carrier.doc_id").alias("id"), F.col("carrier.raw0").alias("r0"), F.col("carrier.raw1").alias("r1"))
     # merged at every size: texts move once, and no set of candidates is ever broadcast
-    reps = docs.join(placed.select("rep", "root", "n", "block", "blocks", "n_grams").hint("merge"), F.col("doc_id") == F.col("rep")).drop("doc_id")
-    sets = reps.mapInArrow(gram_rows, "grams binary, rep long, root long, n long, block int, blocks int, n_grams long")
-    sets = work.write(sets.dropDuplicates(["rep"]), "sets") if has_repeats(signed) else work.write(sets, "sets")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("block"), other).alias("i"), F.greatest(F.col("block"), other).alias("j"), (other < F.col("block")).cast("int").alias("side")))
-    dealt = sets.select("root", "rep", "n", "grams", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "rep", "n", "grams")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = work.write(dealt.mapInArrow(verifier(threshold), "a long, b long, texts long, documents long"), "links")
+    found = docs.select("doc_id", *raw, "text").join(placed.hint("merge"), F.col("raw0").eqNullSafe(F.col("r0")) & F.col("raw1").eqNullSafe(F.col("r1")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = found.select("text", "node", "root", "n", "block", "blocks").mapInArrow(gram_rows, "grams binary, node binary, root binary, n long, block int, blocks int")
+    repeats = signed.groupBy("doc_id", "raw0", "raw1").count().where("count > 1").limit(1).count() > 0
+    sets = work.write(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
+    dealt = blocks_of(["root"], F.col("block"), F.col("blocks"), "node", "n", "grams")(sets)
+    links = work.write(dealt.mapInArrow(verifier(threshold), "a binary, b binary, texts long, documents long"), "links")
 
     work.drop(sets, members)
     counted = links.groupBy("a").agg(F.sum("texts").alias("n_text_links"), F.sum("documents").alias("linked"))
     rooted = components(links.select("a", "b"), work)
-    found = texts.drop("bands", "n_grams").join(counted.withColumnRenamed("a", "rep"), "rep", "left").join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("digest", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("n").alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "n_text_links")
-
-
-def has_repeats(signed: DataFrame) -> bool:
-    return signed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+    slim = texts.select("digest", "rep", "n").join(counted.withColumnRenamed("a", "digest"), "digest", "left").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
+    slim = work.write(slim.withColumn("root", F.coalesce("root", "digest")), "slim")
+    classes = slim.where("n_text_links > 0").groupBy("root").agg(F.min("rep").alias("least"))
+    slim = slim.join(classes, "root", "left")
+    slim = slim.select("digest", F.coalesce("least", "rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("n").alias("n_copies"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "digest").join(slim, "digest").select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "n_text_links")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
