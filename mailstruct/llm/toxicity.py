@@ -2,11 +2,13 @@
 
 Examples are a bounded sample of labelled rows, and all of their terms count. A term weighs by TF-IDF, with document
 frequencies over all documents, times one and the square root of its chi square against the examples' labels: terms that
-tell labels apart lead the search, and no term is without weight. A document's nearest examples by exact cosine of whole
-weight vectors: the most frequent terms' part comes from a matrix product in single precision, that of all other terms from
-an inverted index, and what can be among the nearest within that precision is worked out again in full. Neighbours vote
-with weights that fall with their distance, and a monotone map fitted on leave-one-out votes of the examples turns votes
-into probabilities.
+tell labels apart lead the search, and no term is without weight. A document's nearest examples are those of the largest
+exact cosine of whole weight vectors, found through an inverted index with block maxima. Examples lie in blocks of alike ones.
+Lists of rare terms are read whole; of the frequent terms' lists only the largest weight in each block is, at first: both
+together bound what a block's examples can reach, and only blocks that can reach a document's k-th best are scored, for
+documents of alike bounds together. What can be among the nearest within single precision is worked out again in full.
+Neighbours vote with weights that fall with their distance, and a monotone map fitted on leave-one-out votes of the examples
+turns votes into probabilities. All who vote are the evidence.
 
 The index is bounded by the texts of SAMPLE examples; it is broadcast, and each Python worker holds a copy of it.
 """
@@ -30,8 +32,9 @@ from mailstruct.llm.common import Workspace, fold, table, text_of
 from mailstruct.llm.rules import labelled
 
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
-#: Terms held as a matrix, vectors multiplied with it at once, and the bound of what single precision is off by.
-FREQUENT, TOGETHER, SLACK = 512, 256, 1e-4
+#: Terms whose lists have block maxima, examples of a block, blocks that a search scores before it has a k-th best, documents
+#: that search together, and the bound of what single precision is off by.
+FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 4, 64, 1e-4
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -113,9 +116,12 @@ class Index:
         self.dense = np.zeros(len(self.vocabulary))
         self.column = np.full(len(self.vocabulary), -1)
         self.column[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), size), np.float32)
         at = self.column[self.terms]
-        self.matrix[at[at >= 0], row[at >= 0]] = self.weights[at >= 0]
+        self.matrix = np.zeros((size, len(often)), np.float32)
+        self.matrix[row[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        self.block_starts = np.arange(0, size, BLOCK)
+        self.maxima = np.maximum.reduceat(self.matrix, self.block_starts).T if size else np.zeros((len(often), 0), np.float32)
+        self.scored = self.asked = 0
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -125,34 +131,55 @@ class Index:
         w = (1 + np.log(tf)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def frequent_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the frequent terms add to each vector's similarity with each example, in single precision."""
-        out = np.zeros((len(vectors), len(self.matrix)), np.float32)
+    def rare_part(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the terms without block maxima add to the similarity with each example."""
+        rare = self.column[terms] < 0
+        at, counts = spans(self.term_starts, terms[rare])
+        return np.bincount(self.rows[at], np.repeat(weights[rare], counts) * self.own[at], len(self.ids))
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (terms, weights) the k examples of largest cosine above 0 and their cosines, ties to the smaller id.
+
+        With but, that of vector i leaves example but + i out.
+        """
+        size, out = len(self.ids), [(np.empty(0, np.int64), np.empty(0))] * len(vectors)
+        if not size:
+            return out
+        frequent = np.zeros((len(vectors), self.matrix.shape[1]), np.float32)
         for i, (terms, weights) in enumerate(vectors):
             at = self.column[terms]
-            out[i, at[at >= 0]] = weights[at >= 0]
-        return out @ self.matrix
-
-    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """nearest() of each vector; with but, that of vector i leaves example but + i out."""
+            frequent[i, at[at >= 0]] = weights[at >= 0]
+        bounds = frequent @ self.maxima
+        alike = np.argsort(bounds.argmax(1), kind="stable")
         for first in range(0, len(vectors), TOGETHER):
-            some = vectors[first : first + TOGETHER]
-            for i, ((terms, weights), part) in enumerate(zip(some, self.frequent_part(some), strict=True)):
-                yield self.nearest(terms, weights, k, but + first + i if but >= 0 else -1, part)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties to the smaller id; but is an example that takes no part."""
-        size = len(self.ids)
-        if not len(terms) or not size:
-            return np.empty(0, np.int64), np.empty(0)
-        score = self.frequent_part([(terms, weights)])[0] if part is None else part
-        rare = self.column[terms] < 0
-        at, counts = spans(self.term_starts, terms[rare])
-        score += np.bincount(self.rows[at], np.repeat(weights[rare], counts) * self.own[at], size).astype(np.float32)
-        if but >= 0:
-            score[but] = -1
-        # single precision is off by less than SLACK; whatever can be among the k best is worked out again in full
-        floor = max(0.0, np.partition(score, -k)[-k] - 2 * SLACK) if size > k else 0.0
+            some = alike[first : first + TOGETHER]
+            rare = np.stack([self.rare_part(*vectors[i]) for i in some]).astype(np.float32)
+            if but >= 0:
+                rare[np.arange(len(some)), but + some] = -2
+            bound = bounds[some] + np.maximum.reduceat(rare, self.block_starts, axis=1)
+            score = np.full(rare.shape, -1, np.float32)
+
+            def visit(blocks: np.ndarray, some=some, rare=rare, score=score) -> None:
+                rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                rows = rows[rows < size]
+                score[:, rows] = rare[:, rows] + frequent[some] @ self.matrix[rows].T
+                self.scored += len(rows) * len(some)
+
+            best = np.unique(np.argpartition(-bound, min(FIRST, bound.shape[1]) - 1, axis=1)[:, :FIRST])
+            visit(best)
+            floor = np.maximum(np.partition(score, -k, axis=1)[:, -k] - 2 * SLACK, 0) if size > k else np.zeros(len(some))
+            visit(np.setdiff1d(np.flatnonzero((bound >= floor[:, None]).any(0)), best))
+            self.asked += size * len(some)
+            for i, row in zip(some, score, strict=True):
+                out[i] = self.best(*vectors[i], row, k)
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_all([(terms, weights)], k)[0]
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of examples whose scores are off by less than SLACK, worked out in full where they can be among them."""
+        floor = max(0.0, float(np.partition(score, -k)[-k]) - 2 * SLACK) if len(score) > k else 0.0
         found = np.flatnonzero(score >= floor) if floor else np.flatnonzero(score > 0)
         at, counts = spans(self.row_starts, found)
         self.dense[terms] = weights
@@ -196,11 +223,40 @@ def relevance(vocabulary: list[str], examples: pd.DataFrame) -> np.ndarray:
     return 1 + np.sqrt(np.divide(n * odds * odds, spread, out=np.zeros(len(vocabulary)), where=spread > 0))
 
 
+def by_likeness(examples: pd.DataFrame, idf: np.ndarray) -> np.ndarray:
+    """An order of the examples in which alike ones lie together: halves along the widest of their frequent terms' main directions."""
+    size = examples.terms.map(len).to_numpy(np.int64)
+    flat, tf = (np.concatenate([np.empty(0, np.int64), *examples[c].map(np.asarray)]).astype(np.int64) for c in ("terms", "tf"))
+    row = np.repeat(np.arange(len(examples)), size)
+    w = (1 + np.log(tf)) * idf[flat]
+    w /= np.sqrt(np.bincount(row, w * w, len(examples)))[row]
+    often = np.argsort(-np.bincount(flat, minlength=len(idf)), kind="stable")[:FREQUENT]
+    column = np.full(len(idf), -1)
+    column[often] = np.arange(len(often))
+    at = column[flat]
+    held = np.zeros((len(examples), len(often)))
+    held[row[at >= 0], at[at >= 0]] = w[at >= 0]
+    held -= held.mean(0)
+    places = held @ np.linalg.eigh(held.T @ held)[1][:, -8:]
+    out, left = [], [np.arange(len(examples))]
+    while left:
+        some = left.pop()
+        if len(some) <= BLOCK:
+            out.append(some)
+            continue
+        some = some[np.argsort(places[some, places[some].std(0).argmax()], kind="stable")]
+        half = -(-(len(some) // 2) // BLOCK) * BLOCK
+        left += [some[half:], some[:half]]
+    return np.concatenate(out)
+
+
 def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
     """examples: doc_id, y, terms, tf; the prior is the share of toxic examples."""
     idf = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(vocabulary, examples)
     prior = float((examples.y.sum() + 0.5) / (len(examples) + 1))
     some = examples[examples.terms.map(len) > 0].sort_values("doc_id")
+    if len(some):
+        some = some.iloc[by_likeness(some, idf)]
     flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32) for c in ("terms", "tf")]
     row_starts = np.concatenate([[0], np.cumsum(some.terms.map(len).to_numpy(np.int64))])
     index = Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
@@ -274,7 +330,7 @@ def scorer(held: Broadcast[Index], names: list[str]):
             vectors = [(numbers[a:b], index.vector(numbers[a:b], tf[a:b])) for a, b in new.values()]
             for key, (found, near) in zip(new, index.nearest_all(vectors, NEIGHBOURS), strict=True):
                 p = index.calibrated(index.vote(found, near)) if len(found) else index.prior
-                known[key] = p, [{"example": int(index.ids[j]), "similarity": float(s), "label": int(index.labels[j])} for j, s in zip(found[:3], near[:3], strict=True)]
+                known[key] = p, [{"example": int(index.ids[j]), "similarity": float(s), "label": int(index.labels[j])} for j, s in zip(found, near, strict=True)]
             score, evidence = np.array([known[key][0] for key in keys], float), [known[key][1] for key in keys]
             arrays = [batch.column(c) for c in names] + [pa.array(score), pa.array(evidence, pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "score", "evidence"])
@@ -283,8 +339,8 @@ def scorer(held: Broadcast[Index], names: list[str]):
 
 
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of docs with score (probability of being toxic), evidence (its nearest three examples with
-    similarity and label) and predicted.
+    """All rows and columns of docs with score (probability of being toxic), evidence (the examples that vote, with similarity
+    and label) and predicted.
 
     Null texts count as empty; texts without any of the index's terms, empty ones too, get the share of toxic examples
     and no evidence. Equal texts get equal scores; columns of docs named like the results are
