@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from mailstruct.llm.common import Workspace, table, text_of
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
-#: The dynamic programme gets a budget of so many times the longest length.
-REACH = 4
+#: The dynamic programme gets a budget of so many times the longest length, and more where that misses; up to so many words.
+REACH, LONGEST = 4, 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,57 +51,66 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
-    """How many documents of each length, so that their words come as near budget as the counts allow.
+    """How many documents of each length, so that their words come as near budget as the counts allow; ties go below.
 
-    Even shares first; then lengths in a seeded order give one more each until the rest is within reach of the dynamic
-    programme, which decides exactly which spare counts fill it. Ties between a sum below and above go below.
+    Even shares first, but for a reach of a few of the longest documents, which the dynamic programme decides exactly. If it
+    misses the budget, the reach grows until it hits, or until it is all of the budget and the nearest sum is known. Past
+    LONGEST words the reach grows no more: the nearest sum within it is taken.
     """
+    counts = counts.astype(np.int64)
+    unit = int(np.gcd.reduce(lengths))
+    lengths = lengths // unit
     total = int((lengths * counts).sum())
-    if budget >= total:
+    if budget >= total * unit:
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    taken = np.floor(counts * (budget / total)).astype(np.int64)
-    left = budget - int((taken * lengths).sum())
-    order = np.random.default_rng(seed).permutation(len(lengths))
-    reach = REACH * int(lengths.max())
-    for i in order:
-        if left <= reach:
-            break
-        if taken[i] < counts[i] and lengths[i] <= left:
-            taken[i] += 1
-            left -= int(lengths[i])
-    # bounded knapsack: bit s of reached says that s words can be made; first[s] is the item that made s first
-    top = left + int(lengths.max())
-    mask, reached = (1 << (top + 1)) - 1, 1
-    first: dict[int, tuple[int, int]] = {}
+    budget, over = divmod(budget, unit)
+    order, reach = np.random.default_rng(seed).permutation(len(lengths)), REACH * int(np.median(lengths))
+    while True:
+        taken = np.floor(counts * (max(0, budget - reach) / total)).astype(np.int64)
+        left = budget - int((taken * lengths).sum())
+        for i in order:
+            more = min(int(counts[i] - taken[i]), (left - reach) // int(lengths[i])) if left > reach else 0
+            taken[i] += max(0, more)
+            left -= max(0, more) * int(lengths[i])
+        added, missed = knapsack(lengths, counts - taken, left, over / unit, order)
+        if not missed or reach >= budget or reach >= LONGEST:
+            return taken + added
+        reach *= 16
+
+
+def knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, over: float, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """(count of each length, distance): the sum of at most spare documents of each length that is nearest budget + over.
+
+    first[s] is the bundle of documents that made the sum s first, so sums are unwound from it. One array of twice the
+    budget's length, since a sum beyond that is farther than none; over is less than 1, so a sum that is the budget is nearest
+    but for the next, which is so only if over is above a half.
+    """
+    top = min(2 * budget + 1, int((lengths * spare).sum()))
+    goal = budget + (over > 0.5)
+    first = np.full(top + 1, -1, np.int32)
+    first[0] = 0
+    bundles = [(0, 0)]
     for i in order:
-        spare, part = int(counts[i] - taken[i]), 1
-        while spare > 0 and not reached >> left & 1:
-            some = min(part, spare)
+        left, some = int(spare[i]), 1
+        while left > 0 and not (goal <= top and first[goal] >= 0):
+            some = min(some, left)
             weight = some * int(lengths[i])
             if weight > top:
                 break
-            new = (reached << weight) & mask & ~reached
-            reached |= new
-            while new:
-                low = new & -new
-                first[low.bit_length() - 1] = (int(i), some)
-                new ^= low
-            spare, part = spare - some, part * 2
-        if reached >> left & 1:
-            break
-    below = (reached & ((1 << (left + 1)) - 1)).bit_length() - 1
-    above = reached >> (left + 1)
-    best = below
-    if above:
-        up = left + (above & -above).bit_length()
-        best = up if up - left < left - below else below
-    while best:
-        i, some = first[best]
-        taken[i] += some
-        best -= some * int(lengths[i])
-    return taken
+            new = np.flatnonzero((first[:-weight] >= 0) & (first[weight:] < 0)) + weight
+            first[new] = len(bundles)
+            bundles.append((int(i), some))
+            left, some = left - some, some * 2
+    sums = np.flatnonzero(first >= 0)
+    best = at = int(sums[np.lexsort((sums, np.abs(sums - budget - over)))[0]])
+    added = np.zeros(len(lengths), np.int64)
+    while at:
+        i, some = bundles[first[at]]
+        added[i] += some
+        at -= some * int(lengths[i])
+    return added, abs(best - goal)
 
 
 def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
@@ -120,9 +129,10 @@ def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, work: Workspace, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target and epochs (how often the mix repeats the document) for every row of docs.
 
-    Sources by code point, null last, take the weights in turn. The number of sources is a configuration's, so their totals
-    (a row each) are planned on the driver; nothing else is. Null and empty texts have size 0 and are not taken. Repeated
-    rows are separate documents. An empty table gives an empty result; other columns are not read.
+    Sources by code point, null last, take the weights in turn. Their totals (about 100 bytes a source) are planned on the
+    driver, which is meant for up to a million sources; nothing else is. Null and empty texts have size 0 and are not taken.
+    Very long texts take part in the knapsack whole, in arrays of some times their words. Repeated rows are separate
+    documents. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("source_key")
@@ -135,7 +145,8 @@ def mix(docs: DataFrame, work: Workspace, weights: Sequence[float] = WEIGHTS, sh
     plan = counts.join(sources, "source_key").groupBy("source_key").applyInPandas(plan_source, "source_key string, size long, n long, base int, more long")
     plan = work.write(plan.join(sources.select("source_key", "source_size", "target"), "source_key"), "plan")
 
-    rows = sized.join(plan, ["source_key", "size"])
+    # merged at every size: the plan grows with the number of different lengths, and Spark splits a hot (source, length)
+    rows = work.write(sized.join(plan.hint("merge"), ["source_key", "size"]), "rows")
     bucket = F.pmod(F.col("h"), F.ceil(F.sqrt("n"))).alias("bucket")
     split = rows.where((F.col("more") > 0) & (F.col("more") < F.col("n"))).select("*", bucket)
     group = ["source_key", "size", "bucket"]
@@ -144,7 +155,7 @@ def mix(docs: DataFrame, work: Workspace, weights: Sequence[float] = WEIGHTS, sh
     before = before.select(*group, F.coalesce(F.sum("here").over(so_far), F.lit(0)).alias("before"))
     # a partitioning by (source, size) would satisfy the window too, and put a hot length in one task
     ranked = split.repartition(*group).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id")))
-    ranked = ranked.join(before, group).withColumn("extra", (F.col("before") + F.col("rank") <= F.col("more")).cast("int"))
+    ranked = ranked.join(before.hint("merge"), group).withColumn("extra", (F.col("before") + F.col("rank") <= F.col("more")).cast("int"))
     even = rows.where((F.col("more") <= 0) | (F.col("more") >= F.col("n"))).withColumn("extra", (F.col("more") > 0).cast("int"))
     out = ["doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("epochs")]
     return ranked.select(*out).unionAll(even.select(*out))
