@@ -41,12 +41,21 @@ def tokenizer_version(name: str) -> str:
 
 
 def drops_space(name: str) -> bool:
-    """Whether runs of white space never change the ids."""
+    """Whether runs of white space never change the ids, and words have ids of their own: for the one kind of file for which
+    this code knows both, by its normaliser, splitter, model and added strings. All other files go to the library whole."""
     if not name.endswith(".json"):
         return False
     spec = json.loads(Path(tokenizer_path(name)).read_text())
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return any(s.get("invert") and s.get("behavior") == "Removed" and s["pattern"].get("Regex") == WORD_PATTERN for s in steps)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec.get("model") or {}
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": WORD_PATTERN}
+        and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and not model.get("dropout")
+        and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+    )
 
 
 class Encoder:

@@ -16,21 +16,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailstruct.llm.common import Workspace, table, text_of
+from mailstruct.llm.common import Workspace, maybe_among, table, text_of
 
 #: Plain bytes after which a frame ends, compressed bytes after which a bundle ends, and the compression level.
 FRAME, BUNDLE, LEVEL = 256 << 10, 8 << 20, 3
-#: Bits of the map of payloads that occur again: 8 MB at most.
-BITS = 1 << 26
 #: Fixed values of the seekable format: skippable frame, footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -157,24 +155,6 @@ def frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(full, ARROW_FRAMES)
 
 
-def maybe_among(digest: Column, digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Adds the column maybe to rows: whether their digest can be among digests. Never wrong if it says no.
-
-    A bitmap of BITS bits, in rows of 4 KB: of digests as many as bits it says maybe to all, and is still right.
-    """
-    place = lambda d: F.pmod(F.xxhash64(d), F.lit(BITS))
-    bits = digests.select(place(F.col("digest")).alias("place"))
-    bitmap = bits.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-
-    def mark(rows: DataFrame) -> DataFrame:
-        at = F.bitmap_bit_position(place(digest))
-        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-        return rows.withColumn("bucket", F.bitmap_bucket_number(place(digest))).join(F.broadcast(bitmap), "bucket", "left").withColumn("maybe", hit).drop("bucket", "bits")
-
-    return mark
-
-
 def write_bundles(pages: DataFrame, work: Workspace, least: int = 0) -> DataFrame:
     """The frames of bundles that hold all pages (page_id, url, html), written and read again.
 
