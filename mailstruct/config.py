@@ -87,7 +87,7 @@ class Modes:
 @dataclass(frozen=True)
 class EngineOptions:
     """All options, and the callables that an installation may supply: ocr(bytes) -> text, resolver(url) -> url,
-    and extractors by content type (bytes -> text). Each runs in Arrow batches on the executors.
+    and extractors by content type (bytes -> text, and bytes -> named images). Each runs in Arrow batches on the executors.
     """
 
     ocr: Ocr = field(default_factory=Ocr)
@@ -99,6 +99,7 @@ class EngineOptions:
     ocr_reader: Callable[[bytes], str] | None = None
     url_resolver: Callable[[str], str] | None = None
     text_extractors: Mapping[str, Callable[[bytes], str]] = field(default_factory=dict)
+    image_extractors: Mapping[str, Callable[[bytes], list[tuple[str, bytes]]]] = field(default_factory=dict)
 
     def problems(self) -> list[str]:
         """What is out of range, in words."""

@@ -12,19 +12,23 @@ def ordered(value: Column, *order: str) -> Column:
     return F.transform(rows, lambda r: r["_value"])
 
 
-def structural_summary(layers: DataFrame) -> DataFrame:
-    """layers: email_id, layer_seq, layer_depth, attachments, images, urls (counts)."""
-    return layers.groupBy("email_id").agg(
+def structure_of() -> list[Column]:
+    """Aggregates of layers: layer_seq, layer_depth, attachments, images, urls (counts)."""
+    return [
         F.count("*").alias("total_layers"),
         F.sum("attachments").alias("total_attachments"),
         F.sum("images").alias("total_images"),
         F.sum("urls").alias("total_urls"),
         F.bool_or(F.col("layer_depth") > 0).alias("has_nested_emails"),
-    )
+    ]
 
 
-def layer_types(layers: DataFrame) -> DataFrame:
-    """layers: email_id, layer_seq, layer_depth, is_carrier, vendor, nested_refs, has_parent, content_summary."""
+def structural_summary(layers: DataFrame) -> DataFrame:
+    return layers.groupBy("email_id").agg(*structure_of())
+
+
+def types_of() -> list[Column]:
+    """Aggregates of layers: layer_seq, layer_depth, is_carrier, vendor, nested_refs, has_parent, content_summary."""
     value = F.struct(
         F.col("layer_depth").alias("layer"),
         F.when(F.col("is_carrier"), "carrier").otherwise("content").alias("type"),
@@ -33,17 +37,25 @@ def layer_types(layers: DataFrame) -> DataFrame:
         F.col("has_parent").alias("has_parent_ref"),
         "content_summary",
     )
-    return layers.groupBy("email_id").agg(ordered(value, "layer_seq").alias("layer_types"))
+    return [ordered(value, "layer_seq").alias("layer_types")]
 
 
-def carrier_analysis(layers: DataFrame) -> DataFrame:
-    """layers: email_id, layer_seq, layer_depth, is_carrier, vendor, carrier_summary, type, confidence, detection_method."""
+def layer_types(layers: DataFrame) -> DataFrame:
+    return layers.groupBy("email_id").agg(*types_of())
+
+
+def carriers_of() -> list[Column]:
+    """Aggregates of layers: layer_seq, layer_depth, is_carrier, vendor, carrier_summary, type, confidence, detection_method."""
     value = F.struct(F.col("layer_depth").alias("layer"), "vendor", F.col("carrier_summary").alias("detection_summary"), "type", "confidence", "detection_method")
-    return layers.groupBy("email_id").agg(
+    return [
         F.count_if(F.col("is_carrier")).alias("total_carriers"),
         ordered(F.when(F.col("is_carrier"), value), "layer_seq").alias("carrier_details"),
         ordered(F.when(~F.col("is_carrier"), F.col("layer_depth")), "layer_seq").alias("non_carrier_layers"),
-    )
+    ]
+
+
+def carrier_analysis(layers: DataFrame) -> DataFrame:
+    return layers.groupBy("email_id").agg(*carriers_of())
 
 
 def chain_label(depth: Column, is_carrier: Column, via: Column) -> Column:
@@ -57,10 +69,13 @@ def chain_label(depth: Column, is_carrier: Column, via: Column) -> Column:
     )
 
 
+def chain_of(via: str = "via_attachment") -> list[Column]:
+    """Aggregates of layers: layer_seq, layer_depth, is_carrier, via. Depth orders, list order breaks ties."""
+    return [ordered(chain_label(F.col("layer_depth"), F.col("is_carrier"), F.col(via)), "layer_depth", "layer_seq").alias("nesting_chain")]
+
+
 def nesting_chain(layers: DataFrame) -> DataFrame:
-    """layers: email_id, layer_seq, layer_depth, is_carrier, via_attachment. Depth orders, list order breaks ties."""
-    label = chain_label(F.col("layer_depth"), F.col("is_carrier"), F.col("via_attachment"))
-    return layers.groupBy("email_id").agg(ordered(label, "layer_depth", "layer_seq").alias("nesting_chain"))
+    return layers.groupBy("email_id").agg(*chain_of())
 
 
 def batch_summary(items: DataFrame, key: list[str] | None = None) -> DataFrame:

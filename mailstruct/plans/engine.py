@@ -1,17 +1,20 @@
-"""The plan from raw mail to result tables. One parse in Python, one markup pass, everything else relational by e-mail."""
+"""The plan from raw mail to result tables. One parse in Python, one markup pass, everything else relational by e-mail.
+
+Columns of layers need one shuffle by layer; a whole parse writes each table once, and what follows reads these.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.config import EngineOptions
 from mailstruct.functions import carrier, errors, html, text, urls
-from mailstruct.operators import dedup, relate, summary
+from mailstruct.operators import relate, summary
+from mailstruct.plans.scratch import Scratch
 from mailstruct.sources.mime import email_parts
 
 KEY = ["email_id", "layer_seq"]
@@ -41,21 +44,25 @@ def blob(headers: Column) -> Column:
     return F.array_join(F.transform(headers, lambda h: F.concat(h["k"], F.lit(":"), h["v"])), "\n")
 
 
+def read_off(reader, image: bytes | None, largest: int) -> str | None:
+    """The text that the supplied reader finds on an image of at most so many bytes; a reader's failure leaves it without text."""
+    if reader is None or not image or len(image) > largest:
+        return None
+    try:
+        return (reader(bytes(image)) or "").strip() or None
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def with_ocr(images: DataFrame, options: EngineOptions) -> DataFrame:
     """ocr_text by the supplied reader, capped; null without one."""
-    reader = options.ocr_reader if options.ocr.enabled else None
+    reader, largest = options.ocr_reader if options.ocr.enabled else None, options.ocr.max_image_size_mb << 20
     if reader is None:
         return images.withColumn("ocr_text", F.lit(None).cast("string"))
 
     @F.pandas_udf("string")
     def read(payloads: pd.Series) -> pd.Series:
-        def one(data):
-            try:
-                return (reader(bytes(data)) or "").strip() or None if data is not None and len(data) else None
-            except Exception:  # noqa: BLE001  a reader's failure leaves an image without text
-                return None
-
-        return payloads.map(one)
+        return payloads.map(lambda data: read_off(reader, data, largest))
 
     return images.withColumn("ocr_text", text.cap(read("payload"), options.processing.max_ocr_text_length))
 
@@ -79,6 +86,30 @@ def with_text(attachments: DataFrame, options: EngineOptions) -> DataFrame:
     return attachments.withColumn("text_content", extract("content_type", "payload"))
 
 
+def with_embedded(attachments: DataFrame, options: EngineOptions) -> DataFrame:
+    """embedded_images of attachments whose type has an extractor of images: name, size, text read off each, and its links."""
+    kind = "array<struct<filename: string, size: long, ocr_text: string>>"
+    extractors, reader = dict(options.image_extractors), options.ocr_reader if options.ocr.enabled else None
+    if not extractors:
+        found = F.array().cast(kind)
+    else:
+        largest = options.ocr.max_image_size_mb << 20
+
+        @F.pandas_udf(kind)
+        def extract(kinds: pd.Series, payloads: pd.Series) -> pd.Series:
+            def one(kind, data):
+                try:
+                    return [{"filename": name, "size": len(image), "ocr_text": read_off(reader, image, largest)} for name, image in extractors[kind](bytes(data))] if kind in extractors else []
+                except Exception:  # noqa: BLE001  a file that can't be read holds no images
+                    return []
+
+            return pd.Series([one(k, d) for k, d in zip(kinds, payloads, strict=True)], dtype=object)
+
+        found = extract("content_type", "payload")
+    capped = lambda x: text.cap(x["ocr_text"], options.processing.max_ocr_text_length)
+    return attachments.withColumn("embedded_images", F.transform(found, lambda x: F.struct(x["filename"].alias("filename"), x["size"].alias("size"), capped(x).alias("ocr_text"), urls.extract(capped(x)).alias("urls_from_ocr"))))
+
+
 def detector_bodies(parts: DataFrame) -> DataFrame:
     """email_id, layer_seq, body: the text that scored detection reads. Plain parts in order, a line end after each; without
     any, the last markup part with its tags as blanks; a layer of one part is read as it is. Cut at 3,000 characters.
@@ -135,7 +166,7 @@ def invariants(parsed: Parsed) -> DataFrame:
 
 @dataclass
 class Parsed:
-    """The tables of a parsed corpus; see SURVEY for their columns."""
+    """The tables of a parsed corpus, written but for the last three; payloads are in parts alone."""
 
     parts: DataFrame
     errors: DataFrame
@@ -145,9 +176,11 @@ class Parsed:
     urls: DataFrame
     references: DataFrame
     parents: DataFrame
+    scratch: Scratch
 
     def release(self) -> None:
-        self.parts.unpersist()
+        """Removes what the parse wrote; the tables can't be read after that."""
+        self.scratch.clear()
 
 
 class Engine:
@@ -156,29 +189,35 @@ class Engine:
     def __init__(self, spark: SparkSession, options: EngineOptions | None = None):
         self.spark, self.options = spark, (options or EngineOptions()).validate()
 
-    def parts(self, mails: DataFrame) -> DataFrame:
+    def parts(self, mails: DataFrame, with_payload: bool = True) -> DataFrame:
         s = self.options.security
-        return email_parts(mails, s.max_nested_depth, self.options.modes.recursive_eml, True, s.max_file_size_mb)
+        return email_parts(mails, s.max_nested_depth, self.options.modes.recursive_eml, with_payload, s.max_file_size_mb)
+
+    def headers(self, roots: DataFrame) -> DataFrame:
+        """Layers' own columns and those of their headers, from each layer's first part; a row each, without a shuffle."""
+        h = F.col("headers")
+        named = [header(h, n).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS]
+        keep = [c for c in roots.columns if c in ("plain", "html")]
+        return roots.select(*KEY, "layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"), carrier.details(header(h, "subject"), blob(h), self.options.modes.vendor_headers).alias("carrier"), *keep)
 
-    def bodies(self, parts: DataFrame) -> DataFrame:
-        """The last plain and the last markup part of each layer; a markup part also gives its text and links."""
+    def layers(self, parts: DataFrame) -> DataFrame:
+        """All columns of layers. A layer's body is its last plain and its last markup part; markup also gives text and links."""
         scope = F.lit(True) if self.options.modes.body_scope == "walk" else F.col("own")
         # a layer of one part has its body there, whatever its name
         counts = scope & F.col("text").isNotNull() & (F.col("text") != "") & (~F.col("multipart") | F.col("filename").isNull())
-        some = parts.where(counts).select(*KEY, "part_seq", "text", ((F.col("content_type") == "text/html") | F.col("has_markup")).alias("markup"))
-        value = F.struct("part_seq", "text")
-        best = some.groupBy(*KEY).agg(F.max(F.when(~F.col("markup"), value)).alias("plain"), F.max(F.when(F.col("markup"), value)).alias("html"))
-        best = best.select(*KEY, F.coalesce("plain.text", F.lit("")).alias("raw_plain"), F.coalesce("html.text", F.lit("")).alias("html_text"))
-        read = html.parsed(F.col("html_text"), self.options.processing.aggressive_html_cleaning)
-        out = best.select(*KEY, text.blank_base64(F.col("raw_plain")).alias("plain_text"), "html_text", read.alias("m"))
-        return out.select(*KEY, "plain_text", "html_text", F.col("m.text").alias("converted_text"), F.col("m.links").alias("html_links"), text.final_text(F.col("m.text"), F.col("plain_text")).alias("final_text"))
-
-    def layers(self, parts: DataFrame) -> DataFrame:
-        roots = parts.where("part_seq = 0")
-        h = F.col("headers")
-        named = [header(h, n).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS]
-        own = roots.select(*KEY, "layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"), carrier.details(header(h, "subject"), blob(h), self.options.modes.vendor_headers).alias("carrier"))
-        out = own.join(self.bodies(parts), KEY, "left").fillna("", ["plain_text", "html_text", "converted_text", "final_text"])
+        markup, value = (F.col("content_type") == "text/html") | F.col("has_markup"), F.struct("part_seq", "text")
+        root = ["layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", "headers"]
+        needed = parts.where((F.col("part_seq") == 0) | counts)
+        best = needed.groupBy(*KEY).agg(
+            F.max(F.when(F.col("part_seq") == 0, F.struct(*root))).alias("root"),
+            F.max(F.when(counts & ~markup, value)).alias("plain"),
+            F.max(F.when(counts & markup, value)).alias("html"),
+        )
+        out = self.headers(best.select(*KEY, "root.*", F.coalesce("plain.text", F.lit("")).alias("plain"), F.coalesce("html.text", F.lit("")).alias("html")))
+        read = html.parsed(F.col("html"), self.options.processing.aggressive_html_cleaning)
+        out = out.select("*", text.blank_base64(F.col("plain")).alias("plain_text"), F.col("html").alias("html_text"), read.alias("m")).drop("plain", "html")
+        final = text.final_text(F.col("m.text"), F.col("plain_text"))
+        out = out.select("*", F.col("m.text").alias("converted_text"), F.col("m.links").alias("html_links"), final.alias("final_text")).drop("m")
         out = out.withColumn("is_carrier", F.col("carrier.is_carrier")).withColumn("vendor", F.col("carrier.vendor")).withColumn("carrier_summary", carrier.layer_summary(F.col("is_carrier")))
         split = text.split_wrapper(F.col("final_text"), F.col("is_carrier"))
         out = out.withColumn("_w", split).select("*", "_w.wrapper_content", "_w.quoted_content_preview", "_w.content_summary").drop("_w")
@@ -191,7 +230,7 @@ class Engine:
         rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha256"), extension.alias("extension"))
         rows = rows.withColumn("is_suspicious_extension", F.col("extension").isin(".exe", ".scr", ".bat", ".cmd"))
         rows = rows.withColumn("is_nested_email", F.lower("filename").endswith(".eml") | (F.col("content_type") == "message/rfc822"))
-        found = with_text(rows, self.options)
+        found = with_embedded(with_text(rows, self.options), self.options)
         return found.withColumn("urls", F.when(F.col("text_content").isNotNull(), urls.extract(F.col("text_content"))).otherwise(F.array().cast("array<string>")))
 
     def images(self, parts: DataFrame) -> DataFrame:
@@ -204,11 +243,12 @@ class Engine:
 
     def layer_urls(self, layers: DataFrame, attachments: DataFrame, images: DataFrame) -> DataFrame:
         """Each layer's links once, in order: text, markup, attachments, images."""
-        some = lambda rows, column: rows.groupBy(*KEY).agg(F.flatten(summary.ordered(F.col(column), "idx")).alias(column))
-        out = layers.select(*KEY, "layer_depth", "final_text", "html_links")
-        out = out.join(some(attachments.where(F.size("urls") > 0), "urls"), KEY, "left").join(some(images.where(F.size("urls_from_ocr") > 0), "urls_from_ocr"), KEY, "left")
+        files = attachments.where(F.size("urls") > 0).select(*KEY, F.lit(0).alias("kind"), "idx", "urls")
+        files = files.unionAll(images.where(F.size("urls_from_ocr") > 0).select(*KEY, F.lit(1).alias("kind"), "idx", F.col("urls_from_ocr").alias("urls")))
+        files = files.groupBy(*KEY).agg(F.flatten(summary.ordered(F.col("urls"), "kind", "idx")).alias("urls"))
+        out = layers.select(*KEY, "layer_depth", "final_text", "html_links").join(files, KEY, "left")
         none = F.array().cast("array<string>")
-        found = F.concat(urls.extract(F.col("final_text")), *(F.coalesce(c, none) for c in ("html_links", "urls", "urls_from_ocr")))
+        found = F.concat(urls.extract(F.col("final_text")), *(F.coalesce(c, none) for c in ("html_links", "urls")))
         rows = out.select(*KEY, "layer_depth", "final_text", F.posexplode(urls.process(found)).alias("pos", "u")).select(*KEY, "layer_depth", "pos", "u.*", "final_text")
         return rows.withColumn("source", F.lit("body_text")).withColumn("context_snippet", urls.context(F.col("final_text"), F.col("original_url"))).drop("final_text")
 
@@ -218,18 +258,20 @@ class Engine:
         return layers.observe(counters, F.count("*").alias("layers"), F.count_if("is_carrier").alias("carriers"), F.max("layer_depth").alias("deepest")), counters
 
     def parse(self, mails: DataFrame) -> Parsed:
-        """All tables. The parse is kept until release(), since every table reads it; it spills to disk."""
-        all_parts = self.parts(mails).persist(StorageLevel.MEMORY_AND_DISK)
+        """All tables. Each is written once, since several results read it; release() removes them."""
+        work = Scratch(self.spark)
+        all_parts = work.write(self.parts(mails), "parts")
         bad = all_parts.where("error is not null").select("email_id", F.element_at(F.split("error", ": "), 1).alias("type"), "error")
         parts, limit = all_parts.where("error is null"), self.options.security.max_attachments
-        attachments = self.attachments(parts)
+        attachments = work.write(self.attachments(parts).drop("payload"), "attachments")
         crowded = attachments.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > limit).groupBy("email_id").agg(F.max("n").alias("n"))
+        crowded = work.write(crowded, "crowded")
+        if crowded.limit(1).count():
+            parts, attachments = (t.join(crowded.select("email_id"), "email_id", "left_anti") for t in (parts, attachments))
         crowded = crowded.select("email_id", F.lit("SecurityViolationError").alias("type"), F.concat(F.lit("SecurityViolationError: Attachment count "), F.col("n").cast("string"), F.lit(f" exceeds limit {limit}")).alias("error"))
-        bad = bad.unionByName(crowded)
-        bad = bad.select("email_id", errors.error(F.col("type"), F.substring_index("error", ": ", -1)).alias("error"))
-        fine = lambda rows: rows.join(crowded.select("email_id"), "email_id", "left_anti")
-        layers, attachments, images = fine(self.layers(parts)), fine(attachments), fine(self.images(parts))
-        found = resolved(self.layer_urls(layers, attachments, images), self.options)
+        bad = bad.unionByName(crowded).select("email_id", errors.error(F.col("type"), F.substring_index("error", ": ", -1)).alias("error"))
+        layers, images = work.write(self.layers(parts), "layers"), work.write(self.images(parts).drop("payload"), "images")
+        found = work.write(resolved(self.layer_urls(layers, attachments, images), self.options), "urls")
         references = relate.nested_references(layers, attachments)
         exact = relate.exact_references(layers)
         if self.options.modes.relations == "exact":
@@ -237,7 +279,7 @@ class Engine:
         else:  # the first-deeper rule overwrites what lineage set
             by_rule = relate.parent_references(references)
             parents = by_rule.unionByName(exact.join(by_rule, KEY, "left_anti"))
-        return Parsed(all_parts, bad, layers, attachments, images, found, references, parents)
+        return Parsed(all_parts, bad, layers, attachments, images, found, references, work.write(parents, "parents"), work)
 
 
 def build_engine(spark: SparkSession, options: EngineOptions | None = None) -> Engine:

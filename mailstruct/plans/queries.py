@@ -669,34 +669,34 @@ ONE = cte("mail_layers") + ", o AS (SELECT email_id * 1000 + layer_seq AS email_
 @query("eml_headers", ONE + "SELECT email_id, subject, from_addr, date, message_id, '' AS cc FROM o")
 def eml_headers(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
-    parts = engine.parts(single(spark, d)).where("error is null")
-    return engine.layers(parts).select("email_id", "subject", "from_addr", "date", "message_id", "cc")
+    parts = engine.parts(single(spark, d), with_payload=False).where("error is null and part_seq = 0")
+    return engine.headers(parts).select("email_id", "subject", "from_addr", "date", "message_id", "cc")
 
 
 @query("eml_received", ONE + "SELECT email_id, 'from a|from b' AS received FROM o")
 def eml_received(spark: SparkSession, d: str) -> DataFrame:
     from mailstruct.plans.engine import all_values
 
-    return email_parts(single(spark, d)).where("part_seq = 0").select("email_id", F.array_join(all_values(F.col("headers"), "received"), "|").alias("received"))
+    return email_parts(single(spark, d), with_payload=False).where("part_seq = 0").select("email_id", F.array_join(all_values(F.col("headers"), "received"), "|").alias("received"))
 
 
 @query("eml_xheaders", ONE + "SELECT email_id, '3' AS a, 'two' AS b, CAST(3 AS INT) AS n FROM o")
 def eml_xheaders(spark: SparkSession, d: str) -> DataFrame:
     from mailstruct.plans.engine import extension_headers
 
-    x = email_parts(single(spark, d)).where("part_seq = 0").select("email_id", extension_headers(F.col("headers")).alias("x"))
+    x = email_parts(single(spark, d), with_payload=False).where("part_seq = 0").select("email_id", extension_headers(F.col("headers")).alias("x"))
     return x.select("email_id", F.col("x")["X-A"].alias("a"), F.col("x")["x-b"].alias("b"), F.size("x").alias("n"))
 
 
 @query("eml_body", ONE + "SELECT email_id, plain_text AS final_text, plain_text <> '' AS has_plain, false AS has_html FROM o")
 def eml_body(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
-    return engine.layers(engine.parts(single(spark, d)).where("error is null")).select("email_id", "final_text", "has_plain", "has_html")
+    return engine.layers(engine.parts(single(spark, d), with_payload=False).where("error is null")).select("email_id", "final_text", "has_plain", "has_html")
 
 
 @query("eml_detector_body", ONE + "SELECT email_id, left(plain_text, 3000) AS body FROM o WHERE plain_text <> ''")
 def eml_detector_body(spark: SparkSession, d: str) -> DataFrame:
-    return detector_bodies(email_parts(single(spark, d))).select("email_id", "body")
+    return detector_bodies(email_parts(single(spark, d), with_payload=False)).select("email_id", "body")
 
 
 def nested(spark: SparkSession, d: str) -> DataFrame:
@@ -725,7 +725,7 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY email_id ORDER BY file, lay
 
 @query("eml_layers", INNER + "SELECT email_id, seq AS layer_seq, CAST(1 AS INT) AS layer_depth, CASE WHEN file = 1 THEN concat('l', layer_seq, '.eml') END AS via_attachment FROM k UNION ALL SELECT DISTINCT email_id, 0, 0, NULL FROM mail_layers")
 def eml_layers(spark: SparkSession, d: str) -> DataFrame:
-    return email_parts(nested(spark, d)).where("part_seq = 0").select(*LAYER, "layer_depth", "via_attachment")
+    return email_parts(nested(spark, d), with_payload=False).where("part_seq = 0").select(*LAYER, "layer_depth", "via_attachment")
 
 
 @query("eml_attachments", INNER + "SELECT email_id, CAST(row_number() OVER (PARTITION BY email_id ORDER BY place) AS INT) AS idx, concat('l', layer_seq, '.eml') AS filename FROM f WHERE place > 1 AND file = 1 UNION ALL SELECT email_id, CAST(count_if(place > 1 AND file = 1) + 1 AS INT), 'p.png' FROM f GROUP BY email_id")
