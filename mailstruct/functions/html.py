@@ -24,6 +24,8 @@ BLANKS = re.compile("[ \t\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SILENT = frozenset(("script", "style", "head", "title", "noscript", "template"))
+# Forms in which a link may be written, which become text and target, or the target alone.
+LINK_FORMS = (r"\[([^\]]+)\]\(<(https?://[^)>]+)>\)", r"\[([^\]]+)\]\((https?://[^)]+)\)", r"<(https?://[^>]+)>")
 RESULT = "text string, links array<string>, has_markup boolean"
 
 
@@ -92,19 +94,36 @@ class Reader(HTMLParser):
             self.out.append(data)
 
 
-def without_invisible(text: str, aggressive: bool) -> str:
-    if not aggressive:
-        return "".join(c for c in text if c not in CONSERVATIVE_INVISIBLE and (ord(c) >= 32 or c in "\t\n\r"))
+class Visible(dict):
+    """A table for str.translate that learns which characters stay, as it meets them."""
+
+    def __init__(self, stays) -> None:
+        super().__init__()
+        self.stays = stays
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = code if self.stays(chr(code)) else None
+        return self[code]
+
+
+def seen_by_most(c: str) -> bool:
+    return c not in CONSERVATIVE_INVISIBLE and (ord(c) >= 32 or c in "\t\n\r")
 
-    def stays(c: str) -> bool:
-        if c in "\t\n\r":
-            return True
-        if c in AGGRESSIVE_INVISIBLE or ord(c) < 32 or 0x7F <= ord(c) <= 0x9F:
-            return False
-        kind = unicodedata.category(c)
-        return kind not in ("Cf", "Cc", "Cs", "Co") and not (kind[0] == "M" and unicodedata.combining(c))
 
-    return text if text.isascii() and text.isprintable() else "".join(c for c in text if stays(c))
+def seen_by_all(c: str) -> bool:
+    if c in "\t\n\r":
+        return True
+    if c in AGGRESSIVE_INVISIBLE or ord(c) < 32 or 0x7F <= ord(c) <= 0x9F:
+        return False
+    kind = unicodedata.category(c)
+    return kind not in ("Cf", "Cc", "Cs", "Co") and not (kind[0] == "M" and unicodedata.combining(c))
+
+
+TABLES = {True: Visible(seen_by_all), False: Visible(seen_by_most)}
+
+
+def without_invisible(text: str, aggressive: bool) -> str:
+    return text if text.isascii() and text.isprintable() else text.translate(TABLES[aggressive])
 
 
 def tidy(text: str) -> str:
@@ -127,9 +146,9 @@ def read(text: str, aggressive: bool = True) -> tuple[str, list[str], bool]:
     for old, new in REPLACEMENTS.items():
         plain = plain.replace(old, new)
     plain = tidy(plain)
-    for pattern in (r"\[([^\]]+)\]\(<(https?://[^)>]+)>\)", r"\[([^\]]+)\]\((https?://[^)]+)\)"):
+    for pattern in LINK_FORMS[:2]:
         plain = re.sub(pattern, r"\1 \2", plain)
-    plain = without_invisible(re.sub(r"<(https?://[^>]+)>", r"\1", plain), aggressive).strip()
+    plain = without_invisible(re.sub(LINK_FORMS[2], r"\1", plain), aggressive).strip()
     links = [u for u in reader.hrefs + reader.srcs if u.startswith(("http://", "https://"))]
     return plain, links, reader.found and "<" in text and bool(re.search(r"<[^>]+>", text))
 

@@ -14,7 +14,7 @@ from mailstruct.plans import render
 from mailstruct.plans.engine import Engine, detector_bodies
 from mailstruct.plans.fixtures import cte, fixture
 from mailstruct.sources import requests
-from mailstruct.sources.mime import email_parts
+from mailstruct.sources.mime import email_parts, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,7 +191,7 @@ def markup_guard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("html_clean")
 def html_clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", html.parsed(F.col("html")).alias("m"))
+    rows = spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html"), "page_id").select("page_id", html.parsed(F.col("html")).alias("m"))
     return rows.select("page_id", "m.text", F.size("m.links").alias("links"), "m.has_markup")
 
 
@@ -224,7 +224,7 @@ LINKED = """replace(html, 'href="/', 'href="https://example.org/')"""
 
 @query("url_html", f"""SELECT page_id, array_to_string(regexp_extract_all({LINKED}, '<a href="(https://[^"]*)"', 1), ' ') AS links FROM pages WHERE html IS NOT NULL""")
 def url_html(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.read.parquet(f"{d}/pages.parquet").where("html is not null")
+    pages = spread(spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", "html"), "page_id")
     absolute = F.replace(F.col("html"), F.lit('href="/'), F.lit('href="https://example.org/'))
     return pages.select("page_id", F.array_join(html.parsed(absolute)["links"], " ").alias("links"))
 

@@ -328,15 +328,15 @@ def parser(max_depth: int, recursive: bool, with_payload: bool, max_bytes: int):
     return run
 
 
-def spread(mails: DataFrame) -> DataFrame:
-    """Mails dealt evenly over the cluster's tasks: reading is bound by processors, and files may be few and uneven."""
-    spark = mails.sparkSession
-    if mails.isStreaming:
-        return mails
-    return mails.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "email_id", F.xxhash64("content"))
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt evenly over the cluster's tasks: what reads them is bound by processors, and files may be few and uneven."""
+    spark = rows.sparkSession
+    if rows.isStreaming:
+        return rows
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def email_parts(mails: DataFrame, max_depth: int = 10, recursive_eml: bool = False, with_payload: bool = True, max_file_size_mb: int = 50) -> DataFrame:
     """Part rows of mails (email_id long, content binary); see PARTS. Mails that fail have one row with an error."""
-    mails = spread(mails.select(F.col("email_id").cast("long"), F.col("content")))
+    mails = spread(mails.select(F.col("email_id").cast("long"), F.col("content")), "email_id", "content")
     return mails.mapInArrow(parser(max_depth, recursive_eml, with_payload, max_file_size_mb << 20), PARTS)
