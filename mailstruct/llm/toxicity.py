@@ -34,7 +34,9 @@ from mailstruct.llm.rules import labelled
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
 #: Terms whose lists have block maxima, examples of a block, blocks that a search scores before it has a k-th best, documents
 #: that search together, and the bound of what single precision is off by.
-FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 4, 64, 1e-4
+FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 16, 128, 5e-5
+#: Words that a task remembers the terms of, and texts that it remembers the neighbours of.
+REMEMBER, TEXTS = 400_000, 50_000
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -44,6 +46,7 @@ class Terms:
     def __init__(self, vocabulary: list[str] | None):
         self.number = None if vocabulary is None else {t: i for i, t in enumerate(vocabulary)}
         self.names: list[str] = vocabulary or []
+        self.parts: dict[str, list[int]] = {}
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, occurrences), sorted by row and term."""
@@ -55,9 +58,12 @@ class Terms:
             parts = [[number.setdefault(t, len(number)) for t in TERM.findall(w)] for w in words]
             self.names = list(number)
         else:
-            get = self.number.get
-            # most words are one run with punctuation at its ends
-            parts = [[i] if (i := get(w)) is not None else [i for t in TERM.findall(w) if (i := get(t)) is not None] for w in words]
+            get, known = self.number.get, self.parts
+            if len(known) > REMEMBER:
+                known.clear()
+            # a word is one run, or runs with punctuation between
+            known.update((w, [i] if (i := get(w)) is not None else [i for t in TERM.findall(w) if (i := get(t)) is not None]) for w in words if w not in known)
+            parts = [known[w] for w in words]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.fromiter((i for p in parts for i in p), np.int64, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
@@ -131,11 +137,14 @@ class Index:
         w = (1 + np.log(tf)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def rare_part(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the terms without block maxima add to the similarity with each example."""
-        rare = self.column[terms] < 0
-        at, counts = spans(self.term_starts, terms[rare])
-        return np.bincount(self.rows[at], np.repeat(weights[rare], counts) * self.own[at], len(self.ids))
+    def rare_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms without block maxima add to each vector's similarity with each example, in single precision."""
+        out = np.empty((len(vectors), len(self.ids)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            rare = self.column[terms] < 0
+            at, counts = spans(self.term_starts, terms[rare])
+            out[i] = np.bincount(self.rows[at], np.repeat(weights[rare], counts) * self.own[at], len(self.ids))
+        return out
 
     def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector (terms, weights) the k examples of largest cosine above 0 and their cosines, ties to the smaller id.
@@ -153,34 +162,33 @@ class Index:
         alike = np.argsort(bounds.argmax(1), kind="stable")
         for first in range(0, len(vectors), TOGETHER):
             some = alike[first : first + TOGETHER]
-            rare = np.stack([self.rare_part(*vectors[i]) for i in some]).astype(np.float32)
+            rare = self.rare_part([vectors[i] for i in some])
             if but >= 0:
                 rare[np.arange(len(some)), but + some] = -2
             bound = bounds[some] + np.maximum.reduceat(rare, self.block_starts, axis=1)
-            score = np.full(rare.shape, -1, np.float32)
 
-            def visit(blocks: np.ndarray, some=some, rare=rare, score=score) -> None:
+            def visit(blocks: np.ndarray, some=some, rare=rare) -> tuple[np.ndarray, np.ndarray]:
                 rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
                 rows = rows[rows < size]
-                score[:, rows] = rare[:, rows] + frequent[some] @ self.matrix[rows].T
                 self.scored += len(rows) * len(some)
+                return rows, rare[:, rows] + frequent[some] @ self.matrix[rows].T
 
             best = np.unique(np.argpartition(-bound, min(FIRST, bound.shape[1]) - 1, axis=1)[:, :FIRST])
-            visit(best)
-            floor = np.maximum(np.partition(score, -k, axis=1)[:, -k] - 2 * SLACK, 0) if size > k else np.zeros(len(some))
-            visit(np.setdiff1d(np.flatnonzero((bound >= floor[:, None]).any(0)), best))
+            rows, score = visit(best)
+            more = np.setdiff1d(np.flatnonzero((bound >= floor_of(score, k)[:, None]).any(0)), best)
+            if len(more):
+                rows, score = (np.concatenate(x, -1) for x in zip((rows, score), visit(more), strict=True))
             self.asked += size * len(some)
-            for i, row in zip(some, score, strict=True):
-                out[i] = self.best(*vectors[i], row, k)
+            least = floor_of(score, k)
+            for i, row, floor in zip(some, score, least, strict=True):
+                out[i] = self.best(*vectors[i], rows[(row >= floor) & (row > 0)], k)
         return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_all([(terms, weights)], k)[0]
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of examples whose scores are off by less than SLACK, worked out in full where they can be among them."""
-        floor = max(0.0, float(np.partition(score, -k)[-k]) - 2 * SLACK) if len(score) > k else 0.0
-        found = np.flatnonzero(score >= floor) if floor else np.flatnonzero(score > 0)
+    def best(self, terms: np.ndarray, weights: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples found, by cosines worked out in full."""
         at, counts = spans(self.row_starts, found)
         self.dense[terms] = weights
         exact = np.bincount(np.repeat(np.arange(len(found)), counts), self.dense[self.terms[at]] * self.weights[at], len(found))
@@ -197,6 +205,11 @@ class Index:
         return float(np.interp(vote, *self.knots))
 
 
+def floor_of(score: np.ndarray, k: int) -> np.ndarray:
+    """What a row's k best are not below, in single precision; 0 if it has no more than k."""
+    return np.maximum(np.partition(score, -k, axis=1)[:, -k] - 2 * SLACK, 0) if score.shape[1] > k else np.zeros(len(score))
+
+
 def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooling adjacent violators; ends are pulled in as one row of each label would."""
     order = np.argsort(votes, kind="stable")
@@ -324,16 +337,17 @@ def scorer(held: Broadcast[Index], names: list[str]):
             rows, numbers, tf = terms.counts(pc.fill_null(batch.column("text"), ""))
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             keys = [hashlib.blake2b(numbers[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            if len(known) > 50_000:
+            if len(known) > TEXTS:
                 known.clear()
             new = {key: (a, b) for key, a, b in zip(keys, cuts[:-1], cuts[1:], strict=True) if key not in known}
             vectors = [(numbers[a:b], index.vector(numbers[a:b], tf[a:b])) for a, b in new.values()]
             for key, (found, near) in zip(new, index.nearest_all(vectors, NEIGHBOURS), strict=True):
-                p = index.calibrated(index.vote(found, near)) if len(found) else index.prior
-                known[key] = p, [{"example": int(index.ids[j]), "similarity": float(s), "label": int(index.labels[j])} for j, s in zip(found, near, strict=True)]
-            score, evidence = np.array([known[key][0] for key in keys], float), [known[key][1] for key in keys]
-            arrays = [batch.column(c) for c in names] + [pa.array(score), pa.array(evidence, pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "score", "evidence"])
+                known[key] = (index.calibrated(index.vote(found, near)) if len(found) else index.prior), found, near
+            score = pa.array([known[key][0] for key in keys], pa.float64())
+            found, near = (np.concatenate([np.empty(0, kind), *(known[key][i] for key in keys)]) for i, kind in ((1, np.int64), (2, float)))
+            ends = np.concatenate([[0], np.cumsum([len(known[key][1]) for key in keys])]).astype(np.int32)
+            voters = pa.StructArray.from_arrays([pa.array(index.ids[found]), pa.array(near), pa.array(index.labels[found].astype(np.int32))], ["example", "similarity", "label"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score, pa.ListArray.from_arrays(pa.array(ends), voters)], [*names, "score", "evidence"])
 
     return run
 
