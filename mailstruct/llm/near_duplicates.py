@@ -6,7 +6,7 @@ are one. Members of a bucket are compared pair by pair on a byte of each of thei
 that may well reach the threshold (a second bound on recall), so texts that share some boilerplate do not grow together. What
 is left is verified on full sets of word n-grams: connected texts are dealt into blocks, and pairs of blocks are verified by
 matrix products, which give each text its number of links and a spanning forest. So no task holds more than two blocks, texts
-move once, and no pair of texts ever becomes a row but for the pairs of buckets of at most SMALL texts.
+move once, and no pair of texts ever becomes a row.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from mailstruct.llm.common import Workspace, table, text_of
 WORDS, THRESHOLD, RECALL, HASHES, SEED = 5, 0.8, 0.9999, 256, 11
 #: A block of candidates has about so many texts, and about so many n-grams.
 BLOCK_TEXTS, BLOCK_GRAMS = 96, 1_000_000
-#: Buckets up to so many texts are compared together; larger ones are dealt into blocks of so many sketches.
+#: Buckets of up to so many texts are compared many at a time; larger ones are dealt into blocks of so many sketches.
 SMALL, BLOCK_SKETCHES = 16, 512
 
 
@@ -140,46 +140,52 @@ def signer(bands: int, rows: int, key: pa.DataType):
 
 
 def alike(least: int):
-    """Of rows (bucket, i, j, side, digest, sketch) that come by bucket, i and j: edges (a, b) between sketches with so many equal bytes."""
-
-    def equal(sketches: np.ndarray) -> np.ndarray:
-        return np.stack([(sketches == one).sum(1) >= least for one in sketches])
-
-    def large(digests: list[bytes], sketches: np.ndarray, side: np.ndarray | None) -> list[tuple[bytes, bytes]]:
-        """A spanning forest of the pairs that are alike; with sides, of those between them."""
-        near = equal(sketches)
+    """Of rows (bucket, i, j, side, digest, sketch) that come by bucket, i, j and digest: an edge (a, b) from each text to the
+    first that it is connected with by pairs of so many equal bytes. Buckets of one group of copies give the same edges."""
+
+    def roots(near: np.ndarray) -> np.ndarray:
+        """Of each graph (graph, node, node) the first node that each node is connected with."""
+        size = near.shape[1]
+        near = near | np.eye(size, dtype=bool)
+        root = np.broadcast_to(np.arange(size), near.shape[:2])
+        while True:
+            new = np.where(near, root[:, None, :], size).min(2)
+            if (new == root).all():
+                return new
+            root = new
+
+    def large(sketches: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+        near = np.stack([(sketches == one).sum(1) >= least for one in sketches])
         if side is not None:
             near &= side[:, None] != side[None]
-        out, seen = [], np.zeros(len(digests), bool)
-        for i in range(len(digests)):
+        root = np.arange(len(sketches))
+        for i in range(len(sketches)):
             front = np.array([i])
-            while len(front) and not seen[i]:
-                reached = near[front].any(0) & ~seen
-                reached[front] = False
-                out += [(digests[j], digests[front[int(near[front, j].argmax())]]) for j in np.flatnonzero(reached)]
-                seen[front] = True
-                front = np.flatnonzero(reached)
-        return out
+            while len(front) and root[i] == i:
+                reached = np.flatnonzero(near[front].any(0) & (root == np.arange(len(root))) & (np.arange(len(root)) > i))
+                root[reached] = i
+                front = reached
+        return root
 
     def compare(table: pa.Table, width: int) -> pa.RecordBatch:
         digests = table.column("digest").to_pylist()
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(digests), width)
         keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
-        sizes, edges = np.diff(np.append(starts, len(keys))), []
+        sizes, root = np.diff(np.append(starts, len(keys))), np.arange(len(keys))
+        within = keys[starts, 1] == keys[starts, 2]
         for size in range(2, SMALL + 1):
-            where = starts[(sizes == size) & (keys[starts, 1] == keys[starts, 2])]
-            a, b = np.triu_indices(size, 1)
-            a, b = (where[:, None] + a).ravel(), (where[:, None] + b).ravel()
-            for at in range(0, len(a), 1 << 15):
-                x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-                close = (sketches[x] == sketches[y]).sum(1) >= least
-                edges += [(digests[i], digests[j]) for i, j in zip(x[close].tolist(), y[close].tolist(), strict=True)]
-        for start, size in zip(starts, sizes, strict=True):
-            across = keys[start, 1] != keys[start, 2]
-            if size > SMALL or (across and size > 1):
+            every = starts[(sizes == size) & within]
+            for at in range(0, len(every), 4096 // size):
+                rows = every[at : at + 4096 // size, None] + np.arange(size)
+                some = sketches[rows]
+                near = (some[:, :, None] == some[:, None]).sum(3) >= least
+                root[rows] = np.take_along_axis(rows, roots(near), 1)
+        for start, size, own in zip(starts, sizes, within, strict=True):
+            if size > 1 and (size > SMALL or not own):
                 some = slice(start, start + size)
-                edges += large(digests[some], sketches[some], table.column("side").to_numpy()[some] if across else None)
+                root[some] = start + large(sketches[some], None if own else table.column("side").to_numpy()[some])
+        edges = {(digests[i], digests[root[i]]) for i in np.flatnonzero(root != np.arange(len(root)))}
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +207,10 @@ def alike(least: int):
     return run
 
 
-def blocks_of(group: list[str], block: Column, blocks: Column, *keep: str) -> Callable[[DataFrame], DataFrame]:
+def blocks_of(group: list[str], block: Column, blocks: Column, *keep: str, order: str) -> Callable[[DataFrame], DataFrame]:
     """Deals the rows of each group to all pairs (i, j) of its blocks; side tells the two blocks of a pair apart."""
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j"), (other < block).cast("int").alias("side")))
-    return lambda rows: rows.select(*group, *keep, F.explode(pairs).alias("p")).select(*group, "p.i", "p.j", "p.side", *keep).repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+    return lambda rows: rows.select(*group, *keep, F.explode(pairs).alias("p")).select(*group, "p.i", "p.j", "p.side", *keep).repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j", order)
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -311,7 +317,7 @@ def verifier(threshold: float):
 def candidates_of(texts: DataFrame, work: Workspace, least: int) -> DataFrame:
     """Edges (a, b) between texts (digest, bands, sketch) that share a bucket and have so many equal bytes of their sketches.
 
-    Edges connect all such texts; of a large bucket they are a spanning forest.
+    Edges connect all such texts, at most one for each text in a bucket.
     """
     banded = texts.select("digest", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("digest").alias("least"), *(F.bit_xor(F.xxhash64(F.lit(k), "digest")).alias(f"x{k}") for k in (0, 1))).where("size > 1")
@@ -319,7 +325,7 @@ def candidates_of(texts: DataFrame, work: Workspace, least: int) -> DataFrame:
     members = work.write(banded.join(buckets, "band"), "bucket_members")
     members = members.join(texts.select("digest", "sketch"), "digest").select(F.col("band").alias("bucket"), "digest", "sketch", F.ceil(F.col("size") / BLOCK_SKETCHES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = blocks_of(["bucket"], block, F.col("blocks"), "digest", "sketch")(members)
+    dealt = blocks_of(["bucket"], block, F.col("blocks"), "digest", "sketch", order="digest")(members)
     return dealt.mapInArrow(alike(least), "a binary, b binary")
 
 
@@ -359,7 +365,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, threshold: float = THRESHO
     sets = found.select("text", "node", "root", "n", "block", "blocks").mapInArrow(gram_rows, "grams binary, node binary, root binary, n long, block int, blocks int")
     repeats = signed.groupBy("doc_id", "raw0", "raw1").count().where("count > 1").limit(1).count() > 0
     sets = work.write(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
-    dealt = blocks_of(["root"], F.col("block"), F.col("blocks"), "node", "n", "grams")(sets)
+    dealt = blocks_of(["root"], F.col("block"), F.col("blocks"), "node", "n", "grams", order="node")(sets)
     links = work.write(dealt.mapInArrow(verifier(threshold), "a binary, b binary, texts long, documents long"), "links")
 
     work.drop(sets, members)
