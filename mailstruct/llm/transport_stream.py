@@ -284,16 +284,17 @@ def feature_rows(names: list[str]):
 
 
 def store_column(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """df with its binary column payload replaced by media, a transport stream that carries it. No nulls."""
-    others = [c for c in df.columns if c != payload]
+    """df with its binary column payload replaced by media, a transport stream that carries it; a column of that name goes. No nulls."""
+    others = [c for c in df.columns if c not in (payload, "media")]
     df = df.select(*others, F.col(payload).alias("payload"))
     shape = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
     return df.mapInArrow(media_rows, f"{shape}, media binary")
 
 
 def read_column(df: DataFrame) -> DataFrame:
-    """df with its transport streams (media, no nulls) read back: FEATURES in place of media."""
-    others = [c for c in df.columns if c != "media"]
+    """df with its transport streams (media, no nulls) read back: FEATURES in place of media and of columns of their names."""
+    others = [c for c in df.columns if c != "media" and c not in FEATURE_NAMES]
+    df = df.select(*(F.col(f"`{c}`") for c in others), "media")
     shape = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
     return df.mapInArrow(feature_rows(others), f"{shape}, {FEATURES}")
 

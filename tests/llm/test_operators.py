@@ -121,6 +121,17 @@ def test_op1(spark):
         assert (got.media_bytes, got.media_sha256, got.feature) == (len(media), hashlib.sha256(media).hexdigest(), transport_stream.parse(media).feature())
 
 
+def test_streams_of_odd_rows(spark, odd, empty, tmp_path):
+    for rows, want in ((odd, texts()), (empty, [])):
+        path = str(tmp_path / f"t{len(want)}" / "documents.parquet")
+        rows.withColumn("media", F.lit("m")).withColumn("payload", F.lit(1)).withColumn("feature", F.lit("f")).write.parquet(path)
+        got = transport_stream.op1_transport_stream(spark, path.rsplit("/", 1)[0]).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == Counter((i, len(t.encode()), hashlib.sha256(transport_stream.padded(t.encode())).hexdigest()) for i, t in want)
+    # in the operator's own interface the new columns replace those of the same names
+    again = transport_stream.read_column(transport_stream.store_column(odd.select("doc_id", F.encode("text", "UTF-8").alias("payload"), F.lit(1).alias("media"), F.lit(2).alias("feature")).where("payload is not null")))
+    assert len(set(again.columns)) == len(again.columns) and again.count() == len([t for _, t in ODD if t is not None])
+
+
 # --- 2: packing
 
 
@@ -205,6 +216,55 @@ def test_sharding(spark, odd, empty, work):
     assert sharding.shard_by_tree(empty, work, 3).collect() == []
 
 
+def test_tree_against_brute_force(spark, work):
+    # every split of a tree grown in memory by sorting whole keys: the same side of the same dimension, as near the goal as bins allow
+    docs = table(spark, DATA, "documents")
+    shards, rows = 8, [(d.doc_id, len((d.text or "").encode()) + 8, d.text or "", d.lang, d.source) for d in docs.collect()]
+    got = {r.doc_id: r.shard for r in sharding.shard_by_tree(docs, work, shards).collect()}
+    weight = Counter()
+    for i, size, *_ in rows:
+        weight[got[i]] += size
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r[2], []).append(r)
+    points = []
+    ranks = [{v: k for k, v in enumerate(sorted({min((x[c] for x in g if x[c] is not None), default="") for g in by_text.values()}))} for c in (3, 4)]
+    for g in by_text.values():
+        lang, source = (ranks[k][min((x[c] for x in g if x[c] is not None), default="")] for k, c in enumerate((3, 4)))
+        points.append(([np.log2(g[0][1]), lang, source, min(x[0] for x in g)], sum(x[1] for x in g), got[g[0][0]]))
+    x, w, home = np.array([p[0] for p in points], float), np.array([p[1] for p in points]), np.array([p[2] for p in points])
+    x = (x - x.min(0)) / np.maximum(x.max(0) - x.min(0), 1e-9)
+
+    def check(some, first, n):
+        if n == 1:
+            return
+        inside = some[(home[some] >= first) & (home[some] < first + n)]
+        assert len(inside) == len(some)
+        spread = x[some].max(0) - x[some].min(0)
+        left = home[some] < first + n // 2
+        # some dimension of nearly the greatest width tells the sides apart, but for ties
+        wide = [d for d in range(4) if spread[d] >= spread.max() - 1e-4]
+        assert any(x[some[left], d].max() <= x[some[~left], d].min() + 2**-17 for d in wide)
+        goal = w[some].sum() * (n // 2) / n
+        assert abs(w[some[left]].sum() - goal) <= w[some].max()
+        check(some[left], first, n // 2)
+        check(some[~left], first + n // 2, n - n // 2)
+
+    check(np.arange(len(w)), 0, shards)
+
+
+def test_many_leaves_and_ids_that_are_no_numbers(spark, work):
+    docs = spark.createDataFrame([(f"id{i}", f"text {i} " * (i % 7 + 1), f"l{i % 3}", f"a-long-source-name-{i % 50}", "x", 1) for i in range(4000)], "doc_id string, text string, lang string, source string, first string, w int")
+    got = sharding.shard_by_tree(docs, work, 1000).collect()
+    check_shards(got, 1000)
+    assert len(got) == 4000 and len({r.shard for r in got}) > 950
+    by_bytes = sharding.shard_by_tree(docs, work, None, target_bytes=20_000).collect()
+    weight = Counter()
+    for r in by_bytes:
+        weight[r.shard] += r.size
+    assert max(weight.values()) <= 21_000
+
+
 def test_a_hot_text_is_spread_and_others_stay_together(spark, work):
     rows = [(i, "hot text " * 20 if i % 2 else f"{i // 10} " + "x" * 100, "en", "s", 0) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -239,6 +299,35 @@ def test_token_cache(spark, odd, empty, work, monkeypatch):
     assert token_cache.count_tokens(empty, cache).collect() == []
 
 
+def test_op4_reads_its_cache(spark, work):
+    cache, encode = work.path("kept"), tokens.Encoder("word_bpe_49k.json")
+    docs = {d.doc_id: d.text or "" for d in table(spark, DATA, "documents").collect()}
+    want = {(i, len(t.encode()), len(encode.whole([t])[0]) // 4) for i, t in docs.items()}
+    for _ in range(2):
+        got = token_cache.op4_digest_cache(spark, DATA, cache).collect()
+        assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(docs)
+        assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
+        held = spark.read.parquet(cache)
+        assert held.count() == held.select("digest").distinct().count()
+    # the second run has encoded nothing; rows whose counts are kept are counted from there
+    before = held.inputFiles()
+    more = table(spark, DATA, "documents").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, "quite new words"), (-2, "quite  new words ")], "doc_id long, text string"))
+    got = {r.doc_id: r.n_tokens for r in token_cache.count_tokens(more, cache).collect()}
+    assert got[-1] == got[-2] == 3 and spark.read.parquet(cache).count() == held.count() + 1 and set(before) <= set(spark.read.parquet(cache).inputFiles())
+
+
+def test_fast_ids_only_for_a_file_that_is_known(tmp_path, monkeypatch):
+    import json
+
+    source = tokens.tokenizer_path("word_bpe_49k.json")
+    assert tokens.drops_space("word_bpe_49k.json") and not tokens.drops_space("byte_bpe_50k.json")
+    spec = json.load(open(source))
+    for change in ({"normalizer": None}, {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False}]}, {"model": spec["model"] | {"end_of_word_suffix": None}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        monkeypatch.setattr(tokens, "tokenizer_path", lambda name: str(tmp_path / name))
+        assert not tokens.drops_space("other.json")
+
+
 # --- 5: near duplicates
 
 
@@ -279,6 +368,51 @@ def test_near_duplicates_against_brute_force(spark, odd, empty, work):
     assert near_duplicates.near_duplicates(empty, work).collect() == []
 
 
+def test_boilerplate_is_not_verified_in_pairs(spark, work):
+    # 400 texts that share half of their words meet in many buckets; no pair is near the threshold, and none is verified
+    rng = np.random.default_rng(12)
+    shared = prose(70, 100)
+    rows = [(i, shared + " " + " ".join(f"u{x}" for x in rng.integers(0, 10**9, 48))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = docs.select("doc_id", "text").mapInArrow(near_duplicates.signer(31, 6, pa.int64()), "doc_id long, " + near_duplicates.SIGNED)
+    buckets = signed.select(F.explode("bands").alias("b")).groupBy("b").count().where("count > 1").count()
+    edges = near_duplicates.candidates_of(signed, work, near_duplicates.least_equal(186)).collect()
+    assert buckets >= 20 and len(edges) <= 4
+    got = near_duplicates.near_duplicates(docs, work).collect()
+    assert all(r.class_id == r.doc_id and r.n_links == 0 for r in got)
+
+
+def test_rows_without_id_and_ids_of_text(spark, work):
+    a, b = prose(1, 60), prose(1, 60) + " tail"
+    rows = [(None, a), ("x", b), ("w", "else " + prose(3, 30)), (None, b), (None, prose(9, 40)), ("x", prose(9, 40) + " more"), ("x", b)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), work).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter([(None, "x", 3), ("x", "x", 3), ("w", "w", 0), (None, "x", 3), (None, "x", 1), ("x", "x", 1), ("x", "x", 3)])
+
+
+def test_large_buckets_in_blocks(spark, work, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SKETCHES", 8)
+    monkeypatch.setattr(near_duplicates, "SMALL", 4)
+    base = prose(77, 150).split()
+    rows = [(i, " ".join(base[: 30 + i % 11] + [f"edit{i}"] + base[30 + i % 11 :])) for i in range(50)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), work).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_recall_of_banding_and_sketches(spark, work):
+    # pairs whose similarity is just at or above the threshold
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        words = [f"a{i}x{k}" for k in range(200)]
+        other = words.copy()
+        for at in rng.choice(np.arange(5, 195, 6), 4, replace=False):
+            other[at] = f"b{i}x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), work).collect()}
+    assert sum(want[i] == got[i] for i in want) >= 0.998 * len(want)
+
+
 def test_a_large_group_of_near_copies_in_many_blocks(spark, work, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 8)
     base = prose(99, 120).split()
@@ -328,6 +462,49 @@ def test_nearest_recall(spark):
     assert all(abs(exact[q][i] - s) < 1e-12 for q, found in got.items() for i, s in found)
 
 
+def test_verified_share_and_recall():
+    """At 2,000 vectors under a tenth of the candidates is verified, and at least nine tenths of the nearest are found."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, v) for i, v in zip(*(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column(c).to_pylist() for c in ("vec_id", "embedding")), strict=True)]
+    ids, x = np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)
+    lines, want, hits, verified = nearest.Lines.build(ids, x), brute_nearest(rows), 0, 0
+    for q in want:
+        found, distance, n = lines.nearest(x[ids == q][0], q, 10)
+        assert (np.diff(distance) >= 0).all()
+        hits += len({i for i, _ in want[q]} & set(ids[found].tolist()))
+        verified += n
+    assert hits >= 0.9 * 10 * len(want) and verified < 0.1 * len(want) * len(ids)
+
+
+def test_dimension_keeps_its_promises():
+    lines, threshold = nearest.dimension()
+    rng, promise = np.random.default_rng(1), {1.0: 1 - nearest.MISS, nearest.RATIO: nearest.FAR}
+    for distance, share in promise.items():
+        hits = (np.abs(rng.standard_normal((20_000, lines)) * distance) <= nearest.WIDTH / 2).sum(1) >= threshold
+        assert hits.mean() >= share - 0.01 if distance == 1 else hits.mean() <= share + 0.005
+
+
+def test_clusters_are_searched_slab_by_slab(spark, work):
+    # four far clusters: a query visits its own alone, and finds what brute force finds
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(6) + 100 * (i % 4)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, verified = {}, {}
+    for r in nearest.neighbours(df, work, block=128).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        verified[r.query_id] = r.verified
+    want = brute_nearest(rows)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert np.mean(list(verified.values())) < 500
+
+
+def test_ids_and_dimensions_that_clash(spark, work):
+    rows = [(100, [1.0, 0.0]), (100, [0.5, 0.0]), (1, [0.5, 0.1]), (2, [3.0, 0.0]), (2, [0.5, 0.3]), (3, [1.0, 0.0, 0.0]), (200, [2.0])]
+    got = nearest.neighbours(spark.createDataFrame([(*r, 0, "y") for r in rows], "vec_id long, embedding array<double>, slab int, bound string"), work).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in got] == [(100, 1, 0.1), (100, 2, 0.3)]
+
+
 def test_nearest_odd_cases(spark, work, empty):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(250)]
@@ -350,47 +527,84 @@ def test_nearest_odd_cases(spark, work, empty):
 
 
 def test_bundles_by_offset():
+    import io
+
     import zstandard
 
-    bundler, records = warc_bundles.Bundler(0, frame=2000, bundle=10**9), {}
+    bundler, records, frames = warc_bundles.Bundler(0, frame=2000, bundle=10**9), {}, []
     for i in range(100):
-        records[i] = warc_bundles.record(i, "http://e/é x", prose(i, 20).encode(), "D", None)
-        bundler.add(i, records[i])
-    bundle = bundler.finish()
-    view = memoryview(bundle["content"])
-    assert len(warc_bundles.read_seek_table(view)) > 5
-    for r in bundle["records"]:
-        assert warc_bundles.read_frame(view, r["frame"])[r["offset"] : r["offset"] + r["length"]] == records[r["page_id"]]
-    whole = zstandard.ZstdDecompressor().stream_reader(bundle["content"], read_across_frames=True).read()
+        records[i] = warc_bundles.record(i, "http://e/é x", prose(i, 20).encode(), "D", None, bundler.place)
+        frames += bundler.add(i, records[i])
+    frames += bundler.finish()
+    bundle = io.BytesIO(b"".join(f["content"] for f in frames))
+    assert len(warc_bundles.read_seek_table(bundle)) == len(frames) - 1 > 5
+    for f in frames:
+        for r in f["records"]:
+            assert warc_bundles.read_frame(bundle, f["frame"])[r["offset"] : r["offset"] + r["length"]] == records[r["page_id"]]
+    whole = zstandard.ZstdDecompressor().stream_reader(bundle.getvalue(), read_across_frames=True).read()
     assert whole == b"".join(records.values())  # the seek table is a frame that readers skip
 
 
-def test_pages(spark, work, monkeypatch):
+def test_pages(spark, work, monkeypatch, tmp_path):
     monkeypatch.setattr(warc_bundles, "FRAME", 200)
-    rows = [(1, "u", "<a>"), (2, None, None), (3, "u", ""), (4, "v", "<a>"), (5, "w", "é" * 50_000), (7, "q", "same"), (7, "q", "same"), (8, "q", "same")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
-    got = warc_bundles.read_bundles(warc_bundles.write_bundles(pages, work)).collect()
+    rows = [(1, "u", "<a>"), (2, None, None), (3, "u", ""), (4, "v", "<a>"), (5, "w", "é" * 50_000), (7, "q", "same"), (7, "q", "same"), (8, "q", "same"), (9, "line\nend", "<b>"), (9, "other", "<c>")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, digest string, maybe string")
+    frames = warc_bundles.write_bundles(pages, work)
+    got = warc_bundles.read_bundles(frames, work).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter(
-        [(1, "response", None, 3), (4, "revisit", 1, 3), (2, "response", None, 0), (3, "revisit", 2, 0), (5, "response", None, 100_000), (7, "response", None, 4), (7, "revisit", 7, 4), (8, "revisit", 7, 4)]
+        [(1, "response", None, 3), (4, "revisit", 1, 3), (2, "response", None, 0), (3, "revisit", 2, 0), (5, "response", None, 100_000), (7, "response", None, 4), (7, "revisit", 7, 4), (8, "revisit", 7, 4), (9, "response", None, 3), (9, "response", None, 3)]
     )
-    assert all(r.payload_digest == warc_bundles.digest_of((dict((a, c) for a, _, c in rows)[r.page_id] or "").encode()) for r in got)
-    assert warc_bundles.read_bundles(warc_bundles.write_bundles(pages.where("false"), work)).collect() == []
-    index = warc_bundles.index_of(warc_bundles.write_bundles(pages, work)).collect()
+    digests = {warc_bundles.digest_of((c or "").encode()) for _, _, c in rows}
+    assert {r.payload_digest for r in got} == digests
+    empty = warc_bundles.write_bundles(pages.where("false"), work)
+    assert warc_bundles.read_bundles(empty, work).collect() == []
+    # files: every record is read by seeking from a file's end
+    warc_bundles.export_bundles(frames, str(tmp_path))
+    index = warc_bundles.index_of(frames).collect()
     assert len(index) == len(rows)
+    for r in index:
+        with open(tmp_path / f"{r.bundle_id}.warc.zst", "rb") as f:
+            head, block, after = warc_bundles.parse_record(memoryview(warc_bundles.read_frame(f, r.frame)), r.offset)
+        assert after - r.offset == r.length and head["WARC-Record-ID"].startswith(f"<urn:page:{r.page_id}:")
+
+
+def test_payloads_below_the_least_size_are_all_responses(spark, work):
+    pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
+    got = warc_bundles.read_bundles(warc_bundles.write_bundles(pages, work, least=3), work).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(1, None), (2, None), (3, None), (4, 3)}
+
+
+def test_a_revisit_needs_its_response(spark, work):
+    pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa")], "page_id long, url string, html string")
+    frames = warc_bundles.write_bundles(pages, work)
+    read = frames.mapInArrow(warc_bundles.read_rows, warc_bundles.READ).where("record_type = 'revisit'").collect()
+    assert [(r.page_id, r.payload_bytes, r.refers_to) for r in read] == [(2, None, 1)]
+    lost = frames.withColumn("records", F.filter("records", lambda r: r["page_id"] == 2))
+    with pytest.raises(Exception, match="nothing holds"):
+        warc_bundles.read_bundles(lost, work).collect()
+
+
+def test_a_full_bitmap_is_still_right(spark, work, monkeypatch):
+    from mailstruct.llm import common
+
+    monkeypatch.setattr(common, "BITS", 8)
+    pages = spark.createDataFrame([(i, "u", f"p{i % 50}" if i < 80 else f"q{i}") for i in range(120)], "page_id long, url string, html string")
+    got = warc_bundles.read_bundles(warc_bundles.write_bundles(pages, work), work).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(i, i - 50 if 50 <= i < 80 else None) for i in range(120)}
 
 
 def test_pages_without_id(spark, work):
     rows = [(None, "u", "<a>"), (None, "u", "<a>"), (4, "v", "<a>"), (None, None, None), (None, "w", "only"), (None, "w", "only"), (5, "w", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    bundles = warc_bundles.write_bundles(pages, work)
-    got = warc_bundles.read_bundles(bundles).collect()
+    frames = warc_bundles.write_bundles(pages, work)
+    got = warc_bundles.read_bundles(frames, work).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter(
         [(None, "revisit", 4, 3), (None, "revisit", 4, 3), (4, "response", None, 3), (None, "response", None, 0), (None, "response", None, 4), (None, "response", None, 4), (5, "response", None, 1)]
     )
     names = []
-    for b in bundles.collect():
-        view = memoryview(b.content)
-        names += [warc_bundles.parse_record(memoryview(warc_bundles.read_frame(view, r.frame)), r.offset)[0]["WARC-Record-ID"] for r in b.records]
+    for f in frames.collect():
+        plain = memoryview(warc_bundles.plain_frame(bytes(f.content), f.plain_bytes) if f.records else b"")
+        names += [warc_bundles.parse_record(plain, r.offset)[0]["WARC-Record-ID"] for r in f.records]
     assert len(set(names)) == len(rows)
 
 
@@ -464,12 +678,85 @@ def test_rules_compile_to_what_they_predict(spark, odd, empty):
     assert rules.fit(np.zeros((0, len(rules.NAMES))), np.zeros(0)).rules == [] and rules.fit(x, np.ones(600)).rules == []
 
 
+def test_op10_against_brute_force(spark):
+    """Statistics counted one by one, and rules applied one by one, give the query's scores."""
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    model = rules.train(docs, table(spark, DATA, "labels"))
+    got = {r.doc_id: r.score for r in rules.op10_rule_ensemble(spark, DATA).collect()}
+
+    def count(t):
+        words, lines = t.split(), [x for x in t.split("\n") if x]
+        share = lambda a, b: a / b if b else 0.0
+        spaces = sum(c in " \t\n\r\x0b\x0c" for c in t)
+        upper = sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7" for c in t)
+        symbols = sum("!" <= c <= "~" and not c.isalnum() and c not in rules.PROSE for c in t)
+        return [float(len(t)), share(len(t) - spaces, len(words)), share(upper, len(t)), share(symbols, len(t)), share(sum("0" <= c <= "9" for c in t), len(t)), share(len(set(words)), len(words)), share(sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)), len(words)), share(len(set(lines)), len(lines)), share(len(words), len(lines))]
+
+    for d in docs.collect():
+        x, total = count(d.text or ""), model.intercept
+        for rule, w in zip(model.rules, model.weights, strict=True):
+            total += w * all((x[i] > cut) if above else (x[i] <= cut) for i, above, cut in rule.tests)
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_statistics():
     got = dict(zip(rules.NAMES, rules.statistics(pa.array(["", "ABC déf! 1$\nABC déf! 1$\nÉ a a", "x"]))[1], strict=True))
     assert got["chars"] == 29 and got["upper"] == 7 / 29 and got["symbols"] == 2 / 29 and got["digits"] == 2 / 29
     assert got["different_words"] == 5 / 9 and got["repeated_words"] == 1 / 9 and got["different_lines"] == 2 / 3 and got["line_words"] == 3
 
 
+def test_op8_against_brute_force(spark):
+    """Every score and every voter of all documents, from whole weight vectors compared with all examples."""
+    docs = {d.doc_id: d.text or "" for d in table(spark, DATA, "documents").collect()}
+    toxic = {r.doc_id: r.toxic for r in table(spark, DATA, "labels").collect() if r.toxic is not None}
+    terms = {i: Counter(toxicity.TERM.findall(t.lower())) for i, t in docs.items()}
+    examples = sorted(i for i in toxic if i in docs and zlib.crc32(str(i).encode()) % 5 and terms[i])
+    n, positive = len([i for i in toxic if i in docs and zlib.crc32(str(i).encode()) % 5]), sum(toxic[i] for i in toxic if i in docs and zlib.crc32(str(i).encode()) % 5)
+    df, seen, hits = Counter(t for c in terms.values() for t in c), Counter(t for i in examples for t in terms[i]), Counter(t for i in examples if toxic[i] for t in terms[i])
+
+    def weigh(c):
+        out = {}
+        for t, tf in c.items():
+            if t in seen:
+                odds = hits[t] * (n - positive - (seen[t] - hits[t])) - (seen[t] - hits[t]) * (positive - hits[t])
+                spread = seen[t] * (n - seen[t]) * positive * (n - positive)
+                chi = n * odds * odds / spread if spread else 0.0
+                out[t] = (1 + np.log(tf)) * (np.log((1 + len(docs)) / (1 + df[t])) + 1) * (1 + np.sqrt(chi))
+        length = np.sqrt(sum(w * w for w in out.values()))
+        return {t: w / length for t, w in out.items()}
+
+    held = {i: weigh(terms[i]) for i in examples}
+    got = {r.doc_id: r for r in toxicity.op8_nearest_examples(spark, DATA).collect()}
+    assert set(got) == set(docs)
+    votes = {}
+    for i in docs:
+        own = weigh(terms[i])
+        near = sorted(((round(s, 12), -e) for e in examples if (s := sum(w * held[e].get(t, 0.0) for t, w in own.items())) > 1e-8), reverse=True)[:15]
+        assert [v.example for v in got[i].evidence] == [-e for _, e in near]
+        assert np.allclose([v.similarity for v in got[i].evidence], [min(s, 1) for s, _ in near], atol=1e-9)
+        assert [v.label for v in got[i].evidence] == [toxic[-e] for _, e in near]
+        if near:
+            w = [1 / (1.05 - min(s, 1)) for s, _ in near]
+            votes[i] = sum(a * toxic[-e] for a, (_, e) in zip(w, near, strict=True)) / sum(w)
+    # scores rise with votes
+    order = sorted(votes, key=votes.get)
+    assert all(got[a].score <= got[b].score + 1e-12 for a, b in zip(order[:-1], order[1:], strict=True))
+
+
+def test_blocks_are_skipped():
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(2000):  # ten languages with terms of their own
+        terms = np.unique(rng.integers(0, 60, 30)) + 60 * (i % 10)
+        rows.append((i, i % 2, terms, np.ones(len(terms), np.int64)))
+    index = toxicity.build([f"t{i}" for i in range(600)], np.full(600, 300.0), 4000, pd.DataFrame(rows, columns=["doc_id", "y", "terms", "tf"]))
+    index.scored = index.asked = 0
+    index.nearest_all([(r[2], index.vector(r[2], r[3])) for r in rows], 15)
+    assert index.scored < 0.5 * index.asked
+
+
 def test_toxicity_odd_cases(spark, odd, empty, work):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     index = toxicity.train(odd.select("doc_id", "text"), labels, work)
@@ -510,21 +797,55 @@ def test_targets():
 
 def test_fit_hits_the_budget_where_it_can():
     rng = np.random.default_rng(8)
-    for _ in range(100):
-        lengths = np.unique(rng.integers(1, 200, rng.integers(1, 30)))
-        counts = rng.integers(1, 6, len(lengths))
-        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+    for t in range(400):
+        lengths = np.unique(rng.integers(1, 40 if t % 2 else 900, rng.integers(1, 8))) * int(rng.integers(1, 4))
+        counts = rng.integers(1, 9, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 5))
         taken = mixing.fit(lengths, counts, budget, 1)
         assert (0 <= taken).all() and (taken <= counts).all()
-        total = int((taken * lengths).sum())
-        if (lengths * counts).sum() < 400:
-            sums = {0}
-            for n, c in zip(lengths, counts, strict=True):
-                sums = {s + n * k for s in sums for k in range(c + 1)}
-            # the even share is fixed first, so the best sum may be out of reach by less than the shortest spare length
-            assert abs(total - budget) <= min(abs(s - budget) for s in sums) + lengths.max()
-        else:
-            assert abs(total - budget) <= lengths.max()
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        assert int((taken * lengths).sum()) == min(sums, key=lambda s: (abs(s - budget), s))
+
+
+def test_fit_with_a_very_long_text():
+    lengths = np.append(np.arange(1, 900), 5_000_000)
+    counts = np.full(len(lengths), 7)
+    for budget in (11_234_567, 2_000_003, 30_500_000):
+        assert int((mixing.fit(lengths, counts, budget, 1) * lengths).sum()) == budget
+
+
+def test_op9_against_targets_worked_out_apart(spark):
+    docs = table(spark, SMALL, "documents").collect()
+    import re
+
+    size, source = {}, {}
+    for d in docs:
+        size[d.doc_id] = len(re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
+        source.setdefault(d.source, []).append(d.doc_id)
+    names = sorted((s for s in source if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in source else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total = {s: sum(size[i] for i in source[s]) for s in names}
+    left, open_, target = 1.5 * sum(total.values()), set(names), {}
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / whole > 2 * total[s]]
+        for s in over or open_:
+            target[s] = 2.0 * total[s] if over else left * weight[s] / whole
+        left -= sum(target[s] for s in over)
+        open_ = open_ - set(over) if over else set()
+    rows = mixing.op9_budget_fit(spark, SMALL).collect()
+    assert Counter((r.doc_id, r["size"], r.source_size) for r in rows) == Counter((d.doc_id, size[d.doc_id], total[d.source]) for d in docs)
+    assert all(r.target == pytest.approx(target[r.source]) and r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
+    for s in names:
+        mine = sum(r.taken for r in rows if r.source == s)
+        whole = int(min(target[s] // total[s], 2)) * total[s]
+        reached = 1
+        for i in source[s] if whole < 2 * total[s] else []:
+            reached |= reached << size[i]
+        sums = [whole + k for k in range(reached.bit_length()) if reached >> k & 1]
+        assert abs(mine - target[s]) <= min(abs(x - target[s]) for x in sums) + 1e-6
 
 
 def test_mixing(spark, odd, empty, work):
