@@ -11,6 +11,7 @@ that holds a third of all rows lands in many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql.window import Window
 from mailstruct.llm.common import Workspace, table, text_of
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
-#: The dynamic programme gets a budget of so many times the longest length, and more where that misses; up to so many words.
-REACH, LONGEST = 4, 1 << 24
+#: The dynamic programme gets so many times the median length, and more where that misses; all of a budget up to so many words.
+REACH, LONGEST = 4, 1 << 22
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,8 +55,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     """How many documents of each length, so that their words come as near budget as the counts allow; ties go below.
 
     Even shares first, but for a reach of a few of the longest documents, which the dynamic programme decides exactly. If it
-    misses the budget, the reach grows until it hits, or until it is all of the budget and the nearest sum is known. Past
-    LONGEST words the reach grows no more: the nearest sum within it is taken.
+    misses the budget, the reach grows until it hits, or until it is all of the budget. The nearest sum of all is then known
+    if the budget is LONGEST words at most; of larger budgets, which are hardly ever missed, the nearest sum met is taken.
     """
     counts = counts.astype(np.int64)
     unit = int(np.gcd.reduce(lengths))
@@ -66,22 +67,29 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     if budget <= 0:
         return np.zeros_like(counts)
     budget, over = divmod(budget, unit)
-    order, reach = np.random.default_rng(seed).permutation(len(lengths)), REACH * int(np.median(lengths))
-    while True:
+    order, longest = np.random.default_rng(seed).permutation(len(lengths)), np.argsort(-lengths, kind="stable")
+    keep = reach = REACH * int(np.median(lengths))
+    best, missed = counts, math.inf
+    while missed:
+        # an even share of all but the reach, long documents into what is left of it, and the programme for the rest
         taken = np.floor(counts * (max(0, budget - reach) / total)).astype(np.int64)
         left = budget - int((taken * lengths).sum())
-        for i in order:
-            more = min(int(counts[i] - taken[i]), (left - reach) // int(lengths[i])) if left > reach else 0
-            taken[i] += max(0, more)
-            left -= max(0, more) * int(lengths[i])
-        added, missed = knapsack(lengths, counts - taken, left, over / unit, order)
-        if not missed or reach >= budget or reach >= LONGEST:
-            return taken + added
-        reach *= 16
+        exact = reach >= budget and budget <= LONGEST
+        for i in [] if exact else longest:
+            more = min(int(counts[i] - taken[i]), max(0, left - keep) // int(lengths[i]))
+            taken[i] += more
+            left -= more * int(lengths[i])
+        added, off = knapsack(lengths, counts - taken, left, over / unit, order)
+        if (off, int((lengths * (taken + added)).sum())) < (missed, int((lengths * best).sum())):
+            best, missed = taken + added, off
+        if exact or reach >= budget:
+            break
+        reach = min(16 * reach, budget) if 16 * reach <= LONGEST or budget <= LONGEST else budget
+    return best
 
 
-def knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, over: float, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """(count of each length, distance): the sum of at most spare documents of each length that is nearest budget + over.
+def knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, over: float, order: np.ndarray) -> tuple[np.ndarray, float]:
+    """(count of each length, distance, 0 if none can be nearer): the sum of at most spare documents of each length that is nearest budget + over.
 
     first[s] is the bundle of documents that made the sum s first, so sums are unwound from it. One array of twice the
     budget's length, since a sum beyond that is farther than none; over is less than 1, so a sum that is the budget is nearest
@@ -110,7 +118,7 @@ def knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, over: float, o
         i, some = bundles[first[at]]
         added[i] += some
         at -= some * int(lengths[i])
-    return added, abs(best - goal)
+    return added, abs(best - budget - over) if best != goal else 0.0
 
 
 def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
