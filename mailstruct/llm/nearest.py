@@ -106,12 +106,18 @@ class Lines:
         low = np.clip(np.searchsorted(self.values, center), first, first + n)
         high = low.copy()
         count, open_ = np.zeros(n, np.int64), self.ids != own
-        some = np.unique(np.linspace(0, n - 1, min(n, BEGIN)).astype(np.int64))
-        found = some[open_[some]]
-        open_[found] = False
-        distance = self.distances(query, found)
-        # half the least distance met, or the bound; rounding moves projections of equal vectors by less than the last
-        radius = max(min(float(distance.min(initial=math.inf)), bound) / 2, 1e-9 * (1 + float(np.linalg.norm(query))))
+        found, distance = np.empty(0, np.int64), np.empty(0)
+        # rounding moves projections of equal vectors by less than this
+        least = 1e-9 * (1 + float(np.linalg.norm(query)))
+        if math.isfinite(bound):
+            radius = max(bound, least)  # nothing is sought but what the bound lets in
+        else:
+            # half of the least distance met
+            some = np.unique(np.linspace(0, n - 1, min(n, BEGIN)).astype(np.int64))
+            found = some[open_[some]]
+            open_[found] = False
+            distance = self.distances(query, found)
+            radius = max(float(distance.min(initial=math.inf)) / 2, least)
         if not math.isfinite(radius):
             return found, distance, 0
         while True:
