@@ -289,53 +289,49 @@ def text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms.names, pa.string())], ["term"])
 
 
-def term_rows(vocabulary: list[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each partition's number of documents with each term; term -1 counts documents."""
-        terms, n, rows = Terms(vocabulary), np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
-            n += np.bincount(terms.counts(batch.column("text"))[1], minlength=len(vocabulary))
-            rows += batch.num_rows
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], rows))], ["term", "n"])
+VECTOR = "terms array<int>, tf array<int>"
 
-    return count
 
+def vectorise(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
+    """Columns of docs to keep, and the numbers (ascending) and occurrences of the terms of its text; null counts as empty."""
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-def example_rows(vocabulary: list[str]):
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(vocabulary)
         for batch in batches:
-            rows, numbers, tf = terms.counts(batch.column("text"))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64))) for x in (numbers, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "terms", "tf"])
+            rows, numbers, tf = terms.counts(batch.column("_text"))
+            cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (numbers, tf)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], [*keep, "terms", "tf"])
 
-    return vectors
+    return docs.select(*(F.col(f"`{c}`") for c in keep), text_of().alias("_text")).mapInArrow(run, f"{shape}{', ' if keep else ''}{VECTOR}")
 
 
-def train(docs: DataFrame, labels: DataFrame, work: Workspace, target: str = "toxic", sample: int = SAMPLE) -> Index:
-    """The index of at most sample labelled rows of docs (doc_id, text) outside the held-out fold."""
+def train_on(docs: DataFrame, labels: DataFrame, work: Workspace, keep: list[str], target: str = "toxic", sample: int = SAMPLE) -> tuple[Index, DataFrame]:
+    """The index of at most sample labelled rows of docs (doc_id, text) outside the held-out fold, and the vectors of all docs
+    with their columns to keep, written: document frequencies are counted there, and texts need not be read again."""
     rows = work.write(labelled(docs, labels, target, sample).select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "text"), "examples")
     found = rows.mapInArrow(text_terms, "term string").distinct().toArrow()
     vocabulary = sorted(found.column("term").to_pylist())
-    df, n_docs = np.zeros(len(vocabulary)), 0
-    if vocabulary:
-        counts = docs.select(text_of().alias("text")).mapInArrow(term_rows(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        terms, n = (counts.column(c).to_numpy() for c in ("term", "n"))
-        n_docs = int(n[terms < 0].sum())
-        df[terms[terms >= 0]] = n[terms >= 0]
-    examples = rows.mapInArrow(example_rows(vocabulary), "doc_id long, y long, terms array<long>, tf array<long>").toArrow().to_pandas()
-    return build(vocabulary, df, n_docs, examples)
+    vectors = work.write(vectorise(docs, vocabulary, keep), "vectors")
+    counts = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary))
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    examples = vectorise(rows, vocabulary, ["doc_id", "y"]).toArrow().to_pandas()
+    return build(vocabulary, df, vectors.count(), examples), vectors
+
+
+def train(docs: DataFrame, labels: DataFrame, work: Workspace, target: str = "toxic", sample: int = SAMPLE) -> Index:
+    return train_on(docs, labels, work, [], target, sample)[0]
 
 
 def scorer(held: Broadcast[Index], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        terms, known = Terms(index.vocabulary), {}
+        """Adds score and evidence to rows of vectors; equal vectors are searched for once."""
+        index, known = held.value, {}
         for batch in batches:
-            rows, numbers, tf = terms.counts(pc.fill_null(batch.column("text"), ""))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            terms, tf = batch.column("terms"), batch.column("tf")
+            cuts, numbers, tf = terms.offsets.to_numpy() - terms.offsets[0].as_py(), terms.flatten().to_numpy(), tf.flatten().to_numpy()
             keys = [hashlib.blake2b(numbers[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             if len(known) > TEXTS:
                 known.clear()
@@ -352,24 +348,28 @@ def scorer(held: Broadcast[Index], names: list[str]):
     return run
 
 
+def score_vectors(vectors: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of vectorise() with score, evidence and predicted in place of the vectors."""
+    keep = [c for c in vectors.columns if c not in ("terms", "tf")]
+    shape = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
+    held = vectors.sparkSession.sparkContext.broadcast(index)
+    out = vectors.mapInArrow(scorer(held, keep), f"{shape}, score double, evidence array<struct<example: long, similarity: double, label: int>>")
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of docs with score (probability of being toxic), evidence (the examples that vote, with similarity
     and label) and predicted.
 
     Null texts count as empty; texts without any of the index's terms, empty ones too, get the share of toxic examples
-    and no evidence. Equal texts get equal scores; columns of docs named like the results are
-    replaced.
+    and no evidence. Very long texts are read whole. Equal texts get equal scores; columns of docs named like the results
+    or the vectors' are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("score", "evidence", "predicted")]
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    out = docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(scorer(held, keep), f"{shape}, score double, evidence array<struct<example: long, similarity: double, label: int>>")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    keep = [c for c in docs.columns if c not in ("score", "evidence", "predicted", "terms", "tf")]
+    return score_vectors(vectorise(docs, index.vocabulary, keep), index, threshold)
 
 
 def op8_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    work = Workspace(spark)
-    index = train(docs, table(spark, sf_dir, "labels"), work)
-    work.clear()
-    return score(docs, index).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence")
+    index, vectors = train_on(docs, table(spark, sf_dir, "labels"), Workspace(spark), ["doc_id"])
+    return score_vectors(vectors, index).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence")
