@@ -195,6 +195,19 @@ def html_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", "m.text", F.size("m.links").alias("links"), "m.has_markup")
 
 
+LETTERS = "regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' '"
+
+
+@query("html_hidden", f"SELECT conv_id, turn, trim({LETTERS}, 'g')) AS plain, CAST(1 AS INT) AS links FROM conversations")
+def html_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """What is hidden, silent or invisible does not show, and a link's target does."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", LETTERS + ") AS t")
+    markup = F.concat(
+        F.lit('<div><script>var x</script><span style="DISPLAY : none">no <a href="https://example.org/x">no</a></span>\u200b<p>'), "t",
+        F.lit('</p>\u00a0<i hidden>no</i><b style="a:b;visibility: hidden"><u>no</u></b>\ufeff<style>p{}</style></div>'))
+    return rows.select("conv_id", "turn", html.parsed(markup).alias("m")).select("conv_id", "turn", F.col("m.text").alias("plain"), F.size("m.links").alias("links"))
+
+
 # --- links ------------------------------------------------------------------------------------------------------------
 
 
@@ -514,47 +527,34 @@ def back_ref(spark: SparkSession, d: str) -> DataFrame:
     return relate.parent_references(references(spark, d)).select(*LAYER, "parent_seq", "via_attachment")
 
 
-def chained(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
-    """Chains of all links on all images, for the attachments that kept holds for."""
+def chained(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of all links on all images of all attachments."""
     parents = relate.parent_references(references(spark, d)).select(*LAYER, "parent_depth", "via_attachment")
     layers = mails(spark, d).join(parents, LAYER, "left")
     images = fixture(spark, d, "mail_images").where("ocr_text is not null").select(*LAYER, "idx", F.struct("filename", urls.extract(F.col("ocr_text")).alias("urls_from_ocr")).alias("image"))
     embedded = images.groupBy(*LAYER).agg(summary.ordered(F.col("image"), "idx").alias("embedded_images"))
-    return relate.content_chains(layers, attachments(spark, d).where(kept).join(embedded, LAYER))
+    return relate.content_chains(layers, attachments(spark, d).join(embedded, LAYER))
 
 
 CHAIN_SQL = (
     cte("mail_layers", "mail_attachments", "mail_images")
     + REFERENCES
     + PARENTS
-    + f""", i AS (SELECT *, CAST(row_number() OVER (PARTITION BY email_id, layer_seq ORDER BY idx) - 1 AS INT) AS image_idx, ({found_urls('ocr_text')})[1] AS url FROM mail_images WHERE ocr_text IS NOT NULL),
-ch AS (SELECT l.email_id, l.layer_seq, a.idx, i.image_idx, p.parent_depth, p.via_attachment, l.layer_depth, a.filename, i.filename AS image, i.url
-FROM mail_layers l JOIN parents p USING (email_id, layer_seq) JOIN mail_attachments a USING (email_id, layer_seq) JOIN i USING (email_id, layer_seq) WHERE a.idx % 10 = 0 AND i.url IS NOT NULL)
+    + f""", i AS (SELECT *, CAST(row_number() OVER (PARTITION BY email_id, layer_seq ORDER BY idx) - 1 AS INT) AS image_idx, {found_urls('ocr_text')} AS links FROM mail_images WHERE ocr_text IS NOT NULL),
+j AS (SELECT email_id, layer_seq, image_idx, filename, CAST(n - 1 AS INT) AS url_idx, links[n] AS url FROM i, unnest(range(1, len(links) + 1)) x(n)),
+ch AS (SELECT l.email_id, l.layer_seq, a.idx, j.image_idx, j.url_idx, p.parent_depth, p.via_attachment, l.layer_depth, a.filename, j.filename AS image, j.url
+FROM mail_layers l JOIN parents p USING (email_id, layer_seq) JOIN mail_attachments a USING (email_id, layer_seq) JOIN j USING (email_id, layer_seq))
 """
 )
 
 
-#: The attachments that CHAIN_SQL asks for; content_chain_whole and chain_text_whole take all of them.
-TENTH = "idx % 10 = 0"
-
-
-@query("content_chain", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, url FROM ch")
+@query("content_chain", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, url_idx, url FROM ch")
 def content_chain(spark: SparkSession, d: str) -> DataFrame:
-    return chained(spark, d, TENTH).select(*LAYER, "idx", "image_idx", F.element_at("chain", 6)["value"].alias("url"))
-
-
-@query("chain_text", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, concat('layer(', parent_depth, ') \u2192 attachment(', left(via_attachment, 30), ') \u2192 nested_email(', layer_depth, ') \u2192 attachment(', left(filename, 30), ') \u2192 embedded_image(', left(image, 30), ') \u2192 url(', left(url, 30), ')') AS description FROM ch")
-def chain_text(spark: SparkSession, d: str) -> DataFrame:
-    return chained(spark, d, TENTH).select(*LAYER, "idx", "image_idx", summary.chain_text(F.col("chain")).alias("description"))
-
-
-@query("content_chain_whole")
-def content_chain_whole(spark: SparkSession, d: str) -> DataFrame:
     return chained(spark, d).select(*LAYER, "idx", "image_idx", "url_idx", F.element_at("chain", 6)["value"].alias("url"))
 
 
-@query("chain_text_whole")
-def chain_text_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("chain_text", CHAIN_SQL + "SELECT email_id, layer_seq, idx, image_idx, url_idx, concat('layer(', parent_depth, ') \u2192 attachment(', left(via_attachment, 30), ') \u2192 nested_email(', layer_depth, ') \u2192 attachment(', left(filename, 30), ') \u2192 embedded_image(', left(image, 30), ') \u2192 url(', left(url, 30), ')') AS description FROM ch")
+def chain_text(spark: SparkSession, d: str) -> DataFrame:
     return chained(spark, d).select(*LAYER, "idx", "image_idx", "url_idx", summary.chain_text(F.col("chain")).alias("description"))
 
 
@@ -731,7 +731,7 @@ def eml_layers(spark: SparkSession, d: str) -> DataFrame:
 @query("eml_attachments", INNER + "SELECT email_id, CAST(row_number() OVER (PARTITION BY email_id ORDER BY place) AS INT) AS idx, concat('l', layer_seq, '.eml') AS filename FROM f WHERE place > 1 AND file = 1 UNION ALL SELECT email_id, CAST(count_if(place > 1 AND file = 1) + 1 AS INT), 'p.png' FROM f GROUP BY email_id")
 def eml_attachments(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
-    return engine.attachments(engine.parts(nested(spark, d)).where("error is null")).where("layer_seq = 0").select("email_id", "idx", "filename")
+    return engine.attachments(engine.parts(nested(spark, d)).where("error is null")).select("email_id", "idx", "filename")
 
 
 @query("eml_images", cte("mail_layers") + "SELECT DISTINCT email_id, CAST(1 AS INT) AS idx, 'p.png' AS filename, '<c1>' AS content_id, CAST(3 AS BIGINT) AS size FROM mail_layers")
@@ -755,6 +755,40 @@ def response_llm(spark: SparkSession, d: str) -> DataFrame:
     return render.responses(Engine(spark).parse(nested(spark, d)), "llm_optimized")
 
 
+#: What the responses must hold of a nested mail, from the columns that it was built of.
+FIELDS = (
+    INNER
+    + """, n AS (SELECT email_id, count(*) AS inside FROM k GROUP BY 1), a AS (SELECT email_id, count_if(place > 1 AND file = 1) + 1 AS files FROM f GROUP BY 1)
+SELECT email_id, CAST(200 AS INT) AS status, 'true' AS success, CAST(coalesce(inside, 0) + 1 AS BIGINT) AS total_layers, CAST(files AS BIGINT) AS total_attachments, CAST(1 AS BIGINT) AS total_images,
+  CASE WHEN coalesce(inside, 0) > 0 THEN 'true' ELSE 'false' END AS nested, 'outer' AS subject, '<outer>' AS message_id FROM a LEFT JOIN n USING (email_id)
+"""
+)
+
+
+def fields_of(answers: DataFrame, layers: str) -> DataFrame:
+    at = lambda path: F.get_json_object("response", path)
+    whole = "$.data.structural_summary."
+    return answers.select(
+        "email_id", "status", at("$.success").alias("success"), at(whole + "total_layers").cast("long").alias("total_layers"), at("$.metadata.total_attachments").cast("long").alias("total_attachments"),
+        at(whole + "total_images").cast("long").alias("total_images"), at(whole + "has_nested_emails").alias("nested"), at(layers + "[0].subject").alias("subject"), at(layers + "[0].message_id").alias("message_id"))
+
+
+@query("response_standard_fields", FIELDS)
+def response_standard_fields(spark: SparkSession, d: str) -> DataFrame:
+    return fields_of(response_standard(spark, d), "$.data.layers")
+
+
+@query("response_detailed_fields", FIELDS)
+def response_detailed_fields(spark: SparkSession, d: str) -> DataFrame:
+    return fields_of(response_detailed(spark, d), "$.data.layers")
+
+
+@query("response_llm_fields", FIELDS.replace("SELECT email_id, CAST(200", "SELECT email_id, total_layers, subject FROM (SELECT email_id, CAST(200") + ")")
+def response_llm_fields(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda path: F.get_json_object("response", path)
+    return response_llm(spark, d).select("email_id", at("$.data.email_structure.total_layers").cast("long").alias("total_layers"), at("$.data.threat_content.primary_threat_layers[0].subject").alias("subject"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Raw mails to one summary row for each: parsed, classified, links found, and counted."""
     return render.responses(Engine(spark).parse(nested(spark, d)), "summary")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from mailstruct.config import EngineOptions, Modes, Security
 from mailstruct.plans import render
 from mailstruct.plans.engine import Engine, detector_bodies, invariants
+from mailstruct.sources import mime
 from mailstruct.sources.mime import email_rows, read_message, repaired
 from mailstruct.sources.requests import with_outlook
 
@@ -189,3 +190,30 @@ def test_outlook_files_without_the_library(spark):
     got = {r.path: r for r in with_outlook(files).collect()}
     assert got["b.eml"].error is None and bytes(got["b.eml"].content) == b"y"
     assert got["a.msg"].error.type in ("DependencyError", "EmailParsingError")
+
+
+def test_headers_read_as_by_the_default_policy():
+    import email
+    import email.policy
+
+    raw = "\n".join(["Subject: a  b\tc", "Subject: =?utf-8?q?caf=C3=A9?= x", "From: A <a@b.c>,  d@e.f", "To: undisclosed", "Date: Mon, 1 Jan 2024 00:00:00 +0000", "X-A: folded", "  line", "X-B: caf\u00e9", "Received: from a", "\tby b", "Message-ID: <x@y> ", "Content-Type: text/plain; charset=utf-8", "Bad name: x", "", "body"]).encode()
+    default = email.message_from_bytes(raw, policy=email.policy.default)
+    got = mime.all_headers(read_message(raw))
+    assert [(r["k"], r["v"]) for r in got] == [(k, mime.scalar(str(v))) for k, v in default.items()]
+
+
+def test_links_and_chains_know_where_they_were_found(spark):
+    inner = multi([plain("inner http://a.example/1"), attached("sheet", "s.bin"), attached("img", "i.png", "image/png")], message_id="<in@x>")
+    content = multi([plain("see http://a.example/1"), attached(inner, "x.eml")])
+    mails = spark.createDataFrame([(1, content.encode())], "email_id long, content binary")
+    options = EngineOptions(ocr_reader=lambda data: f"read http://ocr.example/{len(data)}.", image_extractors={"application/octet-stream": lambda data: [("in.png", b"xyz")]}, text_extractors={"application/octet-stream": lambda data: "in file http://file.example/"})
+    got = Engine(spark, options).parse(mails)
+    (row,) = render.responses(got, "llm_optimized").collect()
+    threat = json.loads(row.response)["data"]["threat_content"]
+    assert {"http://a.example/1"} <= {u["url"] for u in threat["all_urls_with_provenance"]}
+    (pattern,) = [p for p in threat["suspicious_content_patterns"] if "s.bin" in p["chain_description"]]
+    assert pattern["pattern_type"] == "url_in_image_in_attachment_in_nested_email" and "embedded_image(in.png)" in pattern["chain_description"]
+    (full,) = render.responses(got, "standard").collect()
+    whole = json.loads(full.response)["data"]["consolidated_content"]
+    assert any(i["source"] == "embedded_image" and i["parent_chain"][-1] == "embedded_image" for i in whole["all_images"])
+    got.release()
