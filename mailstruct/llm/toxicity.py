@@ -36,7 +36,7 @@ SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
 #: that search together, and the bound of what single precision is off by.
 FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 16, 128, 5e-5
 #: Words that a task remembers the terms of, and texts that it remembers the neighbours of.
-REMEMBER, TEXTS = 400_000, 50_000
+REMEMBER, TEXTS = 100_000, 20_000
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -292,19 +292,26 @@ def text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 VECTOR = "terms array<int>, tf array<int>"
 
 
-def vectorise(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """Columns of docs to keep, and the numbers (ascending) and occurrences of the terms of its text; null counts as empty."""
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def vector_rows(vocabulary: list[str], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms = Terms(vocabulary)
+    for batch in batches:
+        rows, numbers, tf = terms.counts(batch.column("_text"))
+        cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (numbers, tf)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], [*keep, "terms", "tf"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(vocabulary)
-        for batch in batches:
-            rows, numbers, tf = terms.counts(batch.column("_text"))
-            cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (numbers, tf)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], [*keep, "terms", "tf"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), text_of().alias("_text")).mapInArrow(run, f"{shape}{', ' if keep else ''}{VECTOR}")
+def shape_of(docs: DataFrame, keep: list[str], more: str) -> str:
+    return ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), more])
+
+
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`") for c in keep), text_of().alias("_text"))
+
+
+def vectorise(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
+    """Columns of docs to keep, and the numbers (ascending) and occurrences of the terms of its text; null counts as empty."""
+    return with_text(docs, keep).mapInArrow(lambda batches: vector_rows(vocabulary, keep, batches), shape_of(docs, keep, VECTOR))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, work: Workspace, keep: list[str], target: str = "toxic", sample: int = SAMPLE) -> tuple[Index, DataFrame]:
@@ -348,25 +355,32 @@ def scorer(held: Broadcast[Index], names: list[str]):
     return run
 
 
+SCORED = "score double, evidence array<struct<example: long, similarity: double, label: int>>"
+
+
+def predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def score_vectors(vectors: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of vectorise() with score, evidence and predicted in place of the vectors."""
     keep = [c for c in vectors.columns if c not in ("terms", "tf")]
-    shape = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
     held = vectors.sparkSession.sparkContext.broadcast(index)
-    out = vectors.mapInArrow(scorer(held, keep), f"{shape}, score double, evidence array<struct<example: long, similarity: double, label: int>>")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return predicted(vectors.mapInArrow(scorer(held, keep), shape_of(vectors, keep, SCORED)), threshold)
 
 
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of docs with score (probability of being toxic), evidence (the examples that vote, with similarity
-    and label) and predicted.
+    and label) and predicted. One Python pass.
 
     Null texts count as empty; texts without any of the index's terms, empty ones too, get the share of toxic examples
     and no evidence. Very long texts are read whole. Equal texts get equal scores; columns of docs named like the results
-    or the vectors' are replaced.
+    are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "evidence", "predicted", "terms", "tf")]
-    return score_vectors(vectorise(docs, index.vocabulary, keep), index, threshold)
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    run = scorer(held, keep)
+    return predicted(with_text(docs, keep).mapInArrow(lambda batches: run(vector_rows(held.value.vocabulary, keep, batches)), shape_of(docs, keep, SCORED)), threshold)
 
 
 def op8_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
