@@ -35,6 +35,8 @@ SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
 #: Terms whose lists have block maxima, examples of a block, blocks that a search scores before it has a k-th best, documents
 #: that search together, and the bound of what single precision is off by.
 FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 16, 128, 5e-5
+#: Texts that are taken apart at a time.
+SLICE = 512
 #: Words that a task remembers the terms of, and texts that it remembers the neighbours of.
 REMEMBER, TEXTS = 100_000, 20_000
 TERM = re.compile(r"[^\W_]+")
@@ -107,6 +109,7 @@ class Index:
         text = pa.decompress(state["vocabulary"][1], state["vocabulary"][0], "zstd").to_pybytes().decode("utf-8", "surrogatepass")
         self.vocabulary = text.split("\n") if text else []
         self.derive()
+        self.tf = None  # only needed to derive the weights
 
     def derive(self) -> None:
         size, sizes = len(self.ids), np.diff(self.row_starts)
@@ -114,7 +117,7 @@ class Index:
         w = (1 + np.log(self.tf)) * self.idf[self.terms]
         self.weights = w / np.sqrt(np.bincount(row, w * w, size))[row]
         by = np.argsort(self.terms, kind="stable")
-        self.rows, self.own = row[by], self.weights[by]
+        self.rows, self.own = row[by].astype(np.int32), self.weights[by].astype(np.float32)
         self.term_starts = np.searchsorted(self.terms[by], np.arange(len(self.vocabulary) + 1))
         n = np.diff(self.term_starts)
         often = np.argsort(-n, kind="stable")[:FREQUENT]
@@ -294,7 +297,7 @@ VECTOR = "terms array<int>, tf array<int>"
 
 def vector_rows(vocabulary: list[str], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms(vocabulary)
-    for batch in batches:
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         rows, numbers, tf = terms.counts(batch.column("_text"))
         cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (numbers, tf)]
