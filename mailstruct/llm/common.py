@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 #: Bits of a map of digests: 8 MB at most.
 BITS = 1 << 26
+#: Module that holds a Python process's caches.
+STORE = "_training_data_cache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +42,22 @@ def fold(doc_id: Column) -> Column:
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     """build() once for each Python process. Functions sent by value have no globals in common, so a module holds it."""
-    store = sys.modules.setdefault("_training_data_cache", types.ModuleType("_training_data_cache")).__dict__
+    store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__
     if key not in store:
         store[key] = build()
     return store[key]
 
 
+def forget() -> None:
+    """Drops what other operators' tasks have cached in this Python process, which Spark uses again for task after task."""
+    store = sys.modules.get(STORE)
+    if store is not None and any(isinstance(key, tuple) for key in store.__dict__):
+        for key in [k for k in store.__dict__ if isinstance(k, tuple)]:
+            del store.__dict__[key]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def maybe_among(digest: Column, digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Adds the column maybe to rows: whether their digest can be among digests. Never wrong if it says no.
 

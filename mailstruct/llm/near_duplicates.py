@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstruct.llm.common import Workspace, table, text_of
+from mailstruct.llm.common import Workspace, forget, table, text_of
 
 WORDS, THRESHOLD, RECALL, HASHES, SEED = 5, 0.8, 0.9999, 256, 11
 #: A block of candidates has about so many texts, and about so many n-grams.
@@ -109,6 +109,7 @@ def signer(bands: int, rows: int, key: pa.DataType):
         """Replaces texts by digest, number of n-grams, band hashes and sketch; texts without words have no bands."""
         import xxhash
 
+        forget()
         random = np.random.default_rng(SEED)
         times = random.integers(0, 2**32, bands * rows, np.uint32) | np.uint32(1)
         plus = random.integers(0, 2**32, bands * rows, np.uint32)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mailstruct.llm.common import fold, table, text_of
+from mailstruct.llm.common import fold, forget, table, text_of
 
 #: Labelled rows that fitting may use, chosen by a hash of their ids.
 SAMPLE = 12_000
@@ -85,6 +85,7 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text_of(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = statistics(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(found[:, i]) for i in range(len(NAMES)))], ["row", *NAMES])

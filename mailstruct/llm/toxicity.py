@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstruct.llm.common import Workspace, fold, table, text_of
+from mailstruct.llm.common import Workspace, fold, forget, table, text_of
 from mailstruct.llm.rules import labelled
 
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
@@ -296,6 +296,7 @@ VECTOR = "terms array<int>, tf array<int>"
 
 
 def vector_rows(vocabulary: list[str], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     terms = Terms(vocabulary)
     for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         rows, numbers, tf = terms.counts(batch.column("_text"))
