@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import tempfile
@@ -54,8 +55,16 @@ def forget() -> None:
     if store is not None and any(isinstance(key, tuple) for key in store.__dict__):
         for key in [k for k in store.__dict__ if isinstance(k, tuple)]:
             del store.__dict__[key]
-        gc.collect()
+    release()
+
+
+def release() -> None:
+    """Gives memory that this Python process has freed back to the system, where the C library can."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def maybe_among(digest: Column, digests: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.llm import tokens
-from mailstruct.llm.common import table, text_of
+from mailstruct.llm.common import release, table, text_of
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -156,6 +156,7 @@ def packer(tokenizer: str, tiers: tuple[int, ...], key: pa.DataType):
     names = ["doc_id", *(c.split()[0] for c in PIECES.split(", "))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encode, base = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 33
         pool, steps, sequence, row = Packer(tiers), Steps(base), base, base
 
