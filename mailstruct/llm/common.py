@@ -61,10 +61,15 @@ def forget() -> None:
 def release() -> None:
     """Gives memory that this Python process has freed back to the system, where the C library can."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for cycles: cheap enough for every batch. Arrow's pool would keep a few batches' size else."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
 
 
 def maybe_among(digest: Column, digests: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstruct.llm.common import Workspace, fold, forget, table, text_of
+from mailstruct.llm.common import Workspace, fold, forget, table, text_of, trim
 from mailstruct.llm.rules import labelled
 
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
@@ -37,37 +37,88 @@ SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
 FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 16, 128, 5e-5
 #: Texts that are taken apart at a time.
 SLICE = 512
-#: Words that a task remembers the terms of, and texts that it remembers the neighbours of.
-REMEMBER, TEXTS = 100_000, 20_000
+#: Texts that a task remembers the neighbours of, and terms and examples that are worked on at a time to save memory.
+TEXTS, CHUNK, EXAMPLES = 20_000, 1 << 15, 1024
 TERM = re.compile(r"[^\W_]+")
 
 
+class Vocabulary:
+    """Distinct terms, numbered by their places. Strings lie in one Arrow array, and are found by a sorted array of their hashes.
+
+    Hashes hold for one process, so they are derived where a vocabulary arrives; equal ones are told apart by the strings.
+    """
+
+    def __init__(self, terms: list[str]):
+        self.terms = pa.array(terms, pa.large_string())
+        self.derive()
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __getstate__(self) -> tuple[int, bytes]:
+        text = pickle.dumps(self.terms)
+        return len(text), pa.compress(text, "zstd", asbytes=True)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.terms = pickle.loads(pa.decompress(state[1], state[0], "zstd"))
+        self.derive()
+
+    def derive(self) -> None:
+        hashes = np.empty(len(self), np.int64)
+        for at in range(0, len(self), CHUNK):
+            some = self.terms.slice(at, CHUNK).to_pylist()
+            hashes[at : at + CHUNK] = np.fromiter(map(hash, some), np.int64, len(some))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.order = hashes[order], order.astype(np.int32)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The number of each word; -1 for words that aren't terms."""
+        out, left = np.full(len(words), -1), np.arange(len(words))
+        wanted, given = np.fromiter(map(hash, words), np.int64, len(words)), pa.array(words, pa.large_string())
+        at = np.searchsorted(self.hashes, wanted)
+        while len(left):
+            inside = at < len(self.hashes)
+            left, at = left[inside], at[inside]
+            same = self.hashes[at] == wanted[left]
+            left, at = left[same], at[same]
+            number = self.order[at]
+            equal = pc.equal(self.terms.take(pa.array(number)), given.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[equal]] = number[equal]
+            left, at = left[~equal], at[~equal] + 1
+        return out
+
+
 class Terms:
     """Occurrences of known terms (or of all) in a batch of texts. A term is a run of letters and digits in lower case."""
 
-    def __init__(self, vocabulary: list[str] | None):
-        self.number = None if vocabulary is None else {t: i for i, t in enumerate(vocabulary)}
-        self.names: list[str] = vocabulary or []
-        self.parts: dict[str, list[int]] = {}
+    def __init__(self, vocabulary: Vocabulary | None):
+        self.vocabulary = vocabulary
+        self.names: list[str] = []
+        self.size = 0 if vocabulary is None else len(vocabulary)
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many known terms each word holds, and their numbers, word by word."""
+        if self.vocabulary is None:
+            number: dict[str, int] = {}
+            parts = [[number.setdefault(t, len(number)) for t in TERM.findall(w)] for w in words]
+            self.names, self.size = list(number), len(number)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            return sizes, np.fromiter((i for p in parts for i in p), np.int64, int(sizes.sum()))
+        # a word is one run, or runs with punctuation between
+        whole = self.vocabulary.find(words)
+        rest = np.flatnonzero(whole < 0)
+        runs = [TERM.findall(words[i]) for i in rest.tolist()]
+        found = self.vocabulary.find([t for r in runs for t in r])
+        word = np.concatenate([np.flatnonzero(whole >= 0), np.repeat(rest, np.fromiter(map(len, runs), np.int64, len(runs)))])
+        flat = np.concatenate([whole[whole >= 0], found])
+        word, flat = word[flat >= 0], flat[flat >= 0]
+        return np.bincount(word, minlength=len(words)), flat[np.argsort(word, kind="stable")]
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, occurrences), sorted by row and term."""
         split = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
         coded = pc.dictionary_encode(split.values)
-        words = coded.dictionary.to_pylist()
-        if self.number is None:
-            number: dict[str, int] = {}
-            parts = [[number.setdefault(t, len(number)) for t in TERM.findall(w)] for w in words]
-            self.names = list(number)
-        else:
-            get, known = self.number.get, self.parts
-            if len(known) > REMEMBER:
-                known.clear()
-            # a word is one run, or runs with punctuation between
-            known.update((w, [i] if (i := get(w)) is not None else [i for t in TERM.findall(w) if (i := get(t)) is not None]) for w in words if w not in known)
-            parts = [known[w] for w in words]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for p in parts for i in p), np.int64, int(sizes.sum()))
+        sizes, flat = self.numbers(coded.dictionary.to_pylist())
         first = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         rows = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
@@ -75,8 +126,8 @@ class Terms:
         codes, rows = codes[some], rows[some]
         n = sizes[codes]
         at = np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs, tf = np.unique(np.repeat(rows, n) * (len(self.names) + 1) + flat[at], return_counts=True)
-        return pairs // (len(self.names) + 1), pairs % (len(self.names) + 1), tf
+        pairs, tf = np.unique(np.repeat(rows, n) * (self.size + 1) + flat[at], return_counts=True)
+        return pairs // (self.size + 1), pairs % (self.size + 1), tf
 
 
 def spans(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,55 +137,73 @@ def spans(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Examples by their terms (terms, weights in row_starts), the same by term (rows, own in term_starts), and the frequent terms as a matrix.
+    """Examples by their terms (terms and occurrences in row_starts), their rare terms by term (rows, own in term_starts), and the frequent terms as a matrix.
 
-    Only the examples' terms and their occurrences are sent, compressed; the rest is derived where it arrives.
+    Only the examples' terms and their occurrences are sent, compressed; the rest is derived where it arrives, some examples at a time.
     """
 
     SENT = ("row_starts", "terms", "tf", "idf", "ids", "labels")
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row_starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, prior: float):
-        self.vocabulary, self.idf, self.ids, self.labels, self.row_starts, self.terms, self.tf = vocabulary, idf, ids, labels, row_starts, terms, tf
+        self.vocabulary, self.idf, self.ids, self.labels, self.row_starts, self.terms = Vocabulary(vocabulary), idf, ids, labels, row_starts, terms
+        self.tf = tf.astype(np.min_scalar_type(tf.max(initial=1)))
         self.prior, self.knots = prior, (np.zeros(1), np.array([prior]))
         self.derive()
 
     def __getstate__(self) -> dict:
-        packed = {c: pickle.dumps(getattr(self, c)) for c in self.SENT} | {"vocabulary": "\n".join(self.vocabulary).encode("utf-8", "surrogatepass")}
-        return {c: (len(x), pa.compress(x, "zstd", asbytes=True)) for c, x in packed.items()} | {"prior": self.prior, "knots": self.knots}
+        packed = {c: pickle.dumps(getattr(self, c)) for c in self.SENT}
+        return {c: (len(x), pa.compress(x, "zstd", asbytes=True)) for c, x in packed.items()} | {"vocabulary": self.vocabulary, "prior": self.prior, "knots": self.knots}
 
     def __setstate__(self, state: dict) -> None:
-        self.prior, self.knots = state["prior"], state["knots"]
+        self.vocabulary, self.prior, self.knots = state["vocabulary"], state["prior"], state["knots"]
         for c in self.SENT:
-            setattr(self, c, pickle.loads(pa.decompress(state[c][1], state[c][0], "zstd")))
-        text = pa.decompress(state["vocabulary"][1], state["vocabulary"][0], "zstd").to_pybytes().decode("utf-8", "surrogatepass")
-        self.vocabulary = text.split("\n") if text else []
+            size, packed = state.pop(c)
+            setattr(self, c, pickle.loads(pa.decompress(packed, size, "zstd")))
         self.derive()
-        self.tf = None  # only needed to derive the weights
 
     def derive(self) -> None:
-        size, sizes = len(self.ids), np.diff(self.row_starts)
-        row = np.repeat(np.arange(size), sizes)
-        w = (1 + np.log(self.tf)) * self.idf[self.terms]
-        self.weights = w / np.sqrt(np.bincount(row, w * w, size))[row]
-        by = np.argsort(self.terms, kind="stable")
-        self.rows, self.own = row[by].astype(np.int32), self.weights[by].astype(np.float32)
-        self.term_starts = np.searchsorted(self.terms[by], np.arange(len(self.vocabulary) + 1))
-        n = np.diff(self.term_starts)
+        size, known = len(self.ids), len(self.vocabulary)
+        self.loudness = 1 + np.log(np.maximum(np.arange(int(self.tf.max(initial=1)) + 1), 1))
+        n = np.bincount(self.terms, minlength=known)
         often = np.argsort(-n, kind="stable")[:FREQUENT]
         often = often[n[often] > size // 100]
-        self.dense = np.zeros(len(self.vocabulary))
-        self.column = np.full(len(self.vocabulary), -1)
+        self.dense = np.zeros(known)
+        self.column = np.full(known, -1, np.int16)
         self.column[often] = np.arange(len(often))
-        at = self.column[self.terms]
         self.matrix = np.zeros((size, len(often)), np.float32)
-        self.matrix[row[at >= 0], at[at >= 0]] = self.weights[at >= 0]
+        self.norms = np.empty(size)
+        n[often] = 0
+        self.term_starts = np.concatenate([[0], np.cumsum(n)])
+        rows, own, done = np.empty(self.term_starts[-1], np.int32), np.empty(self.term_starts[-1], np.float32), 0
+        for some in (slice(at, min(at + EXAMPLES, size)) for at in range(0, size, EXAMPLES)):
+            row = np.repeat(np.arange(some.start, some.stop), np.diff(self.row_starts[some.start : some.stop + 1]))
+            at = slice(self.row_starts[some.start], self.row_starts[some.stop])
+            w = self.loudness[self.tf[at]] * self.idf[self.terms[at]]
+            self.norms[some] = np.sqrt(np.bincount(row - some.start, w * w, some.stop - some.start))
+            w /= self.norms[row]
+            column = self.column[self.terms[at]]
+            rare = column < 0
+            self.matrix[row[~rare], column[~rare]] = w[~rare]
+            end = done + int(rare.sum())
+            rows[done:end], own[done:end], done = row[rare], w[rare], end
+        by = np.argsort(self.terms[self.column[self.terms] < 0], kind="stable")
+        self.rows, self.own = rows[by], own[by]
         self.block_starts = np.arange(0, size, BLOCK)
         self.maxima = np.maximum.reduceat(self.matrix, self.block_starts).T if size else np.zeros((len(often), 0), np.float32)
         self.scored = self.asked = 0
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return list(zip(np.split(self.rows, self.term_starts[1:-1]), np.split(self.own, self.term_starts[1:-1]), strict=True))
+        """The examples of each term, and its weights in them; of frequent terms too."""
+        out = list(zip(np.split(self.rows, self.term_starts[1:-1]), np.split(self.own, self.term_starts[1:-1]), strict=True))
+        for term in np.flatnonzero(self.column >= 0):
+            weights = self.matrix[:, self.column[term]]
+            out[term] = np.flatnonzero(weights), weights[weights > 0]
+        return out
+
+    def weights(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The weights at places of terms, which lie in these rows."""
+        return self.loudness[self.tf[at]] * self.idf[self.terms[at]] / self.norms[row]
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[terms]
@@ -194,7 +263,7 @@ class Index:
         """The k best of the examples found, by cosines worked out in full."""
         at, counts = spans(self.row_starts, found)
         self.dense[terms] = weights
-        exact = np.bincount(np.repeat(np.arange(len(found)), counts), self.dense[self.terms[at]] * self.weights[at], len(found))
+        exact = np.bincount(np.repeat(np.arange(len(found)), counts), self.dense[self.terms[at]] * self.weights(at, np.repeat(found, counts)), len(found))
         self.dense[terms] = 0
         found, exact = found[exact > 1e-8], exact[exact > 1e-8]
         best = np.lexsort((self.ids[found], -np.round(exact, 12)))[:k]
@@ -276,7 +345,7 @@ def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataF
     flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32) for c in ("terms", "tf")]
     row_starts = np.concatenate([[0], np.cumsum(some.terms.map(len).to_numpy(np.int64))])
     index = Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
-    vectors = [(index.terms[a:b], index.weights[a:b]) for a, b in zip(row_starts[:-1], row_starts[1:], strict=True)]
+    vectors = [(index.terms[a:b], index.weights(np.arange(a, b), i)) for i, (a, b) in enumerate(zip(row_starts[:-1], row_starts[1:], strict=True))]
     votes = np.array([index.vote(*near) if len(near[0]) else np.nan for near in index.nearest_all(vectors, NEIGHBOURS, but=0)])
     known = ~np.isnan(votes)
     if known.any():
@@ -295,13 +364,15 @@ def text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 VECTOR = "terms array<int>, tf array<int>"
 
 
-def vector_rows(vocabulary: list[str], keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vector_rows(vocabulary: Vocabulary, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
     terms = Terms(vocabulary)
     for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         rows, numbers, tf = terms.counts(batch.column("_text"))
         cuts = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (numbers, tf)]
+        del rows, numbers, tf
+        trim()
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists], [*keep, "terms", "tf"])
 
 
@@ -313,7 +384,7 @@ def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in keep), text_of().alias("_text"))
 
 
-def vectorise(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
+def vectorise(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """Columns of docs to keep, and the numbers (ascending) and occurrences of the terms of its text; null counts as empty."""
     return with_text(docs, keep).mapInArrow(lambda batches: vector_rows(vocabulary, keep, batches), shape_of(docs, keep, VECTOR))
 
@@ -324,11 +395,12 @@ def train_on(docs: DataFrame, labels: DataFrame, work: Workspace, keep: list[str
     rows = work.write(labelled(docs, labels, target, sample).select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "text"), "examples")
     found = rows.mapInArrow(text_terms, "term string").distinct().toArrow()
     vocabulary = sorted(found.column("term").to_pylist())
-    vectors = work.write(vectorise(docs, vocabulary, keep), "vectors")
+    held = Vocabulary(vocabulary)
+    vectors = work.write(vectorise(docs, held, keep), "vectors")
     counts = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
     df = np.zeros(len(vocabulary))
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
-    examples = vectorise(rows, vocabulary, ["doc_id", "y"]).toArrow().to_pandas()
+    examples = vectorise(rows, held, ["doc_id", "y"]).toArrow().to_pandas()
     return build(vocabulary, df, vectors.count(), examples), vectors
 
 
