@@ -30,7 +30,10 @@ RESULT = "text string, links array<string>, has_markup boolean"
 
 
 class Reader(HTMLParser):
-    """Renders what is visible; all hrefs come before all srcs, as in document order of each."""
+    """Renders what is visible; all hrefs come before all srcs, as in document order of each.
+
+    What opens with <? or <! or </ and no name is a comment up to the first >, as it is in browsers: a tag inside is none, nor is its link.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.config import EngineOptions
-from mailstruct.functions import carrier, errors, html, text, urls
+from mailstruct.functions import carrier, errors, headers, html, text, urls
 from mailstruct.operators import relate, summary
 from mailstruct.plans.scratch import Scratch
 from mailstruct.sources.mime import email_parts
@@ -200,6 +200,20 @@ class Engine:
         keep = [c for c in roots.columns if c in ("plain", "html")]
         return roots.select(*KEY, "layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"), carrier.details(header(h, "subject"), blob(h), self.options.modes.vendor_headers).alias("carrier"), *keep)
 
+    def outer(self, mails: DataFrame, parse_rest: bool = True) -> DataFrame:
+        """email_id and the columns of the mails' own headers, read by column expressions alone; no part is looked at.
+
+        Mails with a header whose reading isn't certain go to the parser; without parse_rest these headers stay as written.
+        """
+        read = mails.select(F.col("email_id").cast("long").alias("email_id"), "content", headers.outer_headers(F.col("content")).alias("o"))
+        found = read.select("email_id", "o.*").where("certain" if parse_rest else "true").select("email_id", "headers")
+        if parse_rest:
+            rest = self.parts(read.where("not o.certain").select("email_id", "content"), with_payload=False)
+            found = found.unionAll(rest.where("part_seq = 0 and layer_seq = 0").select("email_id", "headers"))
+        h = F.col("headers")
+        named = [header(h, n).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS]
+        return found.select("email_id", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"))
+
     def layers(self, parts: DataFrame) -> DataFrame:
         """All columns of layers. A layer's body is its last plain and its last markup part; markup also gives text and links."""
         scope = F.lit(True) if self.options.modes.body_scope == "walk" else F.col("own")

@@ -13,8 +13,10 @@ from mailstruct.operators import dedup, relate, summary
 from mailstruct.plans import render
 from mailstruct.plans.engine import Engine, detector_bodies
 from mailstruct.plans.fixtures import cte, fixture
-from mailstruct.sources import requests
+from mailstruct.plans.scratch import Scratch
+from mailstruct.sources import eml, requests
 from mailstruct.sources.mime import email_parts, spread
+from mailstruct.sources.sink import PayloadSink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,26 +668,55 @@ def flat_sql(x: str) -> str:
 ONE = cte("mail_layers") + ", o AS (SELECT email_id * 1000 + layer_seq AS email_id, " + flat_sql("subject") + " AS subject, from_addr, date, message_id, plain_text FROM mail_layers)\n"
 
 
-@query("eml_headers", ONE + "SELECT email_id, subject, from_addr, date, message_id, '' AS cc FROM o")
+#: Mails whose headers are folded, encoded, repeated and written in other than their normal form.
+HEADED = cte("mail_layers") + ", o AS (SELECT *, email_id * 1000 + layer_seq AS id, " + flat_sql("subject") + " AS flat FROM mail_layers)\n"
+
+
+def headed(spark: SparkSession, d: str) -> DataFrame:
+    whole = flat(F.col("subject"))
+    word = lambda x: F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode(x, "UTF-8")), r"\s", ""), F.lit("?="))
+    coded = F.concat(word(F.left(whole, F.lit(10))), F.lit("\r\n "), word(F.substr(whole, F.lit(11))))
+    subject = F.when(F.col("email_id") % 2 == 0, coded).otherwise(F.regexp_replace(whole, " ", "\r\n "))
+    hop = lambda i: F.concat(F.lit("Received: from h"), F.col("email_id").cast("string"), F.lit("\r\n\tby mx"), i.cast("string"), F.lit(";\r\n Mon\r\n"))
+    hops = F.array_join(F.transform(F.sequence(F.lit(0), F.col("layer_seq") % 3), hop), "")
+    head = F.concat(
+        F.lit("Subject: "), subject, F.lit('\r\nFrom: "R, '), F.split_part("from_addr", F.lit("@"), F.lit(1)), F.lit('"   <'), F.col("from_addr"), F.lit(">\r\nCc: A  B <a@example.com>,c@example.org\r\nDate: "),
+        F.replace("date", F.lit(", 0"), F.lit(", ")), F.lit("\r\nMessage-ID: "), F.col("message_id"), F.lit("\r\n"), hops, F.lit("X-A: first\r\nx-b: =?iso-8859-1?q?=E9_"), F.col("layer_seq").cast("string"),
+        F.lit("?=\r\nX-A:"), F.col("email_id").cast("string"), F.when(F.col("layer_seq") % 2 == 0, F.lit("\r\nX-C: c")).otherwise(""), F.lit("\r\n\r\nX-Body: no\r\n"))
+    rows = mails(spark, d).select((F.col("email_id") * 1000 + F.col("layer_seq")).alias("email_id"), F.encode(F.concat(head, F.col("plain_text")), "UTF-8").alias("content"))
+    return Engine(spark).outer(rows, parse_rest=False)
+
+
+@query("eml_headers", HEADED + "SELECT id AS email_id, flat AS subject, concat('\"R, ', string_split(from_addr, '@')[1], '\" <', from_addr, '>') AS from_addr, date, message_id, 'A B <a@example.com>, c@example.org' AS cc FROM o")
 def eml_headers(spark: SparkSession, d: str) -> DataFrame:
-    engine = Engine(spark)
-    parts = engine.parts(single(spark, d), with_payload=False).where("error is null and part_seq = 0")
-    return engine.headers(parts).select("email_id", "subject", "from_addr", "date", "message_id", "cc")
+    return headed(spark, d).select("email_id", "subject", "from_addr", "date", "message_id", "cc")
 
 
-@query("eml_received", ONE + "SELECT email_id, 'from a|from b' AS received FROM o")
+@query("eml_received", HEADED + "SELECT id AS email_id, array_to_string(list_transform(range(0, layer_seq % 3 + 1), lambda i: concat('from h', o.email_id, chr(9), 'by mx', i, '; Mon')), '|') AS received FROM o")
 def eml_received(spark: SparkSession, d: str) -> DataFrame:
-    from mailstruct.plans.engine import all_values
+    return headed(spark, d).select("email_id", F.array_join("received", "|").alias("received"))
 
-    return email_parts(single(spark, d), with_payload=False).where("part_seq = 0").select("email_id", F.array_join(all_values(F.col("headers"), "received"), "|").alias("received"))
 
-
-@query("eml_xheaders", ONE + "SELECT email_id, '3' AS a, 'two' AS b, CAST(3 AS INT) AS n FROM o")
+@query("eml_xheaders", HEADED + "SELECT id AS email_id, CAST(email_id AS VARCHAR) AS a, concat('é ', layer_seq) AS b, CAST(CASE WHEN layer_seq % 2 = 0 THEN 3 ELSE 2 END AS INT) AS n FROM o")
 def eml_xheaders(spark: SparkSession, d: str) -> DataFrame:
-    from mailstruct.plans.engine import extension_headers
+    return headed(spark, d).select("email_id", F.col("x_headers")["X-A"].alias("a"), F.col("x_headers")["x-b"].alias("b"), F.size("x_headers").alias("n"))
+
+
+#: What follows the sink's and the source's way: each different mail is a file by its digest, and the larger of some folders are read again.
+SCANNED = ONE + """, m AS (SELECT concat('Subject: ', subject, chr(10), 'From: ', from_addr, chr(10), chr(10), plain_text) AS mail, subject, from_addr FROM o)
+SELECT DISTINCT sha256(mail) AS digest, CAST(strlen(mail) AS BIGINT) AS size, subject, from_addr FROM m WHERE strlen(mail) >= 300"""
+
 
-    x = email_parts(single(spark, d), with_payload=False).where("part_seq = 0").select("email_id", extension_headers(F.col("headers")).alias("x"))
-    return x.select("email_id", F.col("x")["X-A"].alias("a"), F.col("x")["x-b"].alias("b"), F.size("x").alias("n"))
+@query("eml_scan", SCANNED)
+def eml_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Mails written as files by the payload sink, and scanned by size and path."""
+    content = F.concat(F.lit("Subject: "), flat(F.col("subject")), F.lit("\nFrom: "), F.col("from_addr"), F.lit("\n\n"), F.col("plain_text"))
+    spark.dataSource.register(PayloadSink)
+    folder = Scratch(spark).root
+    mails(spark, d).select(F.encode(content, "UTF-8").alias("payload")).write.format("payloads").option("suffix", ".eml").mode("append").save(folder)
+    found = eml.scan(spark, folder, min_size=300, path_like="*/*.eml")
+    heads = Engine(spark).outer(found.select("email_id", "content")).select("email_id", "subject", "from_addr")
+    return found.select("email_id", "size", F.regexp_extract("path", r"([0-9a-f]{64})\.eml$", 1).alias("digest")).join(heads, "email_id").select("digest", "size", "subject", "from_addr")
 
 
 @query("eml_body", ONE + "SELECT email_id, plain_text AS final_text, plain_text <> '' AS has_plain, false AS has_html FROM o")

@@ -68,6 +68,10 @@ STRUCTURED = frozenset(n for n, kind in email.policy.default.header_factory.regi
 POLICY = ReadPolicy()
 
 
+#: Compressed input for one parsing task, and sizes from which on Spark doesn't know a size.
+TASK_BYTES, UNKNOWN = 32 << 20, 1 << 62
+
+
 class DepthError(ValueError):
     """A layer lies deeper than allowed; the whole mail fails."""
 
@@ -328,12 +332,24 @@ def parser(max_depth: int, recursive: bool, with_payload: bool, max_bytes: int):
     return run
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """Bytes of the files that rows are read from, as far as Spark knows them."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < UNKNOWN)
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt evenly over the cluster's tasks: what reads them is bound by processors, and files may be few and uneven."""
+    """Rows dealt evenly over tasks: what reads them is bound by processors, and files may be few and uneven.
+
+    At least as many tasks as the rows had before where that is known, as the cluster runs at once, and as TASK_BYTES of input ask for.
+    """
     spark = rows.sparkSession
     if rows.isStreaming:
         return rows
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    given = rows._jdf.queryExecution().sparkPlan().outputPartitioning().numPartitions()  # noqa: SLF001
+    by_size = -(-input_bytes(rows) // TASK_BYTES)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), given, by_size), *keys)
 
 
 def email_parts(mails: DataFrame, max_depth: int = 10, recursive_eml: bool = False, with_payload: bool = True, max_file_size_mb: int = 50) -> DataFrame:
