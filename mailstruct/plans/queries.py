@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct import config
 from mailstruct.functions import carrier, errors, html, text, urls
-from mailstruct.operators import dedup, relate, summary
+from mailstruct.operators import dedup, lineage, relate, seen, summary
 from mailstruct.plans import render
 from mailstruct.plans.engine import Engine, detector_bodies
 from mailstruct.plans.fixtures import cte, fixture
@@ -314,6 +315,24 @@ def url_expand_table(spark: SparkSession, d: str) -> DataFrame:
     return urls.expand(rows, known).select("pos", "original_url", "expanded_url")
 
 
+#: Chains of up to seven hops, with circles of two in which some of them end.
+REDIRECTS = """p AS (SELECT DISTINCT page_id AS n FROM pages WHERE page_id IS NOT NULL),
+known AS (SELECT concat('https://bit.ly/', CAST(n AS STRING)) AS short, CASE WHEN n % 50 = 13 THEN concat('https://bit.ly/', CAST(n + 1 AS STRING)) WHEN n % 7 = 0 AND n % 50 <> 14 THEN concat('https://long.example/', CAST(n AS STRING)) ELSE concat('https://bit.ly/', CAST(n - 1 AS STRING)) END AS long FROM p)"""
+
+
+@query(
+    "redirect_chains",
+    "WITH RECURSIVE " + REDIRECTS + """, hop AS (SELECT short, long AS final, 1 AS hops, [short] AS path FROM known UNION ALL
+  SELECT hop.short, known.long, hops + 1, list_append(path, hop.final) FROM hop JOIN known ON known.short = hop.final WHERE NOT list_contains(path, hop.final)),
+last AS (SELECT * FROM hop QUALIFY row_number() OVER (PARTITION BY short ORDER BY hops DESC) = 1), found AS (SELECT *, list_contains(path, final) AS circle FROM last)
+SELECT short AS original_url, CASE WHEN circle OR hops > 5 THEN 'Not Applicable' ELSE final END AS expanded_url, CASE WHEN NOT circle THEN CAST(hops AS BIGINT) ELSE -1 END AS hops, CASE WHEN circle THEN 'loop' WHEN hops > 5 THEN 'too_many' ELSE 'ok' END AS status FROM found""",
+)
+def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.sql("WITH " + REDIRECTS.replace("FROM pages", "FROM {pages}") + " SELECT short, long FROM known", pages=spark.read.parquet(f"{d}/pages.parquet"))
+    asked = known.select(F.col("short").alias("original_url")).withColumn("is_shortened", urls.is_shortened(F.col("original_url")))
+    return lineage.expand_to_end(asked, known, Scratch(spark), 5).select("original_url", "expanded_url", F.coalesce("hops", F.lit(-1)).cast("long").alias("hops"), F.col("redirect_status").alias("status"))
+
+
 # --- carriers ---------------------------------------------------------------------------------------------------------
 
 VENDOR_SQL = "CASE " + " ".join(f"WHEN {matched('subject', s)} OR {matched('headers', '(?m)^' + h, 'i')} THEN {quoted(v)}" for v, (s, h) in carrier.VENDORS.items()) + " END"
@@ -484,6 +503,29 @@ def unseen_attachments(spark: SparkSession, d: str) -> DataFrame:
     return dedup.unseen(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1"), ["sha256"]).select("idx")
 
 
+@query("seen_runs", cte("mail_attachments") + "SELECT idx, CAST(idx % 3 AS INT) AS run FROM mail_attachments QUALIFY row_number() OVER (PARTITION BY sha256(content) ORDER BY idx % 3, idx) = 1")
+def seen_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs over parts of a corpus: each content is kept by the first run that meets it."""
+    rows, store, out = attachments(spark, d).select("idx", F.unhex("sha256").alias("sha")), seen.SeenSet(spark, Scratch(spark).root), None
+    for run in range(3):
+        kept = store.keep_new(rows.where(F.col("idx") % 3 == run), F.col("sha"), ["idx"], str(run), datetime(2024, 1, 1 + run))
+        kept = kept.select("idx", F.lit(run).alias("run"))
+        out = kept if out is None else out.unionAll(kept)
+    return out
+
+
+@query("seen_stream", cte("mail_attachments") + "SELECT sha256(content) AS digest, idx FROM mail_attachments QUALIFY row_number() OVER (PARTITION BY sha256(content) ORDER BY idx % 3, idx) = 1")
+def seen_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream that stops after each part and takes up where it stopped."""
+    rows, work = attachments(spark, d).select(F.col("sha256").alias("digest"), "idx"), Scratch(spark)
+    seen.use_rocksdb(spark)
+    for run in range(3):
+        rows.where(F.col("idx") % 3 == run).write.mode("append").parquet(f"{work.root}/arrived")
+        first = seen.first_seen(spark.readStream.schema(rows.schema).parquet(f"{work.root}/arrived"), ["idx"])
+        first.writeStream.format("parquet").option("path", f"{work.root}/first").option("checkpointLocation", f"{work.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{work.root}/first")
+
+
 @query("running_index", cte("mail_attachments") + "SELECT email_id, layer_seq, idx, CAST(row_number() OVER (PARTITION BY email_id, layer_seq ORDER BY idx) AS INT) AS place FROM mail_attachments WHERE content <> ''")
 def running_index(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
@@ -529,6 +571,34 @@ def back_ref(spark: SparkSession, d: str) -> DataFrame:
     return relate.parent_references(references(spark, d)).select(*LAYER, "parent_seq", "via_attachment")
 
 
+#: Layers as deep trees: each hangs on one of the three before it.
+TREES = "t AS (SELECT email_id, layer_seq, CAST(CASE WHEN layer_seq > 0 THEN greatest(0, layer_seq - 1 - layer_seq % 3) END AS INT) AS parent_layer_seq FROM mail_layers)"
+
+
+@query(
+    "layer_ancestry",
+    cte("mail_layers").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + TREES + """, up AS (SELECT email_id, layer_seq, parent_layer_seq AS ancestor_seq, 1 AS distance, concat(layer_seq, '>', parent_layer_seq) AS path FROM t WHERE parent_layer_seq IS NOT NULL
+  UNION ALL SELECT up.email_id, up.layer_seq, t.parent_layer_seq, distance + 1, concat(path, '>', t.parent_layer_seq) FROM up JOIN t ON t.email_id = up.email_id AND t.layer_seq = up.ancestor_seq WHERE t.parent_layer_seq IS NOT NULL)
+SELECT email_id, layer_seq, ancestor_seq, distance, path FROM up""",
+)
+def layer_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.ancestry(trees(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("WITH " + TREES.replace("FROM mail_layers", "FROM {mail_layers}") + " SELECT * FROM t", mail_layers=mails(spark, d))
+
+
+@query(
+    "layer_paths",
+    cte("mail_layers").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + TREES + """, down AS (SELECT email_id, layer_seq, layer_seq AS root_seq, 0 AS depth, CAST(layer_seq AS VARCHAR) AS path FROM t WHERE parent_layer_seq IS NULL
+  UNION ALL SELECT t.email_id, t.layer_seq, root_seq, depth + 1, concat(path, '>', t.layer_seq) FROM down JOIN t ON t.email_id = down.email_id AND t.parent_layer_seq = down.layer_seq)
+SELECT email_id, layer_seq, root_seq, depth, path FROM down""",
+)
+def layer_paths(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.whole_paths(trees(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
 def chained(spark: SparkSession, d: str) -> DataFrame:
     """Chains of all links on all images of all attachments."""
     parents = relate.parent_references(references(spark, d)).select(*LAYER, "parent_depth", "via_attachment")
@@ -669,7 +739,7 @@ ONE = cte("mail_layers") + ", o AS (SELECT email_id * 1000 + layer_seq AS email_
 
 
 #: Mails whose headers are folded, encoded, repeated and written in other than their normal form.
-HEADED = cte("mail_layers") + ", o AS (SELECT *, email_id * 1000 + layer_seq AS id, " + flat_sql("subject") + " AS flat FROM mail_layers)\n"
+HEADED = cte("mail_layers") + ", o AS (SELECT *, email_id AS mail, email_id * 1000 + layer_seq AS id, " + flat_sql("subject") + " AS flat FROM mail_layers)\n"
 
 
 def headed(spark: SparkSession, d: str) -> DataFrame:
@@ -692,7 +762,7 @@ def eml_headers(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d).select("email_id", "subject", "from_addr", "date", "message_id", "cc")
 
 
-@query("eml_received", HEADED + "SELECT id AS email_id, array_to_string(list_transform(range(0, layer_seq % 3 + 1), lambda i: concat('from h', o.email_id, chr(9), 'by mx', i, '; Mon')), '|') AS received FROM o")
+@query("eml_received", HEADED + "SELECT id AS email_id, array_to_string(list_transform(range(0, layer_seq % 3 + 1), lambda i: concat('from h', mail, chr(9), 'by mx', i, '; Mon')), '|') AS received FROM o")
 def eml_received(spark: SparkSession, d: str) -> DataFrame:
     return headed(spark, d).select("email_id", F.array_join("received", "|").alias("received"))
 

@@ -35,3 +35,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
         except Exception:  # noqa: BLE001  the session has ended, and with it the means to delete
             pass
+
+
+def file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there  # noqa: SLF001
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, there = file_system(spark, path)
+    return store.exists(there)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, there = file_system(spark, path)
+    store.delete(there, True)
