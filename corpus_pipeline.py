@@ -33,17 +33,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates: that with the smallest id. Rows without an id all stay."""
+    """Keeps one document of each class of near duplicates: that with the smallest id, and of rows that share it one of that class's texts.
+
+    Rows with one id and unlike texts belong to classes of their own, and each class keeps one. Rows without an id all stay. Null texts
+    count as empty, and empty texts are copies of each other; repeated rows leave one. An empty table stays empty; columns other than those of
+    documents go.
+    """
     table(spark, sf_dir, "documents")
     docs = docs.select(*COLUMNS)
     work = Workspace(spark)
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), work)
-    keep = Workspace(spark).write(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
+    # where rows share ids, a row goes by its id and its text's digest
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
+    docs = docs.withColumn("mark", F.struct("doc_id", F.sha2(text_of(), 256).alias("digest")) if ids else F.col("doc_id"))
+    found = near_duplicates.near_duplicates(docs.where("doc_id is not null").select(F.col("mark").alias("doc_id"), "text"), work)
+    keep = Workspace(spark).write(found.where("doc_id = class_id").select(F.col("doc_id").alias("mark")).distinct(), "keep")
     work.clear()
-    kept = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if keep.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null")).select(*COLUMNS)
+    kept = docs.where("doc_id is not null").join(keep.hint("merge"), "mark", "left_semi")
+    if ids:
+        kept = kept.dropDuplicates(["mark"])
+    return kept.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
