@@ -753,8 +753,9 @@ def headed(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Subject: "), subject, F.lit('\r\nFrom: "R, '), F.split_part("from_addr", F.lit("@"), F.lit(1)), F.lit('"   <'), F.col("from_addr"), F.lit(">\r\nCc: A  B <a@example.com>,c@example.org\r\nDate: "),
         F.replace("date", F.lit(", 0"), F.lit(", ")), F.lit("\r\nMessage-ID: "), F.col("message_id"), F.lit("\r\n"), hops, F.lit("X-A: first\r\nx-b: =?iso-8859-1?q?=E9_"), F.col("layer_seq").cast("string"),
         F.lit("?=\r\nX-A:"), F.col("email_id").cast("string"), F.when(F.col("layer_seq") % 2 == 0, F.lit("\r\nX-C: c")).otherwise(""), F.lit("\r\n\r\nX-Body: no\r\n"))
-    rows = mails(spark, d).select((F.col("email_id") * 1000 + F.col("layer_seq")).alias("email_id"), F.encode(F.concat(head, F.col("plain_text")), "UTF-8").alias("content"))
-    return Engine(spark).outer(rows, parse_rest=False)
+    # under a name of its own: inside a lambda an alias of the same select would hide the column
+    rows = mails(spark, d).select((F.col("email_id") * 1000 + F.col("layer_seq")).alias("id"), F.encode(F.concat(head, F.col("plain_text")), "UTF-8").alias("content"))
+    return Engine(spark).outer(rows.withColumnRenamed("id", "email_id"), parse_rest=False)
 
 
 @query("eml_headers", HEADED + "SELECT id AS email_id, flat AS subject, concat('\"R, ', string_split(from_addr, '@')[1], '\" <', from_addr, '>') AS from_addr, date, message_id, 'A B <a@example.com>, c@example.org' AS cc FROM o")
