@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mailstruct.config import EngineOptions
-from mailstruct.functions import carrier, errors, headers, html, text, urls
+from mailstruct.functions import carrier, deadline, errors, headers, html, text, urls
 from mailstruct.operators import relate, summary
 from mailstruct.plans.scratch import Scratch
 from mailstruct.sources.mime import email_parts
@@ -44,27 +44,30 @@ def blob(headers: Column) -> Column:
     return F.array_join(F.transform(headers, lambda h: F.concat(h["k"], F.lit(":"), h["v"])), "\n")
 
 
-def read_off(reader, image: bytes | None, largest: int) -> str | None:
-    """The text that the supplied reader finds on an image of at most so many bytes; a reader's failure leaves it without text."""
+def read_off(reader, image: bytes | None, largest: int) -> tuple[str | None, str | None]:
+    """(text, error): what the supplied reader finds on an image of at most so many bytes; its failure leaves the image without text."""
     if reader is None or not image or len(image) > largest:
-        return None
+        return None, None
     try:
-        return (reader(bytes(image)) or "").strip() or None
-    except Exception:  # noqa: BLE001
-        return None
+        return (reader(bytes(image)) or "").strip() or None, None
+    except Exception as e:  # noqa: BLE001
+        return None, deadline.problem(e)
 
 
 def with_ocr(images: DataFrame, options: EngineOptions) -> DataFrame:
-    """ocr_text by the supplied reader, capped; null without one."""
+    """ocr_text by the supplied reader, capped, and ocr_error; both null without one. A reader that takes longer than ocr.timeout_seconds
+    for an image is stopped, and the next image gets a new one."""
     reader, largest = options.ocr_reader if options.ocr.enabled else None, options.ocr.max_image_size_mb << 20
     if reader is None:
-        return images.withColumn("ocr_text", F.lit(None).cast("string"))
+        return images.withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_error": F.lit(None).cast("string")})
+    limited = deadline.Limited(reader, options.ocr.timeout_seconds)
 
-    @F.pandas_udf("string")
-    def read(payloads: pd.Series) -> pd.Series:
-        return payloads.map(lambda data: read_off(reader, data, largest))
+    @F.pandas_udf("text string, error string")
+    def read(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_off(limited, data, largest) for data in payloads], columns=["text", "error"])
 
-    return images.withColumn("ocr_text", text.cap(read("payload"), options.processing.max_ocr_text_length))
+    out = images.withColumn("_ocr", read("payload"))
+    return out.withColumns({"ocr_text": text.cap(F.col("_ocr.text"), options.processing.max_ocr_text_length), "ocr_error": F.col("_ocr.error")}).drop("_ocr")
 
 
 def with_text(attachments: DataFrame, options: EngineOptions) -> DataFrame:
@@ -94,12 +97,13 @@ def with_embedded(attachments: DataFrame, options: EngineOptions) -> DataFrame:
         found = F.array().cast(kind)
     else:
         largest = options.ocr.max_image_size_mb << 20
+        limited = None if reader is None else deadline.Limited(reader, options.ocr.timeout_seconds)
 
         @F.pandas_udf(kind)
         def extract(kinds: pd.Series, payloads: pd.Series) -> pd.Series:
             def one(kind, data):
                 try:
-                    return [{"filename": name, "size": len(image), "ocr_text": read_off(reader, image, largest)} for name, image in extractors[kind](bytes(data))] if kind in extractors else []
+                    return [{"filename": name, "size": len(image), "ocr_text": read_off(limited, image, largest)[0]} for name, image in extractors[kind](bytes(data))] if kind in extractors else []
                 except Exception:  # noqa: BLE001  a file that can't be read holds no images
                     return []
 
@@ -133,11 +137,13 @@ def resolved(links: DataFrame, options: EngineOptions) -> DataFrame:
     if resolver is None:
         return links
 
+    limited = deadline.Limited(resolver, options.urls.expansion_timeout)
+
     @F.pandas_udf("string")
     def look_up(found: pd.Series) -> pd.Series:
         def one(url):
             try:
-                return resolver(url)
+                return limited(url)
             except Exception:  # noqa: BLE001  a link that can't be resolved stays
                 return None
 

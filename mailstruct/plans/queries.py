@@ -15,7 +15,7 @@ from mailstruct.plans import render
 from mailstruct.plans.engine import Engine, detector_bodies
 from mailstruct.plans.fixtures import cte, fixture
 from mailstruct.plans.scratch import Scratch
-from mailstruct.sources import eml, requests
+from mailstruct.sources import eml, requests, table_function
 from mailstruct.sources.mime import email_parts, spread
 from mailstruct.sources.sink import PayloadSink
 
@@ -830,6 +830,14 @@ def eml_layers(spark: SparkSession, d: str) -> DataFrame:
     return email_parts(nested(spark, d), with_payload=False).where("part_seq = 0").select(*LAYER, "layer_depth", "via_attachment")
 
 
+@query("eml_layers_sql", ORACLES["eml_layers"])
+def eml_layers_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the table function, in SQL."""
+    table_function.register(spark)
+    sql = "SELECT m.email_id, p.layer_seq, p.layer_depth, p.via_attachment FROM {mails} m, LATERAL email_parts(m.content, payload => false) p WHERE p.part_seq = 0"
+    return spark.sql(sql, mails=nested(spark, d))
+
+
 @query("eml_attachments", INNER + "SELECT email_id, CAST(row_number() OVER (PARTITION BY email_id ORDER BY place) AS INT) AS idx, concat('l', layer_seq, '.eml') AS filename FROM f WHERE place > 1 AND file = 1 UNION ALL SELECT email_id, CAST(count_if(place > 1 AND file = 1) + 1 AS INT), 'p.png' FROM f GROUP BY email_id")
 def eml_attachments(spark: SparkSession, d: str) -> DataFrame:
     engine = Engine(spark)
