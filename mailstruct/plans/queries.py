@@ -211,6 +211,14 @@ def html_hidden(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", html.parsed(markup).alias("m")).select("conv_id", "turn", F.col("m.text").alias("plain"), F.size("m.links").alias("links"))
 
 
+@query("html_invisible", f"SELECT conv_id, turn, trim({LETTERS}, 'g')) AS plain FROM conversations")
+def html_invisible(spark: SparkSession, d: str) -> DataFrame:
+    """Every invisible character, before each space of a text, is gone from what a reader sees."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", LETTERS + ") AS t")
+    dirty = F.concat(F.lit("<p>"), F.replace("t", F.lit(" "), F.lit(text.AGGRESSIVE_INVISIBLE + " ")), F.lit("</p>"))
+    return rows.select("conv_id", "turn", html.parsed(dirty).alias("m")).select("conv_id", "turn", F.col("m.text").alias("plain"))
+
+
 # --- links ------------------------------------------------------------------------------------------------------------
 
 
@@ -893,6 +901,28 @@ def response_detailed_fields(spark: SparkSession, d: str) -> DataFrame:
     return fields_of(response_detailed(spark, d), "$.data.layers")
 
 
+#: Every link and attached file of a nested mail where it is met first. The outer body is the last text of its walk, which goes through embedded messages.
+LISTS = (
+    INNER
+    + f""", body AS (SELECT email_id, CAST(0 AS INT) AS seq, arg_max(plain_text, place) AS t FROM f WHERE (place = 1 OR file = 0) AND plain_text <> '' GROUP BY 1 UNION ALL SELECT email_id, seq, plain_text FROM k),
+l AS (SELECT email_id, seq, {found_urls('t')} AS found FROM body), u AS (SELECT email_id, seq, i, found[i] AS original_url FROM l, unnest(range(1, len(found) + 1)) x(i)),
+v AS (SELECT * FROM u WHERE original_url <> '' QUALIFY row_number() OVER (PARTITION BY email_id, original_url ORDER BY seq, i) = 1),
+w AS (SELECT * FROM f WHERE place > 1 AND file = 1 QUALIFY row_number() OVER (PARTITION BY email_id, flat, from_addr, date, message_id, plain_text ORDER BY place) = 1)
+SELECT email_id, 'link' AS kind, original_url AS item, {SHORT} AS flag, CAST(least(seq, 1) AS INT) AS layer FROM v
+UNION ALL SELECT email_id, 'file', concat('l', layer_seq, '.eml'), true, 0 FROM w UNION ALL SELECT DISTINCT email_id, 'file', 'p.png', false, 0 FROM f"""
+)
+
+
+@query("response_lists", LISTS)
+def response_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Links and attachments as the standard response lists them, one row each."""
+    lists = "all_urls: array<struct<original_url: string, is_shortened: boolean, found_in: struct<layer: int>>>, all_attachments: array<struct<filename: string, is_nested_email: boolean, layer: int>>"
+    found = response_standard(spark, d).select("email_id", F.from_json("response", f"data struct<consolidated_content: struct<{lists}>>").getField("data").getField("consolidated_content").alias("c"))
+    links = F.transform("c.all_urls", lambda u: F.struct(F.lit("link").alias("kind"), u["original_url"].alias("item"), u["is_shortened"].alias("flag"), u["found_in"]["layer"].alias("layer")))
+    files = F.transform("c.all_attachments", lambda x: F.struct(F.lit("file").alias("kind"), x["filename"].alias("item"), x["is_nested_email"].alias("flag"), x["layer"].alias("layer")))
+    return found.select("email_id", F.inline(F.concat(links, files)))
+
+
 @query("response_llm_fields", FIELDS.replace("SELECT email_id, CAST(200", "SELECT email_id, total_layers, subject FROM (SELECT email_id, CAST(200") + ")")
 def response_llm_fields(spark: SparkSession, d: str) -> DataFrame:
     at = lambda path: F.get_json_object("response", path)
