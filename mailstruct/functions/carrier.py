@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailstruct.functions.text import empty
+from mailstruct.functions.text import empty, let
 
 # Vendors in order (subject pattern, header prefix), and the patterns of submissions.
 VENDORS = {
@@ -171,19 +171,29 @@ def structure(has_eml: Column, has_message: Column, sender: Column, body: Column
         (internal(sender, body), 1, F.lit("internal_domain_sender")),
         (attachments > 1, 1, F.concat(F.lit("multiple_attachments:"), attachments.cast("string"))),
     ]
-    score = F.lit(0)
-    for sign, worth, _ in signs:
-        score = score + F.when(sign, worth).otherwise(0)
-    return F.struct(score.alias("score"), F.array_compact(F.array(*(F.when(sign, name) for sign, _, name in signs))).alias("indicators"))
+
+    def weighed(there: Column) -> Column:
+        score = F.lit(0)
+        for i, (_, worth, _) in enumerate(signs):
+            score = score + F.when(there[i], worth).otherwise(0)
+        return F.struct(score.alias("score"), F.array_compact(F.array(*(F.when(there[i], name) for i, (_, _, name) in enumerate(signs)))).alias("indicators"))
+
+    return let(F.array(*(sign for sign, _, _ in signs)), weighed)
 
 
 def submission(subject: Column, sender: Column, body: Column, structural: Column) -> Column:
     """struct(submission_type, confidence_score, is_carrier, vendor): the kind with the strictly largest score, the first on ties."""
-    score = {kind: hits(subject, p["subject"]) * 2 + hits(body, p["body"]) + hits(sender, p["from"]) + structural for kind, p in SUBMISSIONS.items()}
-    (first, a), (second, b) = score.items()
-    kind = F.when((a > 0) & (a >= b), F.lit(first)).when(b > 0, F.lit(second))
-    best = F.greatest(a, b, F.lit(0))
-    return F.struct(kind.alias("submission_type"), best.alias("confidence_score"), (best >= SUBMISSION_SCORE).alias("is_carrier"), F.when(best >= SUBMISSION_SCORE, F.concat(F.lit("user_"), kind)).alias("vendor"))
+    (first, p), (second, q) = SUBMISSIONS.items()
+    votes = [hits(subject, x["subject"]) * 2 + hits(body, x["body"]) + hits(sender, x["from"]) for x in (p, q)]
+
+    def decided(x: Column) -> Column:
+        a, b = x[0] + x[2], x[1] + x[2]
+        kind = F.when((a > 0) & (a >= b), F.lit(first)).when(b > 0, F.lit(second))
+        best = F.greatest(a, b, F.lit(0))
+        return F.struct(kind.alias("submission_type"), best.alias("confidence_score"), (best >= SUBMISSION_SCORE).alias("is_carrier"), F.when(best >= SUBMISSION_SCORE, F.concat(F.lit("user_"), kind)).alias("vendor"))
+
+    # each pattern is looked for once, however often its vote counts
+    return let(F.array(*votes, structural), decided)
 
 
 def priority(tag: Column) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailstruct.functions.text import let
+
 ENTRY = "array<struct<k: string, v: string>>"
 # Character sets by the names that mails use, and what windows-1252 has where ISO 8859-1 has control characters.
 UTF8, LATIN, ASCII, WINDOWS = ("utf-8", "utf8"), ("iso-8859-1", "latin-1", "latin1"), ("us-ascii", "ascii"), ("windows-1252", "cp1252")
@@ -60,11 +62,6 @@ def one_of(x: Column, values: Sequence[str]) -> Column:
     return x.isin(*values)
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value worked out once and written once in the plan, however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def word_text(word: Column) -> Column:
     """The text of one encoded word; null if its character set or its coding isn't one of those known here."""
 
