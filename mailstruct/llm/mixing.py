@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 from mailstruct.llm.common import Workspace, table, text_of
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 17
-#: The dynamic programme gets so many times the median length, and more where that misses; all of a budget up to so many words.
-REACH, LONGEST = 4, 1 << 22
+#: The dynamic programme gets so many times the median length, and more where that misses; all of a budget up to so many words
+#: by an array, and up to so many by bits.
+REACH, LONGEST, WHOLE = 4, 1 << 22, 1 << 26
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,8 +56,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
     """How many documents of each length, so that their words come as near budget as the counts allow; ties go below.
 
     Even shares first, but for a reach of a few of the longest documents, which the dynamic programme decides exactly. If it
-    misses the budget, the reach grows until it hits, or until it is all of the budget. The nearest sum of all is then known
-    if the budget is LONGEST words at most; of larger budgets, which are hardly ever missed, the nearest sum met is taken.
+    misses the budget, the reach grows until it hits, or until it is all of the budget. A budget above LONGEST words that is
+    still missed is decided by all sums as bits. The nearest sum of all is then known if the budget is WHOLE words at most, in
+    units of the lengths' common divisor; of larger ones that no reach hits, the nearest sum met is taken.
     """
     counts = counts.astype(np.int64)
     unit = int(np.gcd.reduce(lengths))
@@ -85,6 +87,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.n
         if exact or reach >= budget:
             break
         reach = min(16 * reach, budget) if 16 * reach <= LONGEST or budget <= LONGEST else budget
+    if missed and LONGEST < budget <= WHOLE:
+        whole, off = all_sums(lengths, counts, budget, over / unit, order, math.ceil(missed))
+        if (off, int((lengths * whole).sum())) < (missed, int((lengths * best).sum())):
+            best = whole
     return best
 
 
@@ -121,6 +127,47 @@ def knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, over: float, o
     return added, abs(best - budget - over) if best != goal else 0.0
 
 
+def all_sums(lengths: np.ndarray, counts: np.ndarray, budget: int, over: float, order: np.ndarray, missed: int) -> tuple[np.ndarray, float]:
+    """As knapsack, where a sum is known that is no more than missed away: bit s of a number tells whether s can be reached.
+
+    A number takes an eighth of a byte for each word. Its history isn't kept: a sum is unwound by halves of the bundles, whose
+    sums are added up again, so that a number for each halving is held.
+    """
+    top, goal = budget + missed, budget + (over > 0.5)
+    mask, bundles, sums = (1 << (top + 1)) - 1, [], 1
+    for i in order:
+        left, some = int(counts[i]), 1
+        while left > 0 and not sums >> goal & 1:
+            some = min(some, left)
+            if some * int(lengths[i]) > top:
+                break
+            bundles.append((int(i), some))
+            sums |= sums << some * int(lengths[i]) & mask
+            left, some = left - some, some * 2
+    below = (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = sums >> (budget + 1)
+    near = [below, *([budget + (above & -above).bit_length()] if above else [])]
+    best = min(near, key=lambda s: (abs(s - budget - over), s))
+    added = np.zeros(len(lengths), np.int64)
+
+    def unwind(sums: int, some: list[tuple[int, int]], at: int) -> int:
+        """What is left of at, a sum of sums and these bundles, without those of them that make it."""
+        if len(some) == 1:
+            i, n = some[0]
+            if sums >> at & 1:
+                return at
+            added[i] += n
+            return at - n * int(lengths[i])
+        half, middle = len(some) // 2, sums
+        for i, n in some[:half]:
+            middle |= middle << n * int(lengths[i]) & mask
+        return unwind(sums, some[:half], unwind(middle, some[half:], at))
+
+    if bundles:
+        unwind(1, bundles, best)
+    return added, abs(best - budget - over) if best != goal else 0.0
+
+
 def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     """Epochs for all, and documents with one more, of each length of one source."""
     rows = rows.sort_values("size").reset_index(drop=True)
@@ -139,7 +186,8 @@ def mix(docs: DataFrame, work: Workspace, weights: Sequence[float] = WEIGHTS, sh
 
     Sources by code point, null last, take the weights in turn. Their totals (about 100 bytes a source) are planned on the
     driver, which is meant for up to a million sources; nothing else is. Null and empty texts have size 0 and are not taken.
-    Very long texts take part in the knapsack whole, in arrays of some times their words. Repeated rows are separate
+    Very long texts take part in the knapsack whole, in arrays of some times their words. Budgets are met as near as can be
+    up to WHOLE words and wherever a sum hits them; see fit. Repeated rows are separate
     documents. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
