@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstruct.llm.common import Workspace, forget, table, text_of
+from mailstruct.llm.common import Workspace, forget, maybe_among, table, text_of
 
 WORDS, THRESHOLD, RECALL, HASHES, SEED = 5, 0.8, 0.9999, 256, 11
 #: A block of candidates has about so many texts, and about so many n-grams.
@@ -361,15 +361,17 @@ def near_duplicates(docs: DataFrame, work: Workspace, threshold: float = THRESHO
     load = members.groupBy("root").agg(F.count("*").alias("t"), F.sum("n_grams").alias("g"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
     placed = members.join(load.select("root", blocks.alias("blocks")), "root").select("node", "root", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("carrier.doc_id").alias("id"), F.col("carrier.raw0").alias("r0"), F.col("carrier.raw1").alias("r1"))
-    # merged at every size: texts move once, and no set of candidates is ever broadcast
-    found = docs.select("doc_id", *raw, "text").join(placed.hint("merge"), F.col("raw0").eqNullSafe(F.col("r0")) & F.col("raw1").eqNullSafe(F.col("r1")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    placed = work.write(placed, "placed")
+    # a bitmap of fixed size tells which texts may be candidates, and only these move; merged at every size, as candidates grow
+    maybe = maybe_among(F.col("raw0"), placed.select(F.col("r0").alias("digest")))
+    found = maybe(docs.select("doc_id", *raw, "text")).where("maybe").join(placed.hint("merge"), F.col("raw0").eqNullSafe(F.col("r0")) & F.col("raw1").eqNullSafe(F.col("r1")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = found.select("text", "node", "root", "n", "block", "blocks").mapInArrow(gram_rows, "grams binary, node binary, root binary, n long, block int, blocks int")
     repeats = signed.groupBy("doc_id", "raw0", "raw1").count().where("count > 1").limit(1).count() > 0
     sets = work.write(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
     dealt = blocks_of(["root"], F.col("block"), F.col("blocks"), "node", "n", "grams", order="node")(sets)
     links = work.write(dealt.mapInArrow(verifier(threshold), "a binary, b binary, texts long, documents long"), "links")
 
-    work.drop(sets, members)
+    work.drop(sets, members, placed)
     counted = links.groupBy("a").agg(F.sum("texts").alias("n_text_links"), F.sum("documents").alias("linked"))
     rooted = components(links.select("a", "b"), work)
     slim = texts.select("digest", "rep", "n").join(counted.withColumnRenamed("a", "digest"), "digest", "left").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
