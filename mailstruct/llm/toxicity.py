@@ -7,8 +7,8 @@ exact cosine of whole weight vectors, found through an inverted index with block
 Lists of rare terms are read whole; of the frequent terms' lists only the largest weight in each block is, at first: both
 together bound what a block's examples can reach, and only blocks that can reach a document's k-th best are scored, for
 documents of alike bounds together. What can be among the nearest within single precision is worked out again in full.
-Neighbours vote with weights that fall with their distance, and a monotone map fitted on leave-one-out votes of the examples
-turns votes into probabilities. All who vote are the evidence.
+Neighbours vote with weights that fall with their distance, and a monotone map turns votes into probabilities. It is fitted on
+votes on the examples, each from the other folds' examples and weights. All who vote are the evidence.
 
 The index is bounded by the texts of SAMPLE examples; it is broadcast, and each Python worker holds a copy of it.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from mailstruct.llm.common import Workspace, fold, forget, table, text_of, trim
 from mailstruct.llm.rules import labelled
 
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
+#: Folds of the examples for the votes that the map to probabilities is fitted on.
+FOLDS = 5
 #: Terms whose lists have block maxima, examples of a block, blocks that a search scores before it has a k-th best, documents
 #: that search together, and the bound of what single precision is off by.
 FREQUENT, BLOCK, FIRST, TOGETHER, SLACK = 512, 16, 16, 128, 5e-5
@@ -335,21 +338,47 @@ def by_likeness(examples: pd.DataFrame, idf: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
-    """examples: doc_id, y, terms, tf; the prior is the share of toxic examples."""
-    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(vocabulary, examples)
-    prior = float((examples.y.sum() + 0.5) / (len(examples) + 1))
+def indexed(vocabulary: list[str], plain: np.ndarray, examples: pd.DataFrame, prior: float) -> Index:
+    """The index of the examples that have terms; plain: inverse document frequencies."""
+    idf = plain * relevance(vocabulary, examples)
     some = examples[examples.terms.map(len) > 0].sort_values("doc_id")
     if len(some):
         some = some.iloc[by_likeness(some, idf)]
     flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32) for c in ("terms", "tf")]
     row_starts = np.concatenate([[0], np.cumsum(some.terms.map(len).to_numpy(np.int64))])
-    index = Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
-    vectors = [(index.terms[a:b], index.weights(np.arange(a, b), i)) for i, (a, b) in enumerate(zip(row_starts[:-1], row_starts[1:], strict=True))]
-    votes = np.array([index.vote(*near) if len(near[0]) else np.nan for near in index.nearest_all(vectors, NEIGHBOURS, but=0)])
-    known = ~np.isnan(votes)
-    if known.any():
-        index.knots = monotone(votes[known], index.labels[known])
+    return Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
+
+
+def outside_votes(vocabulary: list[str], plain: np.ndarray, examples: pd.DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Votes on examples, and their labels. Each example's neighbours and all weights of terms come from the other folds, so
+    its own label has no part in its vote; examples without a neighbour have none."""
+    part = np.array([zlib.crc32(f"inner {i}".encode()) % FOLDS for i in examples.doc_id], np.int64)
+    votes, labels = [], []
+    for fold_ in np.unique(part):
+        index = indexed(vocabulary, plain, examples[part != fold_], prior)
+        known = np.zeros(len(vocabulary), bool)
+        known[index.terms] = True
+        vectors, here = [], []
+        for y, terms, tf in zip(*(examples.loc[part == fold_, c] for c in ("y", "terms", "tf")), strict=True):
+            terms, tf = np.asarray(terms, np.int64), np.asarray(tf)
+            if known[terms].any():
+                vectors.append((terms[known[terms]], index.vector(terms[known[terms]], tf[known[terms]])))
+                here.append(float(y))
+        for y, near in zip(here, index.nearest_all(vectors, NEIGHBOURS), strict=True):
+            if len(near[0]):
+                votes.append(index.vote(*near))
+                labels.append(y)
+    return np.array(votes), np.array(labels)
+
+
+def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
+    """examples: doc_id, y, terms, tf; the prior is the share of toxic examples."""
+    plain = np.log((1 + n_docs) / (1 + df)) + 1
+    prior = float((examples.y.sum() + 0.5) / (len(examples) + 1))
+    votes, labels = outside_votes(vocabulary, plain, examples, prior)
+    index = indexed(vocabulary, plain, examples, prior)
+    if len(votes):
+        index.knots = monotone(votes, labels)
     return index
 
 

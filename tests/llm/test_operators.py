@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -641,10 +642,23 @@ def test_held_out_accuracy(spark, op, target, least):
     assert auc(held.score.to_numpy(), held[target].to_numpy()) >= least
 
 
+def test_an_examples_own_label_has_no_part_in_its_vote():
+    """Labels that chance gives: votes must not know them. A term of one example's own says nothing about any other."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(400):
+        terms = np.unique(np.concatenate([rng.integers(0, 60, 12), [60 + i]])).astype(np.int32)
+        rows.append((i, int(rng.random() < 0.3), terms, np.ones(len(terms), np.int32)))
+    examples = pd.DataFrame(rows, columns=["doc_id", "y", "terms", "tf"])
+    votes, labels = toxicity.outside_votes([f"t{i}" for i in range(460)], np.ones(460), examples, 0.3)
+    assert len(votes) == 400 and abs(votes[labels == 1].mean() - votes[labels == 0].mean()) < 0.03
+    flipped = examples.assign(y=np.where(examples.doc_id == 7, 1 - examples.y, examples.y))
+    again, _ = toxicity.outside_votes([f"t{i}" for i in range(460)], np.ones(460), flipped, 0.3)
+    inner = [i for f in range(toxicity.FOLDS) for i in range(400) if zlib.crc32(f"inner {i}".encode()) % toxicity.FOLDS == f]
+    assert votes[inner.index(7)] == again[inner.index(7)]
+
+
 def test_nearest_examples_equal_brute_force():
     rng = np.random.default_rng(6)
-    import pandas as pd
-
     rows = []
     for i in range(500):
         terms = np.unique(rng.integers(0, 40, rng.integers(0, 6)))
@@ -744,8 +758,6 @@ def test_op8_against_brute_force(spark):
 
 
 def test_blocks_are_skipped():
-    import pandas as pd
-
     rng = np.random.default_rng(9)
     rows = []
     for i in range(2000):  # ten languages with terms of their own
@@ -816,6 +828,23 @@ def test_fit_with_a_very_long_text():
         assert int((mixing.fit(lengths, counts, budget, 1) * lengths).sum()) == budget
 
 
+def test_large_budgets_get_the_nearest_sum():
+    """Few long lengths, budgets beyond the reach of an array: every sum of the counts by brute force."""
+    rng = np.random.default_rng(5)
+    for case in range(24):
+        lengths = np.sort(rng.choice(np.arange(1_000_000, 3_000_000), 4, replace=False))
+        if case % 3 == 2:
+            lengths *= 2  # a common divisor
+        counts = rng.integers(1, 9, 4)
+        budget = int(rng.integers(5_000_000, 50_000_000))
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        taken = mixing.fit(lengths, counts, budget, case)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert int((taken * lengths).sum()) == min(sums, key=lambda s: (abs(s - budget), s))
+
+
 def test_op9_against_targets_worked_out_apart(spark):
     docs = table(spark, SMALL, "documents").collect()
     import re
