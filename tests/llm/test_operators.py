@@ -642,21 +642,6 @@ def test_held_out_accuracy(spark, op, target, least):
     assert auc(held.score.to_numpy(), held[target].to_numpy()) >= least
 
 
-def test_an_examples_own_label_has_no_part_in_its_vote():
-    """Labels that chance gives: votes must not know them. A term of one example's own says nothing about any other."""
-    rng, rows = np.random.default_rng(8), []
-    for i in range(400):
-        terms = np.unique(np.concatenate([rng.integers(0, 60, 12), [60 + i]])).astype(np.int32)
-        rows.append((i, int(rng.random() < 0.3), terms, np.ones(len(terms), np.int32)))
-    examples = pd.DataFrame(rows, columns=["doc_id", "y", "terms", "tf"])
-    votes, labels = toxicity.outside_votes([f"t{i}" for i in range(460)], np.ones(460), examples, 0.3)
-    assert len(votes) == 400 and abs(votes[labels == 1].mean() - votes[labels == 0].mean()) < 0.03
-    flipped = examples.assign(y=np.where(examples.doc_id == 7, 1 - examples.y, examples.y))
-    again, _ = toxicity.outside_votes([f"t{i}" for i in range(460)], np.ones(460), flipped, 0.3)
-    inner = [i for f in range(toxicity.FOLDS) for i in range(400) if zlib.crc32(f"inner {i}".encode()) % toxicity.FOLDS == f]
-    assert votes[inner.index(7)] == again[inner.index(7)]
-
-
 def test_nearest_examples_equal_brute_force():
     rng = np.random.default_rng(6)
     rows = []
