@@ -120,3 +120,9 @@ def test_stream(spark, tmp_path):
     assert from_files(spark, str(tmp_path)).where("error is null").count() == 3
     spark.dataSource.register(EmlDataSource)
     assert spark.read.format("eml").load(str(tmp_path)).where("part_seq = 0").count() == 3
+
+
+def test_words_of_ascii_letters_alone_as_in_sql(spark):
+    subjects = ["una óesa", "óesa", "xesa", "eſa", "ESA\x0b", "mımecast", "trend\xa0micro", "trend\x0bmicro", "trend\tmicro"]
+    for words, want in (("unicode", [None, None, None, "ironport", "ironport", "mimecast", "trend_micro", "trend_micro", "trend_micro"]), ("ascii", ["ironport", "ironport", None, "ironport", "ironport", None, None, None, "trend_micro"])):
+        assert column(spark, subjects, lambda c, w=words: carrier.vendor(c, F.lit(""), words=w)) == want
