@@ -13,55 +13,87 @@ with p0, q0 the shares of a term that does not occur. All arithmetic is in integ
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailstruct.llm.common import Workspace, table, text_of
+from mailstruct.llm.common import Workspace, table, text_of, trim
 
 LEAST, TOP, ONE = 10, 10, 1_000_000_000
 #: Words that a task counts before it hands its sums on, and (language, source) groups that are sent to all tasks at most.
-HELD, GROUPS = 1_000_000, 100_000
+HELD, GROUPS = 2_000_000, 100_000
+#: Counts whose product with ONE fits into 64 bits.
+NARROW = 9_000_000_000
 #: ASCII letters in lower case; every other ASCII character separates terms; bytes of other characters stay.
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): occurrences and documents, summed over up to HELD words."""
-    sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    held = 0
+    words: list[pa.Array] = []
+    sizes: list[int] = []
+    groups: list[int] = []
+    numbers: dict[tuple[str, str], int] = {}
 
     def given() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in sums.items():
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())],
-                    ["lang", "source", "term", "n", "docs"],
-                )
-        sums.clear()
+        """One sort by group, term and document gives both sums."""
+        if not sizes:
+            return
+        coded = pa.concat_arrays(words).dictionary_encode()
+        terms, doc = coded.dictionary, np.repeat(np.arange(len(sizes)), sizes)
+        cell = np.array(groups)[doc] * len(terms) + coded.indices.to_numpy()
+        if (int(cell.max()) + 1) * len(sizes) < 2**63:
+            key = cell * len(sizes) + doc
+            key.sort()
+            cell, doc = np.divmod(key, len(sizes))
+        else:
+            order = np.lexsort((doc, cell))
+            cell, doc = cell[order], doc[order]
+        first = np.concatenate([[True], cell[1:] != cell[:-1]])
+        at = np.flatnonzero(first)
+        n, docs = np.diff(np.append(at, len(cell))), np.add.reduceat(first | np.concatenate([[True], doc[1:] != doc[:-1]]), at, dtype=np.int64)
+        group, code = np.divmod(cell[at], len(terms))
+        cuts = np.searchsorted(group, np.arange(len(numbers) + 1))
+        for (lang, source), low, high in zip(numbers, cuts[:-1], cuts[1:], strict=True):
+            term = terms.take(pa.array(code[low:high])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, high - low), pa.repeat(source, high - low), term, pa.array(n[low:high]), pa.array(docs[low:high])], ["lang", "source", "term", "n", "docs"])
+        for held in (words, sizes, groups, numbers):
+            held.clear()
+        trim()
 
+    held = 0
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-            words = text.as_py().translate(FOLD).split()
-            n, docs = sums.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-            n.update(words)
-            docs.update(set(words))
-            held += len(words)
+        folded = pa.array([t.as_py().translate(FOLD) for t in batch.column("text")], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(folded)
+        # splitting leaves empty words at the ends of a text and for an empty one
+        real = pc.not_equal(split.values, "")
+        found, starts = split.values.filter(real), np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy()]
+        begun = 0
+        for i, (lang, source) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
+            size = int(starts[i + 1] - starts[i])
+            if size:
+                sizes.append(size)
+                groups.append(numbers.setdefault((lang, source), len(numbers)))
+                held += size
             if held >= HELD:
+                words.append(found[starts[begun] : starts[i + 1]])
                 yield from given()
-                held = 0
+                begun, held = i + 1, 0
+        words.append(found[starts[begun] :])
     yield from given()
 
 
 def share(n: Column | str, size: str) -> Column:
-    """1 + floor(ONE * (n + 2) / size), exactly."""
+    """1 + floor(ONE * (n + 2) / size), exactly; in 64 bits where they hold it, since decimals of more take many times as long."""
     n = F.col(n) if isinstance(n, str) else n
     top = (n + 2).cast("decimal(20,0)") * F.lit(ONE).cast("decimal(10,0)")
-    return F.call_function("div", top, F.col(size).cast("decimal(20,0)")) + 1
+    wide = F.call_function("div", top, F.col(size).cast("decimal(20,0)"))
+    return F.when(n < NARROW, F.call_function("div", (n.cast("long") + 2) * F.lit(ONE).cast("long"), F.col(size))).otherwise(wide) + 1
 
 
 def apart(p: str, q: str) -> Column:

@@ -85,3 +85,26 @@ def test_sums_of_a_task_are_handed_on_in_parts(monkeypatch):
         for r in b.to_pylist():
             total[r["lang"], r["source"], r["term"]] += r["n"]
     assert len(out) == 3 and total == {("en", "a", "x"): 3, ("en", "a", "y"): 1, ("en", "b", "z"): 4}
+
+
+def test_a_task_hands_on_each_term_of_millions_of_words_once():
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(1)
+    words = np.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)])
+    rows = [(f"l{i % 2}", f"s{i % 5}", (" 1".join(random.choice(words, random.integers(0, 6000))) + "é ÉA,").encode()) for i in range(500)] + [("l0", "none", b" ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
+    got = [((r["lang"], r["source"], r["term"]), (r["n"], r["docs"])) for b in divergence.counted(iter([batch.slice(0, 200), batch.slice(200)])) for r in b.to_pylist()]
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = text.translate(divergence.FOLD).decode().split()
+        n.update((lang, source, w) for w in found)
+        docs.update((lang, source, w) for w in set(found))
+    assert n.total() > 1_000_000 and len(got) == len(n) and dict(got) == {k: (n[k], docs[k]) for k in n}
+
+
+def test_shares_are_exact_in_and_beyond_64_bits(spark):
+    counts = [(0, 7), (divergence.NARROW - 1, 10**10), (divergence.NARROW, 10**10), (4 * 10**12, 9 * 10**12)]
+    got = spark.createDataFrame(counts, "n long, size long").select("n", "size", divergence.share("n", "size").cast("string").alias("p")).collect()
+    assert [int(r.p) for r in got] == [1 + 10**9 * (r.n + 2) // r.size for r in got]
