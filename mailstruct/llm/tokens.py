@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
@@ -92,23 +93,50 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
+        plain = {w: self.pattern.findall(w.lower()) for w in words if self.safe.fullmatch(w) and "<|" not in w}
+        self.learn_cores({c for cores in plain.values() for c in cores})
+        core = self.cores.__getitem__
+        self.chunks.update((w, b"".join(map(core, cores))) for w, cores in plain.items())
+        other = [w for w in words if w not in plain]
+        self.chunks.update(zip(other, self.whole(other), strict=True))
+
+    def learn_cores(self, cores: Iterable[str]) -> None:
         if len(self.cores) > REMEMBER:
             self.cores.clear()
-        plain = {w: self.pattern.findall(w.lower()) for w in words if self.safe.fullmatch(w) and "<|" not in w}
-        new = list({c for cores in plain.values() for c in cores} - self.cores.keys())
+        new = [c for c in cores if c not in self.cores]
         letters = [c for c in new if c.isalpha()]
         for at in range(0, len(letters), 2000):
             some = letters[at : at + 2000]
-            ids = np.frombuffer(self.whole([" ".join(some)])[0], "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = self.whole([" ".join(some)])[0]
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
             if len(cuts) == len(some):
-                self.cores.update(zip(some, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                self.cores.update(zip(some, (ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
         rest = [c for c in new if c not in self.cores]
         self.cores.update(zip(rest, self.whole(rest), strict=True))
-        core = self.cores.__getitem__
-        self.chunks.update((w, b"".join(map(core, cores))) for w, cores in plain.items())
-        other = [w for w in words if w not in plain]
-        self.chunks.update(zip(other, self.whole(other), strict=True))
+
+    def chunk_sizes(self, words: pa.Array) -> np.ndarray:
+        """Number of ids of each distinct chunk. Chunks are cut by array operations; only their pieces become objects, and new ones go to the library."""
+        plain = pc.and_not(pc.match_substring_regex(words, rf"\A{SAFE}\z"), pc.match_substring(words, "<|"))
+        lower = pc.utf8_lower(words.filter(plain))
+        alone = pc.utf8_is_alpha(lower)
+        parts = pc.split_pattern(pc.replace_substring_regex(lower.filter(pc.invert(alone)), f"({WORD_PATTERN})", "\\1\x1e"), "\x1e")
+        coded = pa.concat_arrays([lower.filter(alone), parts.values]).dictionary_encode()
+        cores = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn_cores(c for c in cores if c)
+        n = np.fromiter((len(self.cores[c]) // 4 if c else 0 for c in cores), np.int64, len(cores))[coded.indices.to_numpy()]
+        is_plain, is_alone = (x.to_numpy(zero_copy_only=False) for x in (plain, alone))
+        total, at = np.concatenate([[0], np.cumsum(n[is_alone.sum() :])]), parts.offsets.to_numpy()
+        sizes = np.empty(len(lower), np.int64)
+        sizes[is_alone], sizes[~is_alone] = n[: is_alone.sum()], total[at[1:]] - total[at[:-1]]
+        out = np.zeros(len(words), np.int64)
+        out[is_plain] = sizes
+        others = words.filter(pc.invert(plain)).to_pylist()
+        if len(self.chunks) > REMEMBER:
+            self.chunks.clear()
+        if missing := [w for w in others if w not in self.chunks and w]:
+            self.learn(missing)
+        out[~is_plain] = np.fromiter((len(self.chunks[w]) // 4 if w else 0 for w in others), np.int64, len(others))
+        return out
 
     def lookup(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Word codes, first word of each text, ids of each distinct word, and their counts."""
@@ -128,7 +156,9 @@ class Encoder:
         """Number of ids of each text. No nulls."""
         if not self.by_word:
             return np.array([len(x) // 4 for x in self.whole(texts.to_pylist())], np.int64)
-        codes, starts, _, sizes = self.lookup(texts)
+        split = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+        starts, coded = split.offsets.to_numpy().astype(np.int64), pc.dictionary_encode(split.values)
+        codes, sizes = coded.indices.to_numpy(), self.chunk_sizes(coded.dictionary)
         total = np.concatenate([[0], np.cumsum(sizes[codes])]) if len(codes) else np.zeros(1, np.int64)
         out = total[starts[1:]] - total[starts[:-1]]
         for i in self.odd_rows(texts):

@@ -67,6 +67,14 @@ def test_ids_are_the_library_s():
         assert encode.counts(pa.array(words)).tolist() == [len(w) // 4 for w in want]
 
 
+def test_counts_make_no_object_of_a_chunk():
+    """Chunks of one word with many marks about it cost their pieces alone; the counts are the library's."""
+    encode = tokens.Encoder("word_bpe_49k.json")
+    words = [" ".join(f"{a}word{b}" for a in "([{<*" for b in [".", "!?", "'s", "'S", "9²", ">|", "<|x", "\x1e", "É,", "日"]), "", "  ", "it's. ªº µß<|endoftext|>"]
+    assert encode.counts(pa.array(words)).tolist() == [len(w) // 4 for w in encode.whole(words)]
+    assert all(not encode.safe.fullmatch(w) or "<|" in w for w in encode.chunks) and "word" in encode.cores
+
+
 def test_forgetting_words_keeps_the_ids(monkeypatch):
     encode = tokens.Encoder("word_bpe_49k.json")
     want = [encode.ids(pa.array([prose(i, 300)]))[0].tobytes() for i in range(4)]
