@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailstruct.llm import mixing, near_duplicates, packing, rules, toxicity
-from mailstruct.llm.common import Workspace, table, text_of
+from mailstruct.llm.common import Workspace, release, table, text_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,7 +29,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     work = Workspace(spark)
     index = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), work)
     work.clear()
-    return toxicity.score(docs, index).where("predicted = 0").select(*COLUMNS)
+    kept = toxicity.score(docs, index).where("predicted = 0").select(*COLUMNS)
+    # the broadcast holds the index now; the driver's copy would stay through all later stages
+    del index
+    release()
+    return kept
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstruct.llm.common import Workspace, fold, forget, table, text_of, trim
+from mailstruct.llm.common import Workspace, fold, forget, release, table, text_of, trim
 from mailstruct.llm.rules import labelled
 
 SAMPLE, NEIGHBOURS, THRESHOLD = 12_000, 15, 0.5
@@ -144,8 +144,8 @@ class Index:
 
     SENT = ("row_starts", "terms", "tf", "idf", "ids", "labels")
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row_starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, prior: float):
-        self.vocabulary, self.idf, self.ids, self.labels, self.row_starts, self.terms = Vocabulary(vocabulary), idf, ids, labels, row_starts, terms
+    def __init__(self, vocabulary: list[str] | Vocabulary, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, row_starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, prior: float):
+        self.vocabulary, self.idf, self.ids, self.labels, self.row_starts, self.terms = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary), idf, ids, labels, row_starts, terms
         self.tf = tf.astype(np.min_scalar_type(tf.max(initial=1)))
         self.prior, self.knots = prior, (np.zeros(1), np.array([prior]))
         self.derive()
@@ -295,32 +295,47 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
 
-def relevance(vocabulary: list[str], examples: pd.DataFrame) -> np.ndarray:
-    """How much each term tells the examples' labels apart: 1 and the root of its chi square, so that no term is without weight."""
+def joined(lists: pd.Series) -> np.ndarray:
+    """The integers of all lists in one row."""
+    return np.concatenate([np.empty(0, np.int32), *lists.map(np.asarray)]).astype(np.int64)
+
+
+def parts(examples: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Some examples at a time and the place of their first, so that the driver holds no second copy of all their terms."""
+    return ((at, examples.iloc[at : at + EXAMPLES]) for at in range(0, len(examples), EXAMPLES))
+
+
+def relevance(size: int, examples: pd.DataFrame) -> np.ndarray:
+    """How much each of so many terms tells the examples' labels apart: 1 and the root of its chi square, so that no term is without weight."""
     n, positive = float(len(examples)), float(examples.y.sum())
     if not 0 < positive < n:
-        return np.ones(len(vocabulary))
-    flat = np.concatenate(examples.terms.map(np.asarray).tolist()).astype(np.int64)
-    seen = np.bincount(flat, minlength=len(vocabulary)).astype(float)
-    a = np.bincount(flat, np.repeat(examples.y.to_numpy(float), examples.terms.map(len)), len(vocabulary))
+        return np.ones(size)
+    seen, a = np.zeros(size), np.zeros(size)
+    for _, some in parts(examples):
+        flat = joined(some.terms)
+        seen += np.bincount(flat, minlength=size)
+        a += np.bincount(flat, np.repeat(some.y.to_numpy(float), some.terms.map(len)), size)
     odds = a * (n - positive - (seen - a)) - (seen - a) * (positive - a)
     spread = seen * (n - seen) * positive * (n - positive)
-    return 1 + np.sqrt(np.divide(n * odds * odds, spread, out=np.zeros(len(vocabulary)), where=spread > 0))
+    return 1 + np.sqrt(np.divide(n * odds * odds, spread, out=np.zeros(size), where=spread > 0))
 
 
 def by_likeness(examples: pd.DataFrame, idf: np.ndarray) -> np.ndarray:
     """An order of the examples in which alike ones lie together: halves along the widest of their frequent terms' main directions."""
-    size = examples.terms.map(len).to_numpy(np.int64)
-    flat, tf = (np.concatenate([np.empty(0, np.int64), *examples[c].map(np.asarray)]).astype(np.int64) for c in ("terms", "tf"))
-    row = np.repeat(np.arange(len(examples)), size)
-    w = (1 + np.log(tf)) * idf[flat]
-    w /= np.sqrt(np.bincount(row, w * w, len(examples)))[row]
-    often = np.argsort(-np.bincount(flat, minlength=len(idf)), kind="stable")[:FREQUENT]
+    seen = np.zeros(len(idf), np.int64)
+    for _, some in parts(examples):
+        seen += np.bincount(joined(some.terms), minlength=len(idf))
+    often = np.argsort(-seen, kind="stable")[:FREQUENT]
     column = np.full(len(idf), -1)
     column[often] = np.arange(len(often))
-    at = column[flat]
     held = np.zeros((len(examples), len(often)))
-    held[row[at >= 0], at[at >= 0]] = w[at >= 0]
+    for first, some in parts(examples):
+        flat = joined(some.terms)
+        row = np.repeat(np.arange(len(some)), some.terms.map(len).to_numpy(np.int64))
+        w = (1 + np.log(joined(some.tf))) * idf[flat]
+        w /= np.sqrt(np.bincount(row, w * w, len(some)))[row]
+        at = column[flat]
+        held[first + row[at >= 0], at[at >= 0]] = w[at >= 0]
     held -= held.mean(0)
     places = held @ np.linalg.eigh(held.T @ held)[1][:, -8:]
     out, left = [], [np.arange(len(examples))]
@@ -335,18 +350,27 @@ def by_likeness(examples: pd.DataFrame, idf: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def build(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
+def build(vocabulary: list[str] | Vocabulary, df: np.ndarray, n_docs: int, examples: pd.DataFrame) -> Index:
     """examples: doc_id, y, terms, tf; the prior is the share of toxic examples."""
-    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(vocabulary, examples)
+    idf = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(len(vocabulary), examples)
     prior = float((examples.y.sum() + 0.5) / (len(examples) + 1))
     some = examples[examples.terms.map(len) > 0].sort_values("doc_id")
+    del examples
     if len(some):
         some = some.iloc[by_likeness(some, idf)]
-    flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32) for c in ("terms", "tf")]
+    flat = [np.concatenate([np.empty(0, np.int32), *some[c].map(np.asarray)]).astype(np.int32, copy=False) for c in ("terms", "tf")]
     row_starts = np.concatenate([[0], np.cumsum(some.terms.map(len).to_numpy(np.int64))])
-    index = Index(vocabulary, idf, some.doc_id.to_numpy(np.int64), some.y.to_numpy(float), row_starts, *flat, prior)
-    vectors = [(index.terms[a:b], index.weights(np.arange(a, b), i)) for i, (a, b) in enumerate(zip(row_starts[:-1], row_starts[1:], strict=True))]
-    votes = np.array([index.vote(*near) if len(near[0]) else np.nan for near in index.nearest_all(vectors, NEIGHBOURS, but=0)])
+    ids, labels = some.doc_id.to_numpy(np.int64), some.y.to_numpy(float)
+    del some
+    index = Index(vocabulary, idf, ids, labels, row_starts, *flat, prior)
+    del flat
+    votes = np.full(len(ids), np.nan)
+    for first in range(0, len(ids), EXAMPLES):
+        rows = range(first, min(first + EXAMPLES, len(ids)))
+        places = [np.arange(row_starts[i], row_starts[i + 1]) for i in rows]
+        vectors = [(index.terms[at], index.weights(at, i)) for i, at in zip(rows, places, strict=True)]
+        for i, near in zip(rows, index.nearest_all(vectors, NEIGHBOURS, but=first), strict=True):
+            votes[i] = index.vote(*near) if len(near[0]) else np.nan
     known = ~np.isnan(votes)
     if known.any():
         index.knots = monotone(votes[known], index.labels[known])
@@ -393,15 +417,17 @@ def train_on(docs: DataFrame, labels: DataFrame, work: Workspace, keep: list[str
     """The index of at most sample labelled rows of docs (doc_id, text) outside the held-out fold, and the vectors of all docs
     with their columns to keep, written: document frequencies are counted there, and texts need not be read again."""
     rows = work.write(labelled(docs, labels, target, sample).select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "text"), "examples")
-    found = rows.mapInArrow(text_terms, "term string").distinct().toArrow()
-    vocabulary = sorted(found.column("term").to_pylist())
-    held = Vocabulary(vocabulary)
+    held = Vocabulary(sorted(rows.mapInArrow(text_terms, "term string").distinct().toArrow().column("term").to_pylist()))
     vectors = work.write(vectorise(docs, held, keep), "vectors")
     counts = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(len(held))
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
-    examples = vectorise(rows, held, ["doc_id", "y"]).toArrow().to_pandas()
-    return build(vocabulary, df, vectors.count(), examples), vectors
+    del counts
+    release()
+    n_docs = vectors.count()
+    index = build(held, df, n_docs, vectorise(rows, held, ["doc_id", "y"]).toArrow().to_pandas())
+    release()
+    return index, vectors
 
 
 def train(docs: DataFrame, labels: DataFrame, work: Workspace, target: str = "toxic", sample: int = SAMPLE) -> Index:

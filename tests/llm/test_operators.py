@@ -762,6 +762,19 @@ def test_blocks_are_skipped():
     assert index.scored < 0.5 * index.asked
 
 
+def test_examples_are_ordered_within_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.integers(0, 5000, 300)).astype(np.int32) for _ in range(4096)]
+    rows = pd.DataFrame([(i, i % 10 == 0, t, np.ones(len(t), np.int32)) for i, t in enumerate(terms)], columns=["doc_id", "y", "terms", "tf"])
+    tracemalloc.start()
+    order = toxicity.by_likeness(rows, np.ones(5000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(4096)) and peak < 40 * sum(map(len, terms))
+
+
 def test_toxicity_odd_cases(spark, odd, empty, work):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     index = toxicity.train(odd.select("doc_id", "text"), labels, work)
