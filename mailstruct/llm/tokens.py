@@ -59,6 +59,12 @@ def drops_space(name: str) -> bool:
     )
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of n values of flat from first on, one after another, and where each begins (one more than the runs)."""
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """ids for batches of whole texts, without begin, end or added special tokens, truncation or padding."""
 
@@ -114,8 +120,11 @@ class Encoder:
         rest = [c for c in new if c not in self.cores]
         self.cores.update(zip(rest, self.whole(rest), strict=True))
 
-    def chunk_sizes(self, words: pa.Array) -> np.ndarray:
-        """Number of ids of each distinct chunk. Chunks are cut by array operations; only their pieces become objects, and new ones go to the library."""
+    def cut(self, words: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Which distinct chunks are plain, all different pieces of these, and the plain chunks' pieces: numbers, and for each chunk its first's place and how many.
+
+        Chunks are cut by array operations; only their pieces become objects, and new ones go to the library. A chunk may have an empty piece.
+        """
         plain = pc.and_not(pc.match_substring_regex(words, rf"\A{SAFE}\z"), pc.match_substring(words, "<|"))
         lower = pc.utf8_lower(words.filter(plain))
         alone = pc.utf8_is_alpha(lower)
@@ -123,34 +132,44 @@ class Encoder:
         coded = pa.concat_arrays([lower.filter(alone), parts.values]).dictionary_encode()
         cores = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn_cores(c for c in cores if c)
-        n = np.fromiter((len(self.cores[c]) // 4 if c else 0 for c in cores), np.int64, len(cores))[coded.indices.to_numpy()]
         is_plain, is_alone = (x.to_numpy(zero_copy_only=False) for x in (plain, alone))
-        total, at = np.concatenate([[0], np.cumsum(n[is_alone.sum() :])]), parts.offsets.to_numpy()
-        sizes = np.empty(len(lower), np.int64)
-        sizes[is_alone], sizes[~is_alone] = n[: is_alone.sum()], total[at[1:]] - total[at[:-1]]
-        out = np.zeros(len(words), np.int64)
-        out[is_plain] = sizes
-        others = words.filter(pc.invert(plain)).to_pylist()
+        at, first, n = parts.offsets.to_numpy().astype(np.int64), np.empty(len(lower), np.int64), np.ones(len(lower), np.int64)
+        first[is_alone], first[~is_alone], n[~is_alone] = np.arange(is_alone.sum()), is_alone.sum() + at[:-1], np.diff(at)
+        return is_plain, cores, coded.indices.to_numpy(), first, n
+
+    def other_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of chunks that aren't plain."""
         if len(self.chunks) > REMEMBER:
             self.chunks.clear()
-        if missing := [w for w in others if w not in self.chunks and w]:
+        if missing := [w for w in words if w not in self.chunks and w]:
             self.learn(missing)
-        out[~is_plain] = np.fromiter((len(self.chunks[w]) // 4 if w else 0 for w in others), np.int64, len(others))
+        return [self.chunks[w] if w else b"" for w in words]
+
+    def chunk_sizes(self, words: pa.Array) -> np.ndarray:
+        """Number of ids of each distinct chunk."""
+        is_plain, cores, codes, first, n = self.cut(words)
+        sizes = np.fromiter((len(self.cores[c]) // 4 if c else 0 for c in cores), np.int64, len(cores))
+        total = np.concatenate([[0], np.cumsum(sizes[codes])])
+        out = np.zeros(len(words), np.int64)
+        out[is_plain] = total[first + n] - total[first]
+        others = self.other_ids(words.filter(pa.array(~is_plain)).to_pylist())
+        out[~is_plain] = np.fromiter((len(x) // 4 for x in others), np.int64, len(others))
         return out
 
-    def lookup(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Word codes, first word of each text, ids of each distinct word, and their counts."""
-        texts = texts.cast(pa.large_string())
-        split = pc.utf8_split_whitespace(texts)
-        starts = split.offsets.to_numpy().astype(np.int64)
-        coded = pc.dictionary_encode(split.values)
-        words = coded.dictionary.to_pylist()
-        if len(self.chunks) > REMEMBER:  # not in learn(): this batch's known words must stay
-            self.chunks.clear()
-        if missing := [w for w in words if w not in self.chunks and w]:
-            self.learn(missing)
-        found = [self.chunks[w] if w else b"" for w in words]
-        return coded.indices.to_numpy(), starts, found, np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+    def chunk_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the distinct chunks, and where each chunk's begin (one more than the chunks)."""
+        is_plain, cores, codes, first, n = self.cut(words)
+        known = [self.cores[c] if c else b"" for c in cores]
+        # a chunk that isn't plain is one piece
+        others = self.other_ids(words.filter(pa.array(~is_plain)).to_pylist())
+        codes = np.concatenate([codes, np.arange(len(cores), len(cores) + len(others))])
+        place, pieces = np.empty(len(words), np.int64), np.ones(len(words), np.int64)
+        place[is_plain], pieces[is_plain], place[~is_plain] = first, n, np.arange(len(codes) - len(others), len(codes))
+        flat, _ = gathered(codes, place, pieces)
+        known += others
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, ends = gathered(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(sizes) - sizes)[flat], sizes[flat])
+        return ids, ends[np.concatenate([[0], np.cumsum(pieces)])]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text. No nulls."""
@@ -175,13 +194,11 @@ class Encoder:
             each = self.whole(texts.to_pylist()) if not self.by_word else self._mixed(texts, set(odd))
             sizes = np.array([len(x) // 4 for x in each], np.int64)
             return np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
-        codes, starts, found, sizes = self.lookup(texts)
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        n = sizes[codes]
-        after = np.cumsum(n)
-        total = np.concatenate([[0], after]) if len(codes) else np.zeros(1, np.int64)
-        at = np.repeat(first[codes] - (after - n), n) + np.arange(total[-1])
-        return flat[at], total[starts]
+        split = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+        starts, coded = split.offsets.to_numpy().astype(np.int64), pc.dictionary_encode(split.values)
+        codes, (known, first) = coded.indices.to_numpy(), self.chunk_ids(coded.dictionary)
+        flat, ends = gathered(known, first[:-1][codes], np.diff(first)[codes])
+        return flat, ends[starts]
 
     def _mixed(self, texts: pa.Array, odd: set[int]) -> list[bytes]:
         out = []

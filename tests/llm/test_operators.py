@@ -75,6 +75,14 @@ def test_counts_make_no_object_of_a_chunk():
     assert all(not encode.safe.fullmatch(w) or "<|" in w for w in encode.chunks) and "word" in encode.cores
 
 
+def test_ids_make_objects_of_pieces_only():
+    encode = tokens.Encoder("word_bpe_49k.json")
+    words = ["word, don't É1'sé ½ x", "", " ñ!! <|endoftext|>a 日本 word,", "ª²µ -- ..a..b"]
+    flat, at = encode.ids(pa.array(words))
+    assert [flat[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] == encode.whole(words)
+    assert set(encode.chunks) == {"<|endoftext|>a", "日本"} and "word" in encode.cores
+
+
 def test_forgetting_words_keeps_the_ids(monkeypatch):
     encode = tokens.Encoder("word_bpe_49k.json")
     want = [encode.ids(pa.array([prose(i, 300)]))[0].tobytes() for i in range(4)]
