@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailstruct.functions.text import empty, strip
+from mailstruct.functions.text import empty, let, strip
 
 # The link pattern, punctuation that doesn't end a link, shorteners and image suffixes.
 URL = r"""https?://[^\s<>"{}|\\^`\[\]]+|www\.[^\s<>"{}|\\^`\[\]]+"""
@@ -42,12 +42,14 @@ def path(url: Column) -> Column:
 
 def of_domain(url: Column, domains: Sequence[str]) -> Column:
     """Whether the host is one of the domains or lies below one."""
-    name = host(url)
-    below = [name.endswith("." + d) for d in domains]
-    out = name.isin(*domains)
-    for b in below:
-        out = out | b
-    return out
+
+    def one_of(name: Column) -> Column:
+        out = name.isin(*domains)
+        for d in domains:
+            out = out | name.endswith("." + d)
+        return out
+
+    return let(host(url), one_of)
 
 
 def is_shortened(url: Column) -> Column:
@@ -93,11 +95,14 @@ def unwrap_defense(url: Column) -> Column:
 
 def context(text: Column, url: Column, around: int = AROUND) -> Column:
     """The text about a link's first occurrence, with ellipses at both ends if either is cut; empty if it doesn't occur."""
-    at = F.instr(text, url) - 1
-    start, end = F.greatest(F.lit(0), at - around), F.least(F.char_length(text), at + F.char_length(url) + around)
-    inner = strip(F.substr(text, start + 1, end - start))
-    there = (F.char_length(empty(text)) > 0) & (F.char_length(empty(url)) > 0) & (at >= 0)
-    return F.when(there, F.when((start > 0) | (end < F.char_length(text)), F.concat(F.lit("..."), inner, F.lit("..."))).otherwise(inner)).otherwise(F.lit(""))
+
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - around), F.least(F.char_length(text), at + F.char_length(url) + around)
+        inner = strip(F.substr(text, start + 1, end - start))
+        there = (F.char_length(empty(text)) > 0) & (F.char_length(empty(url)) > 0) & (at >= 0)
+        return F.when(there, F.when((start > 0) | (end < F.char_length(text)), F.concat(F.lit("..."), inner, F.lit("..."))).otherwise(inner)).otherwise(F.lit(""))
+
+    return let(F.instr(text, url) - 1, cut)
 
 
 def process(urls: Column) -> Column:

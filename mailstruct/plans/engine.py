@@ -15,7 +15,7 @@ from mailstruct.config import EngineOptions
 from mailstruct.functions import carrier, deadline, errors, headers, html, text, urls
 from mailstruct.operators import relate, summary
 from mailstruct.plans.scratch import Scratch
-from mailstruct.sources.mime import email_parts
+from mailstruct.sources.mime import email_parts, spread
 
 KEY = ["email_id", "layer_seq"]
 SCALAR_HEADERS = ("subject", "from", "to", "cc", "bcc", "date", "message-id", "reply-to", "return-path")
@@ -24,7 +24,17 @@ SCALAR_HEADERS = ("subject", "from", "to", "cc", "bcc", "date", "message-id", "r
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, cleaned; empty without one."""
     found = F.filter(headers, lambda h: F.lower(h["k"]) == name)
-    return text.clean_header(F.when(F.size(found) > 0, F.element_at(found, 1)["v"]))
+    return text.clean_header(F.get(found, F.lit(0))["v"])
+
+
+def named(headers: Column) -> Column:
+    """struct of SCALAR_HEADERS, as header() gives them: the first value of each, cleaned; empty without one. Names are put in lower case once."""
+
+    def first(x: Column) -> Column:
+        value = lambda n: F.get(headers, (F.array_position(x, n) - 1).cast("int"))["v"]
+        return F.struct(*(text.clean_header(value(n)).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS))
+
+    return text.let(F.transform(headers, lambda h: F.lower(h["k"])), first)
 
 
 def all_values(headers: Column, name: str) -> Column:
@@ -202,9 +212,9 @@ class Engine:
     def headers(self, roots: DataFrame) -> DataFrame:
         """Layers' own columns and those of their headers, from each layer's first part; a row each, without a shuffle."""
         h = F.col("headers")
-        named = [header(h, n).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS]
         keep = [c for c in roots.columns if c in ("plain", "html")]
-        return roots.select(*KEY, "layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"), carrier.details(header(h, "subject"), blob(h), self.options.modes.vendor_headers).alias("carrier"), *keep)
+        read = roots.withColumn("_n", named(h))
+        return read.select(*KEY, "layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", "_n.*", all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"), carrier.details(F.col("_n.subject"), blob(h), self.options.modes.vendor_headers).alias("carrier"), *keep)
 
     def outer(self, mails: DataFrame, parse_rest: bool = True) -> DataFrame:
         """email_id and the columns of the mails' own headers, read by column expressions alone; no part is looked at.
@@ -217,8 +227,7 @@ class Engine:
             rest = self.parts(read.where("not o.certain").select("email_id", "content"), with_payload=False)
             found = found.unionAll(rest.where("part_seq = 0 and layer_seq = 0").select("email_id", "headers"))
         h = F.col("headers")
-        named = [header(h, n).alias(n.replace("-", "_").replace("from", "from_addr")) for n in SCALAR_HEADERS]
-        return found.select("email_id", *named, all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"))
+        return found.withColumn("_n", named(h)).select("email_id", "_n.*", all_values(h, "received").alias("received"), extension_headers(h).alias("x_headers"))
 
     def layers(self, parts: DataFrame) -> DataFrame:
         """All columns of layers. A layer's body is its last plain and its last markup part; markup also gives text and links."""
@@ -227,7 +236,8 @@ class Engine:
         counts = scope & F.col("text").isNotNull() & (F.col("text") != "") & (~F.col("multipart") | F.col("filename").isNull())
         markup, value = (F.col("content_type") == "text/html") | F.col("has_markup"), F.struct("part_seq", "text")
         root = ["layer_depth", "parent_layer_seq", "via_attachment", "via_mime_type", "signature", "headers"]
-        needed = parts.where((F.col("part_seq") == 0) | counts)
+        # dealt evenly by layer: Spark would join small partitions, and reading markup is bound by processors
+        needed = spread(parts.where((F.col("part_seq") == 0) | counts), *KEY)
         best = needed.groupBy(*KEY).agg(
             F.max(F.when(F.col("part_seq") == 0, F.struct(*root))).alias("root"),
             F.max(F.when(counts & ~markup, value)).alias("plain"),
