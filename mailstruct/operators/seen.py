@@ -2,7 +2,7 @@
 
 `SeenSet` is a table of digests by run, behind a blocked Bloom filter. A run's rows meet the filter first: what it says no to is
 new, and only the rest, which are repeats and a few false alarms, is looked up in the table. `first_seen` does the same for a stream with
-a state for each digest, which is forgotten after a time to live.
+a state for each digest, which may be forgotten after a time to live.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -129,13 +132,54 @@ class FirstSeen(StatefulProcessor):
         self.seen.update((initialState["at"],))
 
 
+#: Rows that a task gathers before it reduces them to the first of each digest.
+GATHERED = 200_000
+
+
+def firsts(rows: pa.Table, order: list[str]) -> pa.Table:
+    """The first row of each digest in the given order, nulls first."""
+    at = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("digest", *order)], null_placement="at_start")
+    rows = rows.take(at)
+    if rows.num_rows < 2:
+        return rows
+    code = rows.column("digest").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(np.concatenate(([True], code[1:] != code[:-1]))))
+
+
+def first_of_task(order: list[str], whole: bool = True):
+    """The first row of each digest of a task, or, unless whole, of each stretch of it: then many copies move as few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, GATHERED
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                held = firsts(pa.Table.from_batches(held), order).to_batches()
+                if not whole:
+                    yield from held
+                    held = []
+                n = sum(b.num_rows for b in held)
+                most = 2 * n + GATHERED
+        if held:
+            yield from firsts(pa.Table.from_batches(held), order).to_batches()
+
+    return run
+
+
 def first_seen(rows: DataFrame, order: list[str], ttl_ms: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """A stream of rows (digest, ...) without those whose digest came before; within a batch the first in the given order stays.
 
     seen: (digest, at) of a SeenSet, taken as having come before the stream began. Arrival decides: there is no watermark, so no row
     is too late, and a digest that comes again after ttl_ms by the clock is new. Rows with a null digest are one group like any other.
     Call use_rocksdb before.
+
+    With neither a time to live nor a start, Spark's own state of duplicates serves, once each batch holds one row of a digest: a task
+    holds its digests of one batch. Else a processor keeps the state, and asks for it by a call for each digest.
     """
+    if ttl_ms is None and seen is None:
+        few = rows.mapInArrow(first_of_task(order, whole=False), rows.schema)
+        return few.repartition("digest").mapInArrow(first_of_task(order), rows.schema).dropDuplicates(["digest"])
     schema = StructType(rows.schema.fields)
     start = None if seen is None else seen.groupBy("digest").agg(F.max("at").alias("at")).groupBy("digest")
     return rows.groupBy("digest").transformWithState(FirstSeen(order, ttl_ms), schema, "append", "none" if ttl_ms is None else "processingTime", initialState=start)
